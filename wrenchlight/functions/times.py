@@ -75,7 +75,9 @@ def zone_label(ts: Column | str, zone: str = BUSINESS_ZONE) -> Column:
 
 
 def display_with_zone(ts: Column | str, zone: str = BUSINESS_ZONE) -> Column:
-    return F.concat_ws(" ", display(ts, zone), zone_label(ts, zone))
+    """As ``display``, with the zone behind; '' for NULL."""
+    shown = F.concat_ws(" ", display(ts, zone), zone_label(ts, zone))
+    return F.when(col(ts).isNull(), "").otherwise(shown)
 
 
 def worked_micros(minutes: Column | None, start: Column | str, end: Column | str) -> Column:

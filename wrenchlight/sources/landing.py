@@ -8,7 +8,6 @@ one of two names.
 from __future__ import annotations
 
 from datetime import timedelta
-from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,6 +32,9 @@ _VISIT = (
 )
 _PERIOD = "struct<scheduled_start:string,scheduled_end:string>"
 
+# Fixed value: how far back an incremental load reads.
+LOOK_BACK = timedelta(days=60)
+
 # Item schema of each entity.
 ITEMS: dict[str, str] = {
     "jobs": f"""id string, invoice_number string, description string, work_status string,
@@ -68,6 +70,10 @@ ENVELOPE_KEYS: dict[str, tuple[str, ...]] = {
     "invoices": ("invoices", "data", "jobs"),
 }
 
+# Counters of a page; the number of pages and of items go by two names each.
+PAGE_COUNTERS = """page int, page_size int, total_pages int, total_pages_count int,
+    total_items bigint, total_count bigint"""
+
 # Entities that a load reads only as far back as its window; the others are read whole.
 INCREMENTAL = ("estimates", "jobs", "customers", "invoices")
 
@@ -83,20 +89,14 @@ def envelope_keys(entity: str) -> tuple[str, ...]:
 
 def page_schema(entity: str) -> StructType:
     items = ArrayType(item_schema(entity))
-    checklist = (
-        StructType()
-        .add("data", items)
-        .add("page", "int")
-        .add("page_size", "int")
-        .add("total_pages", "int")
-        .add("total_items", "bigint")
-    )
+    checklist = StructType().add("data", items)
+    for counter in StructType.fromDDL("page int, page_size int, total_pages int, total_items bigint"):
+        checklist = checklist.add(counter)
     schema = StructType()
     for key in envelope_keys(entity):
         schema = schema.add(key, items)
-    for counter in ("page", "page_size", "total_pages", "total_pages_count"):
-        schema = schema.add(counter, "int")
-    schema = schema.add("total_items", "bigint").add("total_count", "bigint")
+    for counter in StructType.fromDDL(PAGE_COUNTERS):
+        schema = schema.add(counter)
     # Job details come one job per page, without an envelope.
     if entity == "job_details":
         for item_field in item_schema(entity).fields:
@@ -167,10 +167,3 @@ def updated_within(items: DataFrame, as_of: Column, days: int, column: str = "up
 
 def read_items(spark: SparkSession, landing: str, entity: str, one_per_line: bool = False) -> DataFrame:
     return page_items(read_pages(spark, f"{landing}/{entity}", entity, one_per_line), entity)
-
-
-def union_pages(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-
-
-LOOK_BACK = timedelta(days=60)
