@@ -6,7 +6,7 @@ with parts; no rows are left out but where a rule says so.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wrenchlight.plans.context import Context
@@ -34,45 +34,29 @@ def given(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
-def _text(column: str) -> Column:
-    return F.col(column).cast("string")
+def _cents(price: str) -> str:
+    return f"cast(floor({price} / 5) AS bigint)"
 
 
-def _time(column: str) -> Column:
-    return F.col(column).cast("timestamp")
+# Line number, part, supplier, day and price name a line.
+_LINE = """l_linenumber, l_partkey, l_suppkey, date_format(l_shipdate, 'yyyy-MM-dd'),
+    cast(round(l_extendedprice * 100) AS bigint)"""
 
+_TAGS = """CASE WHEN c_mktsegment <> 'AUTOMOBILE' THEN concat(
+    CASE WHEN c_mktsegment IN ('HOUSEHOLD', 'FURNITURE') THEN 'Residential' ELSE 'Commercial' END, ', ',
+    CASE WHEN o_orderpriority = '1-URGENT' THEN 'Demand Service, DFO'
+         WHEN o_orderpriority = '2-HIGH' THEN 'Install'
+         WHEN o_orderpriority = '3-MEDIUM' THEN 'Maintenance'
+         WHEN o_orderpriority = '4-NOT SPECIFIED' AND o_orderkey % 3 = 0 THEN 'Service, Call Back'
+         WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 'Service'
+         ELSE 'New Construction' END) END"""
 
-def _cents(price: str) -> Column:
-    return F.floor(F.col(price) / 5).cast("bigint")
-
-
-def _key(prefix: str, column: str) -> Column:
-    return F.concat(F.lit(prefix), _text(column))
-
-
-def _join(separator: str, *columns: Column) -> Column:
-    return F.concat_ws(separator, *columns)
-
-
-def _line_id(*more: Column) -> Column:
-    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint").cast("string")
-    shipped = F.date_format("l_shipdate", "yyyy-MM-dd")
-    parts = (_text("l_linenumber"), _text("l_partkey"), _text("l_suppkey"), shipped, cents)
-    return _join("-", *parts, *more)
-
-
-def _tags() -> Column:
-    segment = F.when(F.col("c_mktsegment").isin("HOUSEHOLD", "FURNITURE"), "Residential").otherwise("Commercial")
-    priority = F.col("o_orderpriority")
-    work = (
-        F.when(priority == "1-URGENT", "Demand Service, DFO")
-        .when(priority == "2-HIGH", "Install")
-        .when(priority == "3-MEDIUM", "Maintenance")
-        .when((priority == "4-NOT SPECIFIED") & (F.col("o_orderkey") % 3 == 0), "Service, Call Back")
-        .when(priority == "4-NOT SPECIFIED", "Service")
-        .otherwise("New Construction")
-    )
-    return F.when(F.col("c_mktsegment") != "AUTOMOBILE", F.concat(segment, F.lit(", "), work))
+_PERSON = (
+    "cast(s_suppkey AS string) AS employee_id",
+    "split(s_name, '#')[0] AS first_name",
+    "split(s_name, '#')[1] AS last_name",
+    "CASE WHEN s_suppkey % 10 <> 0 THEN 'Senior Tech' END AS role",
+)
 
 
 class Bridge:
@@ -93,122 +77,99 @@ class Bridge:
         return self._given("orders")
 
     def _orders_with_customer(self) -> DataFrame:
-        return self._orders().join(self._given("customer"), F.col("o_custkey") == F.col("c_custkey"))
+        return self._orders().join(self._given("customer"), F.expr("o_custkey = c_custkey"))
 
     def _assignments(self) -> DataFrame:
         return self._given("lineitem").select("l_orderkey", "l_suppkey").distinct()
 
     def customers(self) -> DataFrame:
-        name = F.split("c_name", "#")
-        return self._given("customer").select(
-            _text("c_custkey").alias("customer_id"), name[0].alias("first_name"), name[1].alias("last_name")
+        return self._given("customer").selectExpr(
+            "cast(c_custkey AS string) AS customer_id",
+            "split(c_name, '#')[0] AS first_name",
+            "split(c_name, '#')[1] AS last_name",
         )
 
-    @staticmethod
-    def _supplier_columns() -> list[Column]:
-        name = F.split("s_name", "#")
-        role = F.when(F.col("s_suppkey") % 10 != 0, "Senior Tech")
-        return [
-            _text("s_suppkey").alias("employee_id"),
-            name[0].alias("first_name"),
-            name[1].alias("last_name"),
-            role.alias("role"),
-        ]
-
     def employees(self) -> DataFrame:
-        suppliers = self._given("supplier").filter(F.col("s_suppkey") % 50 != 7)
-        return suppliers.select(*self._supplier_columns())
+        return self._given("supplier").filter("s_suppkey % 50 <> 7").selectExpr(*_PERSON)
 
     def jobs(self) -> DataFrame:
-        status = F.col("o_orderstatus")
-        visit = F.when(F.col("o_orderkey") % 7 == 0, "Wizard Club visit").otherwise("Repair call")
-        return self._orders_with_customer().select(
-            _key("job_", "o_orderkey").alias("job_id"),
-            _text("o_custkey").alias("customer_id"),
-            F.when(status == "F", "complete rated")
-            .when(status == "P", "Complete Unrated")
-            .otherwise("in progress")
-            .alias("work_status"),
-            F.when(status != "O", _time("o_orderdate")).alias("completed_at"),
-            _time("o_orderdate").alias("updated_at"),
-            _cents("o_totalprice").alias("total_amount"),
-            visit.alias("description"),
-            _tags().alias("tags"),
+        return self._orders_with_customer().selectExpr(
+            "concat('job_', o_orderkey) AS job_id",
+            "cast(o_custkey AS string) AS customer_id",
+            """CASE o_orderstatus WHEN 'F' THEN 'complete rated' WHEN 'P' THEN 'Complete Unrated'
+                ELSE 'in progress' END AS work_status""",
+            "CASE WHEN o_orderstatus <> 'O' THEN cast(o_orderdate AS timestamp) END AS completed_at",
+            "cast(o_orderdate AS timestamp) AS updated_at",
+            f"{_cents('o_totalprice')} AS total_amount",
+            "CASE WHEN o_orderkey % 7 = 0 THEN 'Wizard Club visit' ELSE 'Repair call' END AS description",
+            f"{_TAGS} AS tags",
         )
 
     def job_employees(self) -> DataFrame:
-        pairs = self._assignments().join(self._given("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-        return pairs.select(_key("job_", "l_orderkey").alias("job_id"), *self._supplier_columns())
+        pairs = self._assignments().join(self._given("supplier"), F.expr("l_suppkey = s_suppkey"))
+        return pairs.selectExpr("concat('job_', l_orderkey) AS job_id", *_PERSON)
 
     def job_appointments(self) -> DataFrame:
-        start = _time("l_shipdate")
-        minutes = (F.col("l_quantity") * 6).cast("int")
-        return self._given("lineitem").select(
-            _key("job_", "l_orderkey").alias("job_id"),
-            _text("l_linenumber").alias("appointment_id"),
-            _text("l_suppkey").alias("dispatched_employee_id"),
-            start.alias("start_time"),
-            (start + F.make_dt_interval(mins=minutes)).alias("end_time"),
+        return self._given("lineitem").selectExpr(
+            "concat('job_', l_orderkey) AS job_id",
+            "cast(l_linenumber AS string) AS appointment_id",
+            "cast(l_suppkey AS string) AS dispatched_employee_id",
+            "cast(l_shipdate AS timestamp) AS start_time",
+            "cast(l_shipdate AS timestamp) + make_dt_interval(0, 0, cast(l_quantity * 6 AS int)) AS end_time",
         )
 
     def invoices(self) -> DataFrame:
-        states = F.array(*[F.lit(s) for s in ("open", "pending_payment", "paid", "voided")])
-        return self._orders().select(
-            _key("inv_", "o_orderkey").alias("invoice_id"),
-            _key("job_", "o_orderkey").alias("job_id"),
-            F.get(states, (F.col("o_orderkey") % 4).cast("int")).alias("status"),
-            _cents("o_totalprice").alias("amount"),
-            _time("o_orderdate").alias("invoice_date"),
+        return self._orders().selectExpr(
+            "concat('inv_', o_orderkey) AS invoice_id",
+            "concat('job_', o_orderkey) AS job_id",
+            """CASE o_orderkey % 4 WHEN 0 THEN 'open' WHEN 1 THEN 'pending_payment' WHEN 2 THEN 'paid'
+                ELSE 'voided' END AS status""",
+            f"{_cents('o_totalprice')} AS amount",
+            "cast(o_orderdate AS timestamp) AS invoice_date",
         )
 
     def invoice_items(self) -> DataFrame:
-        lines = self._given("lineitem").join(self._given("part"), F.col("l_partkey") == F.col("p_partkey"))
-        is_club = (F.col("p_type") == "PROMO") & (F.col("p_size") < 5)
-        amount = _cents("l_extendedprice")
-        return lines.select(
-            _key("inv_", "l_orderkey").alias("invoice_id"),
-            _key("job_", "l_orderkey").alias("job_id"),
-            _line_id().alias("item_id"),
-            F.when(is_club, "Wizard Club Membership").otherwise(F.col("p_name")).alias("name"),
-            (F.col("l_quantity") * 100).cast("int").alias("qty_in_hundredths"),
-            amount.alias("amount"),
+        lines = self._given("lineitem").join(self._given("part"), F.expr("l_partkey = p_partkey"))
+        return lines.selectExpr(
+            "concat('inv_', l_orderkey) AS invoice_id",
+            "concat('job_', l_orderkey) AS job_id",
+            f"concat_ws('-', {_LINE}) AS item_id",
+            """CASE WHEN p_type = 'PROMO' AND p_size < 5 THEN 'Wizard Club Membership'
+                ELSE p_name END AS name""",
+            "cast(l_quantity * 100 AS int) AS qty_in_hundredths",
+            f"{_cents('l_extendedprice')} AS amount",
         )
 
     def estimates(self) -> DataFrame:
-        source = F.when(F.col("c_mktsegment") == "AUTOMOBILE", "").otherwise(
-            F.concat("c_mktsegment", F.lit(" "))
-        )
-        return self._orders_with_customer().filter(F.col("o_orderkey") % 3 == 0).select(
-            _key("est_", "o_orderkey").alias("estimate_id"),
-            _text("o_custkey").alias("customer_id"),
-            source.alias("lead_source"),
-            _time("o_orderdate").alias("created_at"),
+        return self._orders_with_customer().filter("o_orderkey % 3 = 0").selectExpr(
+            "concat('est_', o_orderkey) AS estimate_id",
+            "cast(o_custkey AS string) AS customer_id",
+            "CASE WHEN c_mktsegment = 'AUTOMOBILE' THEN '' ELSE concat(c_mktsegment, ' ') END AS lead_source",
+            "cast(o_orderdate AS timestamp) AS created_at",
         )
 
     def estimate_options(self) -> DataFrame:
-        flag, status = F.col("l_returnflag"), F.col("l_linestatus")
-        approval = F.when((flag == "A") & (status == "F"), "Approved").when(flag == "R", "pro declined")
-        return self._given("lineitem").filter(F.col("l_orderkey") % 3 == 0).select(
-            _line_id(_text("l_orderkey")).alias("option_id"),
-            _key("est_", "l_orderkey").alias("estimate_id"),
-            approval.alias("approval_status"),
-            F.when(status == "O", "submitted").otherwise("").alias("status"),
-            _cents("l_extendedprice").alias("total_amount"),
+        return self._given("lineitem").filter("l_orderkey % 3 = 0").selectExpr(
+            f"concat_ws('-', {_LINE}, l_orderkey) AS option_id",
+            "concat('est_', l_orderkey) AS estimate_id",
+            """CASE WHEN l_returnflag = 'A' AND l_linestatus = 'F' THEN 'Approved'
+                WHEN l_returnflag = 'R' THEN 'pro declined' END AS approval_status""",
+            "CASE WHEN l_linestatus = 'O' THEN 'submitted' ELSE '' END AS status",
+            f"{_cents('l_extendedprice')} AS total_amount",
         )
 
     def estimate_employees(self) -> DataFrame:
-        return self._assignments().filter(F.col("l_orderkey") % 3 == 0).select(
-            _key("est_", "l_orderkey").alias("estimate_id"), _text("l_suppkey").alias("employee_id")
+        return self._assignments().filter("l_orderkey % 3 = 0").selectExpr(
+            "concat('est_', l_orderkey) AS estimate_id", "cast(l_suppkey AS string) AS employee_id"
         )
 
     def load_log(self) -> DataFrame:
         """Every event notes one fact about a load, at its time in whole seconds."""
-        kinds = F.array(*[F.lit(k) for k in ("last_refresh", "last_window_start", "last_window_end")])
-        at = F.date_trunc("second", F.col("ts"))
-        return self._given("events").select(
-            F.get(kinds, (F.col("event_id") % 3).cast("int")).alias("key"),
-            F.date_format(at, "yyyy-MM-dd'T'HH:mm:ssXXX").alias("value"),
-            _time("ts").alias("recorded_at"),
+        return self._given("events").selectExpr(
+            """CASE event_id % 3 WHEN 0 THEN 'last_refresh' WHEN 1 THEN 'last_window_start'
+                ELSE 'last_window_end' END AS key""",
+            "date_format(date_trunc('second', ts), \"yyyy-MM-dd'T'HH:mm:ssXXX\") AS value",
+            "cast(ts AS timestamp) AS recorded_at",
         )
 
 

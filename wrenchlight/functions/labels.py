@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from wrenchlight.functions.numbers import number_or
-from wrenchlight.functions.text import clean, col, has_any_tag
+from wrenchlight.functions.text import clean, col, contains_any, has_any_tag
 
 # Tags behind the job categories.
 NEW_CONSTRUCTION_TAGS = (
@@ -55,18 +55,27 @@ OUTCOMES = {3: "won", 2: "lost", 1: "pending"}
 
 
 def job_category(tags: Column | str) -> Column:
-    """One of eight categories; new construction first, then segment by kind of work."""
-    text = clean(tags)
-    works = (
-        ("Install", has_any_tag(tags, INSTALL_TAGS)),
-        ("Maintenance", has_any_tag(tags, MAINTENANCE_TAGS)),
-        ("Service", has_any_tag(tags, SERVICE_TAGS)),
+    """One of eight categories: new construction, else segment and kind of work."""
+    text = F.lower(col(tags))
+    segment = F.when(text.contains("residential"), "Residential").when(text.contains("commercial"), "Commercial")
+    work = (
+        F.when(has_any_tag(tags, INSTALL_TAGS), "Install")
+        .when(has_any_tag(tags, MAINTENANCE_TAGS), "Maintenance")
+        .when(has_any_tag(tags, SERVICE_TAGS), "Service")
     )
-    label = F.when(has_any_tag(tags, NEW_CONSTRUCTION_TAGS), NEW_CONSTRUCTION)
-    for segment in ("Residential", "Commercial"):
-        for work, done in works:
-            label = label.when(text.contains(segment.lower()) & done, f"{segment} {work}")
-    return label.otherwise(UNCLASSIFIED)
+    named = F.concat(segment, F.lit(" "), work)
+    is_new = has_any_tag(tags, NEW_CONSTRUCTION_TAGS)
+    return F.when(is_new, NEW_CONSTRUCTION).otherwise(F.coalesce(named, F.lit(UNCLASSIFIED)))
+
+
+def may_have_category(tags: Column | str) -> Column:
+    """False only for jobs that ``job_category`` leaves unclassified: a cheap test for early filters."""
+    return contains_any(tags, ("residential", "commercial", "new"))
+
+
+def may_be_install(tags: Column | str) -> Column:
+    """False only for jobs whose category is no install: a cheap test for early filters."""
+    return contains_any(tags, ("install", "change"))
 
 
 def is_install_category(category: Column | str) -> Column:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import re
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -11,6 +12,11 @@ from pyspark.sql import functions as F
 # Every character Python's str.strip() removes (Spark's trim removes blanks only).
 WHITESPACE = "".join(chr(code) for code in range(0x3001) if chr(code).isspace())
 
+# The same characters inside a regular expression class. The short form, for texts
+# of ASCII characters only, is many times faster to match.
+_ASCII_SPACE = r"\s\x1c-\x1f"
+_ANY_SPACE = _ASCII_SPACE + r"\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
 # Tags that mark a job as a return visit.
 CALLBACK_TAGS = ("callback", "call back", "call-back", "recall", "warranty", "warrantee")
 
@@ -60,46 +66,53 @@ def is_blank(c: Column | str) -> Column:
 
 
 def any_of(conditions: Iterable[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions, F.lit(False))
+    found = list(conditions)
+    return reduce(lambda a, b: a | b, found) if found else F.lit(False)
 
 
 # ---- tags ------------------------------------------------------------------
 
 
-def _tag_list(tags: Column | str) -> Column:
-    tokens = F.transform(F.split(F.lower(col(tags)), ","), strip)
-    return F.filter(tokens, lambda token: token != "")
+def _by_alphabet(text: Column, build: Callable[[str], Column]) -> Column:
+    """``build`` with the white space class that the text needs."""
+    only_ascii = F.octet_length(text) == F.char_length(text)
+    return F.when(only_ascii, build(_ASCII_SPACE)).otherwise(build(_ANY_SPACE))
 
 
 def normalize_tags(tags: Column | str) -> Column:
-    """'A, b,,' -> 'a,b'; NULL -> ''. Repeats are kept."""
-    return F.coalesce(F.array_join(_tag_list(tags), ","), F.lit(""))
+    """'A, b,,' -> 'a,b'; NULL -> ''. Repeats are kept.
+
+    Written with string functions only: higher-order array functions would drop
+    the stage out of generated code. A run of commas, with white space around and
+    between them, becomes one comma (possessive, so in linear time).
+    """
+    text = F.lower(col(tags))
+    joined = _by_alphabet(text, lambda space: F.regexp_replace(text, f"[{space}]*+,[{space},]*+", ","))
+    return F.coalesce(F.btrim(joined, F.lit(WHITESPACE + ",")), F.lit(""))
 
 
 def normalize_tags_distinct(tags: Column | str) -> Column:
     """'A, b, a' -> 'a|b', first-seen order; NULL -> ''."""
-    return F.coalesce(F.array_join(F.array_distinct(_tag_list(tags)), "|"), F.lit(""))
+    return F.array_join(F.array_distinct(F.split(normalize_tags(tags), ",")), "|")
 
 
-def tag_has(tags: Column | str, needle: str) -> Column:
-    """Does the tag text hold ``needle``?
+def has_any_tag(tags: Column | str, needles: Iterable[str]) -> Column:
+    """Does the tag text hold any of the needles, whatever the case?
 
     A needle with a blank inside matches anywhere. Any other one must be a whole
-    word between commas, white space or the ends; those separators are all turned
-    into commas first, which makes the test a plain ``contains``.
+    word between commas, white space or the ends. Blank needles never match.
     """
-    word = needle.strip().lower()
-    if not word:
-        return F.lit(False)
-    text = clean(tags)
-    if " " in word:
-        return text.contains(word)
-    separated = F.translate(text, WHITESPACE, "," * len(WHITESPACE))
-    return F.concat(F.lit(","), separated, F.lit(",")).contains(f",{word},")
+    wanted = [needle.strip().lower() for needle in needles]
+    text = F.coalesce(F.lower(col(tags)), F.lit(""))
+    tests = [text.contains(word) for word in wanted if " " in word]
+    words = "|".join(re.escape(word) for word in wanted if word and " " not in word)
+    if words:
+        tests.append(_by_alphabet(text, lambda space: text.rlike(f"(?:^|[{space},])(?:{words})(?:$|[{space},])")))
+    return any_of(tests)
 
 
-def has_any_tag(tags: Column | str, needles: Iterable[str]) -> Column:
-    return any_of(tag_has(tags, needle) for needle in needles)
+def tag_has(tags: Column | str, needle: str) -> Column:
+    return has_any_tag(tags, (needle,))
 
 
 def is_dfo(tags: Column | str) -> Column:
@@ -111,9 +124,14 @@ def is_callback(tags: Column | str) -> Column:
 
 
 def contains_any(text: Column | str, keywords: Iterable[str]) -> Column:
-    """Is any keyword a substring, whatever the case? NULL text and blank keywords never match."""
+    """Is any keyword a substring, whatever the case? NULL text and blank keywords never match.
+
+    Keywords that hold another keyword are left out of the test, as the other one decides.
+    """
+    words = {word.lower() for word in keywords if word and word.strip()}
+    needed = [w for w in sorted(words) if not any(other != w and other in w for other in words)]
     lowered = F.coalesce(F.lower(col(text)), F.lit(""))
-    return any_of(lowered.contains(word.lower()) for word in keywords if word and word.strip())
+    return any_of(lowered.contains(word) for word in needed)
 
 
 def has_club_word(text: Column | str) -> Column:

@@ -29,16 +29,21 @@ def hot_keys(df: DataFrame, key: str) -> DataFrame:
     )
 
 
-def spread_join(many: DataFrame, one: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def spread_join(
+    many: DataFrame, one: DataFrame, key: str, how: str = "inner", source: DataFrame | None = None
+) -> DataFrame:
     """``many.join(one, key, how)`` for inner and left joins, whatever the frequency of keys in ``many``.
 
     Rows of hot keys get a salt from a hash of the whole row, and the matching rows
     of ``one`` are repeated once per salt; everything else is joined as it is. The
     result does not depend on which keys are found hot. NULL keys match nothing
     and are spread as well.
+
+    source: where to look for hot keys, if a stored table that ``many`` comes from
+        is cheaper to read than ``many`` itself.
     """
     salts = int(many.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hot = F.broadcast(hot_keys(many, key))
+    hot = F.broadcast(hot_keys(many if source is None else source, key))
     is_hot = F.col("hot_key").isNotNull()
     salt = F.pmod(F.xxhash64(*[F.col(c) for c in many.columns]), F.lit(salts)).cast("int")
     salted = (

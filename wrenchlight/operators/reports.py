@@ -56,7 +56,7 @@ def lookup_for_few(few: DataFrame, big: DataFrame, key: str, values: tuple[str,
     row, and the real match, if any, is preferred. Rows of ``few`` must be unique,
     and ``key`` unique in ``big``.
     """
-    marker = big.sparkSession.range(1).select(
+    marker = big.sparkSession.range(0, 1, 1, numPartitions=1).select(
         F.lit(None).cast("string").alias("_key"),
         *[F.lit(None).cast(big.schema[name].dataType).alias(name) for name in values],
         F.lit(True).alias("_marker"),

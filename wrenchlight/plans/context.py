@@ -64,13 +64,19 @@ class Context:
 
     @cached_property
     def job_categories(self) -> DataFrame:
-        """(job_id, category) of the jobs that have one; all others are unclassified.
+        """(job_id, category) of all jobs that may have one; any other job is unclassified.
 
         The label is taken from the tags below the shuffle, which then carries
         short labels of some jobs instead of the tags of all.
         """
-        labelled = self.tables["jobs"].select("job_id", labels.job_category("tags").alias("category"))
-        return labelled.filter(F.col("category") != labels.UNCLASSIFIED)
+        jobs = self.tables["jobs"].filter(labels.may_have_category("tags"))
+        return jobs.select("job_id", labels.job_category("tags").alias("category"))
+
+    @cached_property
+    def install_jobs(self) -> DataFrame:
+        """(job_id) of the jobs in an install category."""
+        jobs = self.tables["jobs"].filter(labels.may_be_install("tags"))
+        return jobs.filter(labels.is_install_category(labels.job_category("tags"))).select("job_id")
 
     # ---- invoices ----------------------------------------------------------
 

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wrenchlight.functions.labels import at_least, is_install_category, up_to_levels
+from wrenchlight.functions.labels import at_least, up_to_levels
 from wrenchlight.functions.numbers import currency, dollars, fixed_point, percent, ratio
 from wrenchlight.functions.text import is_callback, or_default
 from wrenchlight.functions.times import day_of, worked_micros
@@ -36,18 +36,20 @@ def _completed_facts(ctx: Context) -> DataFrame:
     return _facts(ctx.completed, completed_jobs=F.lit(1), callback_jobs=callback)
 
 
+def _billed_per_day(ctx: Context) -> DataFrame:
+    """(job_id, day, cents): a job with any number of invoices is a few rows."""
+    day = day_of("invoice_date").alias("day")
+    return ctx.billed.groupBy("job_id", day).agg(F.sum("cents").alias("cents"))
+
+
 def _billed_facts(ctx: Context) -> DataFrame:
-    per_job = ctx.billed.groupBy("job_id").agg(F.sum("cents").alias("cents"))
+    per_job = _billed_per_day(ctx).groupBy("job_id").agg(F.sum("cents").alias("cents"))
     return _facts(per_job, billed_jobs=F.lit(1), billed_cents=F.col("cents"))
 
 
 def _service_facts(ctx: Context) -> DataFrame:
     """Service revenue per job and day: everything but the jobs labelled as installs."""
-    per_day = ctx.billed.groupBy("job_id", day_of("invoice_date").alias("day")).agg(
-        F.sum("cents").alias("cents")
-    )
-    installs = ctx.job_categories.filter(is_install_category("category")).select("job_id")
-    service = per_day.join(installs, "job_id", "left_anti")
+    service = _billed_per_day(ctx).join(ctx.install_jobs, "job_id", "left_anti")
     return _facts(service, day=F.col("day"), service_cents=F.col("cents"))
 
 

@@ -80,14 +80,11 @@ def lead_by_employee(ctx: Context, distinct: bool = False) -> DataFrame:
     assignments, so two employees of one name on one estimate count twice, unless
     ``distinct``.
     """
-    assigned = (
-        ctx.tables["estimate_employees"]
-        .filter(F.col("estimate_id").isNotNull())
-        .groupBy("estimate_id", "employee_id")
-        .agg(F.max(full_name("first_name", "last_name")).alias("given_name"))
-    )
+    stored = ctx.tables["estimate_employees"].filter(F.col("estimate_id").isNotNull())
+    given_name = full_name("first_name", "last_name").alias("given_name")
+    assigned = stored.select("estimate_id", "employee_id", given_name).distinct()
     outcomes = estimate_outcomes(ctx).select("estimate_id", "outcome")
-    rated = spread_join(assigned, outcomes, "estimate_id")
+    rated = spread_join(assigned, outcomes, "estimate_id", source=stored)
     names = ctx.employees.select("employee_id", "employee_name")
     named = rated.join(names, "employee_id", "left").withColumn(
         "employee_name",

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructType, TimestampType
+from pyspark.sql.types import DataType, LongType, StringType, StructType, TimestampType
 
 from wrenchlight.functions.numbers import to_cents
 from wrenchlight.functions.times import parse_time
@@ -144,10 +144,8 @@ _SPECS = (
 TABLES: dict[str, TableSpec] = {spec.name: spec for spec in _SPECS}
 
 
-def _convert(current, wanted, name: str) -> Column:
+def _convert(current: DataType, wanted: DataType, name: str) -> Column:
     column = F.col(f"`{name}`")
-    if current == wanted:
-        return column
     if isinstance(wanted, TimestampType) and isinstance(current, StringType):
         return parse_time(column)
     if isinstance(wanted, LongType):
@@ -162,15 +160,19 @@ def conform(df: DataFrame, table: str | TableSpec) -> DataFrame:
     filters and column pruning pushed down to the scan.
     """
     spec = TABLES[table] if isinstance(table, str) else table
+    schema = spec.schema
     present = {f.name.lower(): f for f in df.schema.fields}
-    columns = []
-    for wanted in spec.schema.fields:
+    if [(f.name, f.dataType) for f in df.schema.fields] == [(f.name, f.dataType) for f in schema.fields]:
+        return df
+    columns: list[Column | str] = []
+    for wanted in schema.fields:
         have = present.get(wanted.name)
         if have is None:
-            column = F.lit(None).cast(wanted.dataType)
+            columns.append(F.expr(f"CAST(NULL AS {wanted.dataType.simpleString()}) AS {wanted.name}"))
+        elif have.dataType == wanted.dataType:
+            columns.append(wanted.name)
         else:
-            column = _convert(have.dataType, wanted.dataType, have.name)
-        columns.append(column.alias(wanted.name))
+            columns.append(_convert(have.dataType, wanted.dataType, have.name).alias(wanted.name))
     return df.select(*columns)
 
 

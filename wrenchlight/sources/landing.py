@@ -149,9 +149,15 @@ def page_envelope(pages: DataFrame, entity: str) -> DataFrame:
 
 
 def page_items(pages: DataFrame, entity: str) -> DataFrame:
-    """The items of all pages, one row each."""
+    """The items of all pages, one row each.
+
+    ``explode_outer`` and a filter behind it, because ``explode`` makes the optimizer
+    test the array below it, and for ``parse_pages`` that means parsing every text
+    once more for each mention of the array.
+    """
     enveloped = page_envelope(pages, entity).select("items")
-    return enveloped.select(F.explode("items").alias("item")).select("item.*")
+    exploded = enveloped.select(F.explode_outer("items").alias("item"))
+    return exploded.filter(F.col("item").isNotNull()).select("item.*")
 
 
 def updated_within(items: DataFrame, as_of: Column, days: int, column: str = "updated_at") -> DataFrame:
