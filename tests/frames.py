@@ -1,0 +1,50 @@
+"""Small tables for tests, written as rows of keyword values."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wrenchlight.plans.context import Context
+from wrenchlight.schemas import TABLES, conform
+from wrenchlight.sources.tables import Tables
+
+
+def table(spark: SparkSession, name: str, *rows: dict) -> DataFrame:
+    """A conformed table from dicts; times are given as ISO text, absent columns are NULL."""
+    wanted = TABLES[name].schema
+    text_times = ", ".join(
+        f"{f.name} {'string' if f.dataType.simpleString() == 'timestamp' else f.dataType.simpleString()}"
+        for f in wanted.fields
+    )
+    data = [tuple(row.get(f.name) for f in wanted.fields) for row in rows]
+    unknown = {key for row in rows for key in row} - {f.name for f in wanted.fields}
+    assert not unknown, unknown
+    return conform(spark.createDataFrame(data, text_times), name)
+
+
+def context(spark: SparkSession, as_of: str = "2026-08-01T12:00:00Z", **tables: list[dict]) -> Context:
+    frames = {name: table(spark, name, *rows) for name, rows in tables.items()}
+    return Context(Tables.of(spark, frames), as_of)
+
+
+def values(spark: SparkSession, expression, rows: list, ddl: str = "x string") -> list:
+    """The expression over one-column rows, in order."""
+    data = [(i, *(row if isinstance(row, tuple) else (row,))) for i, row in enumerate(rows)]
+    frame = spark.createDataFrame(data, f"i int, {ddl}")
+    return [r.v for r in frame.select("i", expression.alias("v")).orderBy("i").collect()]
+
+
+def dicts(df: DataFrame) -> list[dict]:
+    return [row.asDict() for row in df.collect()]
+
+
+def one(df: DataFrame) -> dict:
+    rows = dicts(df)
+    assert len(rows) == 1
+    return rows[0]
+
+
+def as_text(df: DataFrame) -> list[tuple]:
+    """Rows as sorted text, for comparing frames."""
+    return sorted(tuple(str(v) for v in row) for row in df.select(*[F.col(c).cast("string") for c in df.columns]).collect())
