@@ -22,7 +22,8 @@ def hot_keys(df: DataFrame, key: str) -> DataFrame:
     top = F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch, {SKETCH_ITEMS}), {MAX_HOT_KEYS})")
     grouped = df.filter(F.col(key).isNotNull()).select(key, (F.spark_partition_id() % 256).alias("part"))
     sketches = grouped.groupBy("part").agg(sketch.alias("sketch"), F.count(F.lit(1)).alias("n"))
-    merged = sketches.agg(top.alias("top"), F.sum("n").alias("n"))
+    # Grouped by a constant, as combining no sketches at all is an error.
+    merged = sketches.groupBy(F.lit("all")).agg(top.alias("top"), F.sum("n").alias("n"))
     listed = merged.select("n", F.explode("top").alias("entry"))
     return listed.filter(F.col("entry.count") > F.col("n") * HOT_SHARE).select(
         F.col("entry.item").alias("hot_key")
@@ -42,7 +43,8 @@ def spread_join(
     source: where to look for hot keys, if a stored table that ``many`` comes from
         is cheaper to read than ``many`` itself.
     """
-    salts = int(many.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # More salts than partitions, so that they even out over the partitions they hash to.
+    salts = 4 * int(many.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     hot = F.broadcast(hot_keys(many if source is None else source, key))
     is_hot = F.col("hot_key").isNotNull()
     salt = F.pmod(F.xxhash64(*[F.col(c) for c in many.columns]), F.lit(salts)).cast("int")
