@@ -38,6 +38,15 @@ def _cents(price: str) -> str:
     return f"cast(floor({price} / 5) AS bigint)"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if its scan has fewer splits than that, as one small file has.
+
+    For rows that are costly to work on. A table of many files passes as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 # Line number, part, supplier, day and price name a line.
 _LINE = """l_linenumber, l_partkey, l_suppkey, date_format(l_shipdate, 'yyyy-MM-dd'),
     cast(round(l_extendedprice * 100) AS bigint)"""

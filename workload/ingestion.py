@@ -19,7 +19,7 @@ from wrenchlight.sources.landing import page_envelope, page_items, parse_pages
 from wrenchlight.sources.load import load_all
 from wrenchlight.sources.warehouse import Warehouse
 from wrenchlight.streaming.feed import start_feed
-from workload.bridge import AS_OF, given
+from workload.bridge import AS_OF, given, spread
 
 
 def _times(n: Column, element) -> Column:
@@ -37,7 +37,7 @@ def _page(rows: DataFrame, entity: str, item: Column, own_key: Column) -> DataFr
         F.when(own_key, 1).alias("total_pages"),
         F.when(~own_key, 1).alias("total_pages_count"),
     )
-    return rows.select(F.to_json(page).alias("page"))
+    return spread(rows).select(F.to_json(page).alias("page"))
 
 
 def _number(column: str, modulo: int) -> Column:
@@ -101,7 +101,7 @@ def detail_pages(spark: SparkSession, folder: str) -> DataFrame:
         F.concat(F.lit("job_"), key.cast("string")).alias("id"),
         F.when(key % 8 != 0, schedule).alias("schedule"),
     )
-    return _orders(spark, folder).select(F.to_json(item).alias("page"))
+    return spread(_orders(spark, folder)).select(F.to_json(item).alias("page"))
 
 
 def invoice_pages(spark: SparkSession, folder: str) -> DataFrame:
@@ -186,7 +186,7 @@ def pricebook_pages(spark: SparkSession, folder: str) -> DataFrame:
         F.when(key % 2 == 1, number).alias("page"),
         F.when(key % 2 == 1, 8000).alias("total_pages_count"),
     )
-    return given(spark, folder, "part").select(F.to_json(page).alias("page"))
+    return spread(given(spark, folder, "part")).select(F.to_json(page).alias("page"))
 
 
 def _items(pages: DataFrame, entity: str) -> DataFrame:
