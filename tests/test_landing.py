@@ -6,9 +6,10 @@ import json
 
 import pytest
 
-from tests.frames import dicts
+from tests.frames import dicts, table
 from wrenchlight.functions.times import instant
 from wrenchlight.operators import flatten
+from wrenchlight.schemas import schema_listing
 from wrenchlight.sources.landing import page_envelope, page_items, read_items, read_pages, updated_within
 
 
@@ -163,3 +164,39 @@ def test_look_back(spark, updated, kept):
     items = spark.createDataFrame([("a", updated)], "id string, updated_at string")
     found = updated_within(items, instant("2026-08-01T12:00:00Z"), 60).count()
     assert found == kept
+
+
+def test_days_of_arrival_prune_the_scan(spark, tmp_path):
+    for day, number in (("2026-05-01", 1), ("2026-06-03", 2), ("2026-07-30", 3)):
+        changed = {"id": f"j{number}", "updated_at": f"{day}T08:00:00Z"}
+        land(tmp_path / "landing" / "jobs", f"load_date={day}", {"jobs": [changed]})
+    landing = str(tmp_path / "landing")
+    since = instant("2026-06-02T12:00:00Z")
+    recent = read_items(spark, landing, "jobs", since=since)
+    assert sorted(r["id"] for r in dicts(recent)) == ["j2", "j3"]
+    plan = recent._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(load_date" in plan
+    assert read_items(spark, landing, "jobs").count() == 3
+
+
+def test_jobs_wanting_details(spark):
+    rows = [
+        dict(job_id="a", work_status="complete rated", completed_at="2026-07-01T00:00:00Z"),
+        dict(job_id="b", work_status="Complete Rated", completed_at="2026-07-01T00:00:00Z"),
+        dict(job_id="c", work_status="complete unrated", completed_at="2026-01-01T00:00:00Z", updated_at="2026-07-01T00:00:00Z"),
+        dict(job_id="d", work_status="complete unrated"),
+        dict(job_id=None, work_status="complete unrated"),
+    ]
+    jobs = table(spark, "jobs", *rows)
+    assert sorted(r["job_id"] for r in dicts(flatten.jobs_wanting_details(jobs))) == ["a", "c", "d"]
+    late = flatten.jobs_wanting_details(jobs, instant("2026-06-17T00:00:00Z"))
+    assert sorted(r["job_id"] for r in dicts(late)) == ["a", "c"]
+
+
+def test_price_book_materials_and_schema_listing(spark, tmp_path):
+    path = land(tmp_path, "pricebook_materials", {"data": [{"uuid": "m1", "part_number": 5, "cost": 2.5}, {"name": "no key"}]})
+    materials = flatten.pricebook_materials(read_items(spark, path, "pricebook_materials"))
+    assert [(r["material_uuid"], r["part_number"], r["cost"]) for r in dicts(materials)] == [("m1", "5", 2.5)]
+    listed = dicts(schema_listing(spark, {"pricebook_materials": materials}))
+    assert listed[0] == {"table": "pricebook_materials", "position": 0, "column": "material_uuid", "type": "string"}
+    assert len(listed) == 8

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wrenchlight.functions import labels, numbers, text, times
+from wrenchlight.operators.flatten import jobs_wanting_details
 from wrenchlight.operators.reports import integer_shares, newest_rows
 from wrenchlight.plans.audit import table_counts
 from wrenchlight.plans.context import crew_as_employees
@@ -231,13 +232,19 @@ def incremental_window(spark: SparkSession, folder: str) -> DataFrame:
     return recent.select("job_id", "work_status", F.date_format("updated_at", "yyyy-MM-dd").alias("updated"))
 
 
+def details_wanted(spark: SparkSession, folder: str) -> DataFrame:
+    """Completed jobs changed in the 45 days before the load."""
+    ctx = context(spark, folder)
+    return jobs_wanting_details(ctx.tables["jobs"], ctx.as_of - F.expr("interval 45 days"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         tag_normalize, tag_normalize_distinct, category_map, tag_predicates, club_words_in_texts,
         status_levels, currency_display, ratio_display, option_outcomes, best_outcome, time_displays,
         time_parsing, names, share_rounding, table_audit, latest_n, newest_jobs, semi_join_ytd,
-        employee_dim_fallback, appointment_counts, incremental_window,
+        employee_dim_fallback, appointment_counts, incremental_window, details_wanted,
     )
 }
 
@@ -335,4 +342,8 @@ SQL = {
         """SELECT job_id, work_status, strftime(updated_at, '%Y-%m-%d') AS updated FROM jobs
            WHERE updated_at >= TIMESTAMP '2001-08-02 00:00:00' - INTERVAL 60 DAY"""
     ),
+    "details_wanted": oracle.sql(
+        """SELECT job_id FROM jobs WHERE work_status = 'complete rated'
+             AND updated_at >= TIMESTAMP '2001-08-02 00:00:00' - INTERVAL 45 DAY"""
+    ),
 }

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wrenchlight.functions.labels import COMPLETED_STATES
 from wrenchlight.schemas import conform
 
 
@@ -78,6 +79,19 @@ def with_appointment_counts(jobs_table: DataFrame, counts: DataFrame) -> DataFra
     return conform(filled, "jobs")
 
 
+def jobs_wanting_details(jobs_table: DataFrame, since: Column | None = None) -> DataFrame:
+    """(job_id) of completed jobs, whose details are worth fetching.
+
+    The state is compared as it is written. With ``since``, only jobs completed or
+    changed from then on; without, all of them.
+    """
+    wanted = F.col("work_status").isin(*COMPLETED_STATES) & F.col("job_id").isNotNull()
+    if since is not None:
+        late = [F.coalesce(F.col(c) >= since, F.lit(False)) for c in ("completed_at", "updated_at")]
+        wanted = wanted & (late[0] | late[1])
+    return jobs_table.filter(wanted).select("job_id")
+
+
 def customers(items: DataFrame) -> DataFrame:
     return conform(items.withColumnRenamed("id", "customer_id"), "customers")
 

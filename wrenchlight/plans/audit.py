@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wrenchlight.functions import text
+from wrenchlight.functions.labels import COMPLETED_STATES
 from wrenchlight.functions.numbers import percent
 from wrenchlight.operators.reports import newest_rows, row_counts
 from wrenchlight.plans.club import SOURCES, club_item_jobs, with_club_sources
-from wrenchlight.plans.context import COMPLETED_STATES, Context
+from wrenchlight.plans.context import Context
 from wrenchlight.sources.tables import Tables
 
 

@@ -9,12 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wrenchlight.functions import labels, text, times
+from wrenchlight.functions.labels import BILLED_STATES, COMPLETED_STATES
 from wrenchlight.sources.tables import Tables, read_parquet_if_present
 
-# Job states that count as completed, invoice states that count as billed.
-COMPLETED_STATES = ("complete unrated", "complete rated")
-BILLED_STATES = ("open", "pending_payment")
-
 
 class Context:
     """Tables plus the moment the KPIs are computed for.

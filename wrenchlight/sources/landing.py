@@ -74,7 +74,11 @@ ENVELOPE_KEYS: dict[str, tuple[str, ...]] = {
 PAGE_COUNTERS = """page int, page_size int, total_pages int, total_pages_count int,
     total_items bigint, total_count bigint"""
 
+# Landing folders may be partitioned by the day of arrival: landing/jobs/load_date=2026-08-01/…
+ARRIVAL = "load_date"
+
 # Entities that a load reads only as far back as its window; the others are read whole.
+# Invoice items carry no time of change, so for them only the day of arrival can tell.
 INCREMENTAL = ("estimates", "jobs", "customers", "invoices")
 
 
@@ -160,16 +164,36 @@ def page_items(pages: DataFrame, entity: str) -> DataFrame:
     return exploded.filter(F.col("item").isNotNull()).select("item.*")
 
 
-def updated_within(items: DataFrame, as_of: Column, days: int, column: str = "updated_at") -> DataFrame:
-    """Only items changed in the ``days`` before ``as_of``; the start of the window is included.
+def updated_since(items: DataFrame, since: Column, column: str = "updated_at") -> DataFrame:
+    """Only items changed at ``since`` or later; entities without that column are returned whole.
 
-    Text and timestamp columns both work. Entities without the column are
-    returned whole.
+    Text and timestamp columns both work.
     """
     if column not in items.columns:
         return items
-    return items.filter(parse_time(column) >= as_of - F.expr(f"interval {int(days)} days"))
+    return items.filter(parse_time(column) >= since)
+
+
+def updated_within(items: DataFrame, as_of: Column, days: int) -> DataFrame:
+    """Only items changed in the ``days`` before ``as_of``; the start of the window is included."""
+    return updated_since(items, as_of - F.expr(f"interval {int(days)} days"))
 
 
-def read_items(spark: SparkSession, landing: str, entity: str, one_per_line: bool = False) -> DataFrame:
-    return page_items(read_pages(spark, f"{landing}/{entity}", entity, one_per_line), entity)
+def arrived_since(pages: DataFrame, since: Column) -> DataFrame:
+    """Leave out folders of days before ``since``; nothing changed later can have arrived earlier.
+
+    One day is added for clocks and zones. A landing folder without such folders is read whole.
+    """
+    if ARRIVAL not in pages.columns:
+        return pages
+    return pages.filter(F.col(ARRIVAL).cast("date") >= F.date_sub(since.cast("date"), 1))
+
+
+def read_items(
+    spark: SparkSession, landing: str, entity: str, one_per_line: bool = False, since: Column | None = None
+) -> DataFrame:
+    """Items of an entity; with ``since`` only those that arrived and changed from then on."""
+    pages = read_pages(spark, f"{landing}/{entity}", entity, one_per_line)
+    if since is None:
+        return page_items(pages, entity)
+    return updated_since(page_items(arrived_since(pages, since), entity), since)

@@ -11,7 +11,7 @@ from wrenchlight.functions.times import instant
 from wrenchlight.operators.flatten import FLATTENERS, appointment_counts, with_appointment_counts
 from wrenchlight.plans.freshness import latest_facts, refresh_due
 from wrenchlight.session import prepare
-from wrenchlight.sources.landing import INCREMENTAL, LOOK_BACK, read_items, updated_within
+from wrenchlight.sources.landing import INCREMENTAL, LOOK_BACK, read_items
 from wrenchlight.sources.warehouse import Warehouse
 
 
@@ -40,8 +40,9 @@ def load_all(
     """Bring the warehouse up to date with the landing folder. False if it is too early.
 
     Estimates, jobs, customers and invoices are read as far back as ``window``
-    unless ``backfill``; the rest is read whole. The incoming row wins. Loading
-    the same files again changes nothing. All tables switch together.
+    unless ``backfill``; the rest is read whole. With landing folders by day of
+    arrival, older days are not even listed into the scan. The incoming row wins.
+    Loading the same files again changes nothing. All tables switch together.
     """
     prepare(spark)
     as_of = as_of or datetime.now(timezone.utc)
@@ -53,9 +54,8 @@ def load_all(
 
     staged: dict[str, str] = {}
     for entity, flatteners in FLATTENERS.items():
-        items = read_items(spark, landing, entity, one_per_line)
-        if entity in INCREMENTAL and not backfill:
-            items = updated_within(items, instant(as_of), window.days)
+        since = None if backfill or entity not in INCREMENTAL else instant(as_of - window)
+        items = read_items(spark, landing, entity, one_per_line, since)
         for name, flatten in flatteners.items():
             rows = flatten(items)
             if name == "jobs":
