@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,10 @@ from wrenchlight.sources.landing import INCREMENTAL, LOOK_BACK, read_items
 from wrenchlight.sources.warehouse import Warehouse
 
 
+# Tables of one load that are written at the same time.
+PARALLEL_TABLES = 4
+
+
 def load_log_rows(spark: SparkSession, as_of: datetime, window: timedelta, finished: datetime) -> DataFrame:
     """The three facts kept about a load, as key/value rows."""
     facts = [
@@ -52,18 +57,22 @@ def load_all(
     if min_interval and not refresh_due(facts, instant(as_of), min_interval).first().due:
         return False
 
-    staged: dict[str, str] = {}
-    for entity, flatteners in FLATTENERS.items():
+    def landed(entity: str) -> DataFrame:
         since = None if backfill or entity not in INCREMENTAL else instant(as_of - window)
         items = read_items(spark, landing, entity, one_per_line, since)
-        for name, flatten in flatteners.items():
-            rows = flatten(items)
-            if name == "jobs":
-                details = read_items(spark, landing, "job_details", one_per_line)
-                rows = with_appointment_counts(rows, appointment_counts(details))
-            path = warehouse.stage_upsert(name, rows, tables, replace_children=replace_children)
-            if path:
-                staged[name] = path
+        several = len(FLATTENERS[entity]) > 1 or entity == "job_details"
+        return warehouse.stage_items(entity, items) if several else items
+
+    def stage(name: str, rows: DataFrame) -> tuple[str, str | None]:
+        return name, warehouse.stage_upsert(name, rows, tables, replace_children=replace_children)
+
+    # Entities do not depend on each other; side by side, small tables fill the gaps of large ones.
+    with ThreadPoolExecutor(PARALLEL_TABLES) as pool:
+        items = dict(zip(FLATTENERS, pool.map(landed, FLATTENERS)))
+        batches = {name: flatten(items[entity]) for entity, tabs in FLATTENERS.items() for name, flatten in tabs.items()}
+        counts = appointment_counts(items["job_details"])
+        batches["jobs"] = with_appointment_counts(batches["jobs"], counts)
+        staged = {name: path for name, path in pool.map(stage, batches, batches.values()) if path}
 
     log = load_log_rows(spark, as_of, window, as_of)
     staged["load_log"] = warehouse.stage_append("load_log", log, tables)

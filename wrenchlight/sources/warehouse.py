@@ -56,6 +56,11 @@ class Warehouse:
         df.write.parquet(path)
         return path
 
+    def stage_items(self, entity: str, items: DataFrame) -> DataFrame:
+        """The items read back from Parquet, so that JSON is parsed once for all tables of the entity."""
+        path = self._write(items, "_batches", entity)
+        return self.spark.read.schema(items.schema).parquet(path)
+
     def stage_upsert(
         self, name: str, incoming: DataFrame, tables: Tables, keep_newest: bool = False, replace_children: bool = False
     ) -> str | None:

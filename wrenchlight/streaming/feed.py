@@ -19,7 +19,7 @@ from wrenchlight.sources.warehouse import Warehouse
 def apply_pages(warehouse: Warehouse, entity: str, pages: DataFrame) -> None:
     """Upsert the items of some pages into all tables of the entity, in one commit."""
     tables = warehouse.tables()
-    items = page_items(pages, entity)
+    items = warehouse.stage_items(entity, page_items(pages, entity))
     staged = {}
     for name, flatten in FLATTENERS[entity].items():
         path = warehouse.stage_upsert(name, flatten(items), tables, keep_newest=True)
