@@ -17,9 +17,27 @@ RUNTIME_SETTINGS = {
 }
 
 
+INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+
+
+def initial_partitions(cores: int, configured: int) -> int | None:
+    """Shuffle partitions to start with on clusters of more cores than configured partitions.
+
+    AQE merges partitions that turn out small but never splits those of an
+    aggregation, so a large cluster has to start with many.
+    """
+    return 3 * cores if cores > configured else None
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to an existing session and return it."""
-    for key, value in RUNTIME_SETTINGS.items():
+    wanted = dict(RUNTIME_SETTINGS)
+    if spark.conf.get(INITIAL_PARTITIONS, None) is None:
+        configured = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        initial = initial_partitions(spark.sparkContext.defaultParallelism, configured)
+        if initial:
+            wanted[INITIAL_PARTITIONS] = str(initial)
+    for key, value in wanted.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
     return spark

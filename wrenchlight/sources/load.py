@@ -45,8 +45,8 @@ def load_all(
     """Bring the warehouse up to date with the landing folder. False if it is too early.
 
     Estimates, jobs, customers and invoices are read as far back as ``window``
-    unless ``backfill``; the rest is read whole. With landing folders by day of
-    arrival, older days are not even listed into the scan. The incoming row wins.
+    unless ``backfill``; the rest is read whole. Landing folders by day of arrival
+    let the scan skip the files of earlier days. The incoming row wins.
     Loading the same files again changes nothing. All tables switch together.
     """
     prepare(spark)
