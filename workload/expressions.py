@@ -10,7 +10,6 @@ from wrenchlight.operators.flatten import jobs_wanting_details
 from wrenchlight.operators.reports import integer_shares, newest_rows
 from wrenchlight.plans.audit import table_counts
 from wrenchlight.plans.context import crew_as_employees
-from wrenchlight.plans.estimates import estimates_this_year
 from wrenchlight.session import prepare
 from wrenchlight.sources.landing import updated_within
 from wrenchlight.sources.tables import Tables
@@ -208,7 +207,7 @@ def newest_jobs(spark: SparkSession, folder: str) -> DataFrame:
 def semi_join_ytd(spark: SparkSession, folder: str) -> DataFrame:
     """Options of this year's estimates."""
     ctx = context(spark, folder)
-    wanted = estimates_this_year(ctx).select("estimate_id")
+    wanted = ctx.estimates_this_year.select("estimate_id")
     options = ctx.tables["estimate_options"].join(wanted, "estimate_id", "left_semi")
     return options.select("option_id", "estimate_id", "total_amount")
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from wrenchlight.functions import labels, text, times
 from wrenchlight.functions.labels import BILLED_STATES, COMPLETED_STATES
-from wrenchlight.sources.tables import Tables, read_parquet_if_present
+from wrenchlight.sources.tables import Tables
 
 
 class Context:
@@ -98,6 +98,25 @@ class Context:
             F.sum("cents").alias("cents"), F.sum("invoice_count").alias("invoice_count")
         )
 
+    # ---- estimates ---------------------------------------------------------
+
+    @cached_property
+    def estimates_this_year(self) -> DataFrame:
+        return self.tables["estimates"].filter(F.col("created_at") >= self.year_start)
+
+    @cached_property
+    def outcomes(self) -> DataFrame:
+        """(estimate_id, created_at, lead_source, outcome) of the year, one row per estimate.
+
+        The best option decides: won over lost over pending; pending without options.
+        Options are reduced to one weight per estimate before they are joined.
+        """
+        weight = labels.outcome_weight("approval_status", "status")
+        best = self.tables["estimate_options"].groupBy("estimate_id").agg(F.max(weight).alias("weight"))
+        estimates = self.estimates_this_year.select("estimate_id", "created_at", "lead_source")
+        joined = estimates.join(best, "estimate_id", "left")
+        return joined.withColumn("outcome", labels.outcome_name("weight")).drop("weight")
+
     # ---- people ------------------------------------------------------------
 
     @cached_property
@@ -126,11 +145,13 @@ class Context:
             frame = getattr(self, name)
             frame.write.parquet(f"{folder}/{name}")
             copy.__dict__[name] = self.tables.spark.read.schema(frame.schema).parquet(f"{folder}/{name}")
+        # The same jobs; nothing but the visits looks at the number of appointments.
+        copy.__dict__["completed"] = copy.completed_visits
         return copy
 
 
 # Populations that several KPIs read.
-MATERIALIZED = ("completed_visits", "completed", "billed", "billed_by_category", "crew", "employees")
+MATERIALIZED = ("completed_visits", "billed", "billed_by_category", "outcomes", "crew", "employees")
 
 EMPLOYEE_COLUMNS = ("employee_id", "first_name", "last_name", "role", "avatar_url", "color_hex")
 

@@ -10,12 +10,8 @@ from wrenchlight.functions.numbers import currency, dollars
 from wrenchlight.plans.context import Context
 
 
-def estimates_this_year(ctx: Context) -> DataFrame:
-    return ctx.tables["estimates"].filter(F.col("created_at") >= ctx.year_start)
-
-
 def estimates_count(ctx: Context) -> DataFrame:
-    return estimates_this_year(ctx).agg(F.count(F.lit(1)).alias("estimates_ytd_count"))
+    return ctx.estimates_this_year.agg(F.count(F.lit(1)).alias("estimates_ytd_count"))
 
 
 def option_status_breakdown(ctx: Context) -> DataFrame:

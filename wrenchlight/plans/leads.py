@@ -5,30 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wrenchlight.functions.labels import outcome_name, outcome_weight
 from wrenchlight.functions.numbers import percent, ratio
 from wrenchlight.functions.text import blank_to_null, full_name, looks_like_raw_id, or_default
 from wrenchlight.functions.times import month_of
 from wrenchlight.operators.joins import spread_join
 from wrenchlight.plans.context import Context
-from wrenchlight.plans.estimates import estimates_this_year
 
 UNASSIGNED = "Unassigned"
 
 
-def estimate_outcomes(ctx: Context) -> DataFrame:
-    """(estimate_id, created_at, lead_source, outcome) of the year, one row per estimate.
-
-    The best option decides: won over lost over pending; pending without options.
-    Options are reduced to one weight per estimate before they are joined.
-    """
-    weight = outcome_weight("approval_status", "status")
-    best = ctx.tables["estimate_options"].groupBy("estimate_id").agg(F.max(weight).alias("weight"))
-    estimates = estimates_this_year(ctx).select("estimate_id", "created_at", "lead_source")
-    joined = estimates.join(best, "estimate_id", "left")
-    return joined.withColumn("outcome", outcome_name("weight")).drop("weight")
-
-
 def _outcome_counts() -> list[Column]:
     return [F.count_if(F.col("outcome") == name).alias(name) for name in ("won", "lost", "pending")]
 
@@ -39,7 +24,7 @@ def _rated(grouped: DataFrame, digits: int = 1) -> DataFrame:
 
 def lead_summary(ctx: Context) -> DataFrame:
     """One row. Calls are the completed jobs of the year, for want of a table of calls."""
-    estimates = estimate_outcomes(ctx).agg(F.count(F.lit(1)).alias("created"), *_outcome_counts())
+    estimates = ctx.outcomes.agg(F.count(F.lit(1)).alias("created"), *_outcome_counts())
     calls = ctx.completed.agg(F.count(F.lit(1)).alias("calls"))
     names = ("created", "won", "lost", "pending", "calls")
     # Two frames of one row each, stacked and added up.
@@ -64,11 +49,11 @@ def _by(outcomes: DataFrame, label: Column, name: str) -> DataFrame:
 
 
 def lead_by_month(ctx: Context) -> DataFrame:
-    return _by(estimate_outcomes(ctx), month_of("created_at"), "month").orderBy("month")
+    return _by(ctx.outcomes, month_of("created_at"), "month").orderBy("month")
 
 
 def lead_by_source(ctx: Context) -> DataFrame:
-    grouped = _by(estimate_outcomes(ctx), or_default("lead_source", "Unknown"), "lead_source")
+    grouped = _by(ctx.outcomes, or_default("lead_source", "Unknown"), "lead_source")
     return grouped.orderBy(F.desc("estimates"), "lead_source")
 
 
@@ -83,7 +68,7 @@ def lead_by_employee(ctx: Context, distinct: bool = False) -> DataFrame:
     stored = ctx.tables["estimate_employees"].filter(F.col("estimate_id").isNotNull())
     given_name = full_name("first_name", "last_name").alias("given_name")
     assigned = stored.select("estimate_id", "employee_id", given_name).distinct()
-    outcomes = estimate_outcomes(ctx).select("estimate_id", "outcome")
+    outcomes = ctx.outcomes.select("estimate_id", "outcome")
     rated = spread_join(assigned, outcomes, "estimate_id", source=stored)
     names = ctx.employees.select("employee_id", "employee_name")
     named = rated.join(names, "employee_id", "left").withColumn(

@@ -6,7 +6,6 @@ from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from wrenchlight.functions.times import instant
 from wrenchlight.operators.flatten import FLATTENERS, appointment_counts, with_appointment_counts
