@@ -63,7 +63,7 @@ def test_replace_children(spark):
     assert sorted((r["k"], r["p"], r["note"]) for r in rows) == [("p1", "a", "new"), ("p2", "a", "old")]
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(
     st.lists(st.tuples(st.sampled_from("abc"), st.sampled_from(["x", "y", None]), st.integers(0, 5)), max_size=8),
     st.lists(st.tuples(st.sampled_from("abcd"), st.sampled_from(["x", "y", None]), st.integers(0, 5)), max_size=8),
