@@ -11,11 +11,17 @@ _BYTES = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64)
 _BASE, _WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 … base**(n-1), modulo 2**64."""
-    out = np.full(max(n, 1), base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+    """base**0 … base**(n-1), modulo 2**64; the longest so far are remembered."""
+    have = _POWERS.get(base)
+    if have is None or len(have) < n:
+        have = np.full(max(n, 1 << 20), base, np.uint64)
+        have[0] = 1
+        _POWERS[base] = have = np.multiply.accumulate(have)
+    return have[:n]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -32,7 +38,7 @@ class Ranges:
         n = len(values)
         self.back = powers(pow(base, -1, 1 << 64), n + 1)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(values * powers(base, n)[:n], out=self.sums[1:])
+        np.cumsum(values * powers(base, n), out=self.sums[1:])
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         length = (ends - starts).astype(np.uint64)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wrenchlight.llm import simhash, substring_dedup
+from wrenchlight.llm import fertility, line_dedup, simhash, substring_dedup
 from wrenchlight.llm.common import read
 from wrenchlight.session import prepare
 
@@ -18,9 +18,49 @@ def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256", "factors")
 
 
+def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = line_dedup.remove_lines(read(prepare(spark), folder, "documents"))
+    return found.select("row.doc_id", "n_lines", "n_removed", "text")
+
+
+OP7_SQL = """
+WITH lines AS (
+  SELECT doc_id, pos_line, line,
+         row_number() OVER (PARTITION BY doc_id ORDER BY pos_line) - 1 AS pos,
+         len(string_split_regex(regexp_replace(line, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g'), '[\\x20\\x09-\\x0D]+')) AS words
+  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+               generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS pos_line FROM documents)
+  WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+runs AS (
+  SELECT a.doc_id, a.pos, s.size, string_agg(b.line, chr(10) ORDER BY b.pos) AS run, sum(b.words) AS words
+  FROM lines a CROSS JOIN (SELECT unnest([1, 2, 3, 4, 5]) AS size) s
+  JOIN lines b ON b.doc_id = a.doc_id AND b.pos BETWEEN a.pos AND a.pos + s.size - 1
+  GROUP BY a.doc_id, a.pos, s.size HAVING count(*) = s.size),
+later AS (
+  SELECT doc_id, pos, size FROM (
+    SELECT *, row_number() OVER (PARTITION BY size, run ORDER BY doc_id, pos) AS copy FROM runs WHERE words >= 5)
+  WHERE copy > 1),
+gone AS (
+  SELECT DISTINCT l.doc_id, l.pos_line FROM later r
+  JOIN lines l ON l.doc_id = r.doc_id AND l.pos BETWEEN r.pos AND r.pos + r.size - 1),
+every AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+         generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos_line FROM documents)
+SELECT e.doc_id, count(*) AS n_lines, count(g.doc_id) AS n_removed,
+       coalesce(string_agg(e.line, chr(10) ORDER BY e.pos_line) FILTER (WHERE g.doc_id IS NULL), '') AS text
+FROM every e LEFT JOIN gone g ON g.doc_id = e.doc_id AND g.pos_line = e.pos_line
+GROUP BY e.doc_id
+"""
+
+
 def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(read(prepare(spark), folder, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_substring_dedup, op9_simhash)}
-SQL: dict[str, str] = {}
+def op10_fertility(spark: SparkSession, folder: str) -> DataFrame:
+    found = fertility.judged(read(prepare(spark), folder, "documents"))
+    return found.drop("text_key", "n_tokens")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_substring_dedup, op7_line_dedup, op9_simhash, op10_fertility)}
+SQL: dict[str, str] = {"op7_line_dedup": OP7_SQL}
