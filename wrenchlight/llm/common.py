@@ -70,11 +70,11 @@ def pieces(batches: Iterable[pa.RecordBatch], column: str, limit: int = PIECE_BY
             yield batch.slice(start)
 
 
-def map_arrow(df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, column: str = "text") -> DataFrame:
+def map_arrow(df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, column: str = "text", limit: int = PIECE_BYTES) -> DataFrame:
     """mapInArrow, piece by piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, column):
+        for piece in pieces(batches, column, limit):
             made = make(piece)
             if made is not None and made.num_rows:
                 yield made
@@ -95,16 +95,16 @@ def components(edges: DataFrame) -> DataFrame:
     """node, label: the smallest node of its connected component, for edges(a, b) of longs.
 
     Alternating large-star and small-star steps until nothing changes, a logarithmic number of rounds in practice.
-    A node's smallest neighbour comes from a partial aggregation and is joined back, so a node of any degree is
-    spread over tasks. Nodes without edges do not occur.
+    A node's smallest neighbour comes from a partial aggregation, is written, and is joined back: a plain shuffle on either
+    side, which AQE splits at nodes of high degree. Nodes without edges do not occur.
     """
     now = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = None
     while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        smallest = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+        large = stored(both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large-stars")
+        smallest = stored(large.groupBy("a").agg(F.min("b").alias("m")), "smallest")
         linked = large.join(smallest, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         now = stored(linked.select("e.a", "e.b").filter("a <> b").distinct(), "edges")
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

@@ -77,7 +77,7 @@ def labelled(prints: DataFrame, max_bits: int = 2) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
     """doc_id, fingerprint, component_id for each document."""
     found = stored(labelled(stored(fingerprints(docs, shingle), "fingerprints"), max_bits), "components")
-    first = found.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    first = stored(found.groupBy("label").agg(F.min("doc_id").alias("component_id")), "first-documents")
     return found.join(first, "label").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

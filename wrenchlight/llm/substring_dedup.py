@@ -96,8 +96,10 @@ def _windows(docs: DataFrame, window: int) -> DataFrame:
 def matches(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """doc_id, text_key, lo, hi: stretches of windows (first words numbered from 0) that occur elsewhere too; docs: from keyed()."""
     found = blocks(docs, window, gram)
+    # Written before it is joined back: the join then has a plain shuffle on either side, which AQE can split at a frequent anchor.
     anchors = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("block").alias("low"), F.max("block").alias("high")).filter("n > 1")
-    shared = stored(found.join(anchors.select("anchor", (F.col("low") == F.col("high")).alias("whole")), "anchor"), "shared-blocks")
+    anchors = stored(anchors.select("anchor", (F.col("low") == F.col("high")).alias("whole")), "anchors")
+    shared = stored(found.join(anchors, "anchor"), "shared-blocks")
     # Anchors of several blocks: one representative of each block, and how often the block occurs.
     edge = shared.filter("not whole")
     known = stored(
@@ -108,7 +110,7 @@ def matches(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
     some, _ = may_contain(docs, todo, "text_key")
     windows = _windows(some.join(todo, same_key(some, todo)).select(some["doc_id"], some["text_key"], "text", "todo"), window)
     windows = stored(windows, "boundary-windows")
-    again = windows.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash")
+    again = stored(windows.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash"), "boundary-hashes")
     alone = windows.filter("single").join(again, "hash").select(*KEY, "lo", F.col("lo").alias("hi"))
     return shared.filter("whole").select(*KEY, "lo", "hi").union(repeated.select(*KEY, "lo", "hi")).union(alone)
 
