@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wrenchlight.llm import fertility, line_dedup, simhash, substring_dedup
-from wrenchlight.llm.common import read
+from wrenchlight.llm import decontaminate, fertility, line_dedup, mixing, simhash, substring_dedup
+from wrenchlight.llm.common import keyed, read
 from wrenchlight.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,45 @@ def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256", "factors")
 
 
+def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.leaks(keyed(read(prepare(spark), folder, "documents")), read(spark, folder, "benchmark"))
+    return found.drop("text_key")
+
+
+def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    found = mixing.mixed(read(prepare(spark), folder, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+OP5_SQL = """
+WITH sized AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+         md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))) AS digest FROM documents),
+sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+         [5, 2, 1][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INTEGER)] AS weight
+  FROM sized GROUP BY source),
+ordered AS (
+  SELECT *, sum(3 * source_size) OVER o AS caps, sum(weight) OVER o AS full_weight,
+         sum(source_size) OVER () AS total, sum(weight) OVER () AS all_weight
+  FROM sources WINDOW o AS (ORDER BY CAST(source_size AS DOUBLE) / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+levels AS (
+  SELECT source_size, weight, CAST(total - coalesce(caps, 0) AS DOUBLE) / (all_weight - coalesce(full_weight, 0)) AS level FROM ordered),
+chosen AS (SELECT max(level) AS level FROM levels),
+goals AS (
+  SELECT source, source_size, least(CAST(3 * source_size AS DOUBLE), level * weight) AS target FROM sources, chosen),
+placed AS (
+  SELECT d.doc_id, d.size, g.source_size, g.target,
+         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.digest) - sum(d.size) OVER (PARTITION BY d.source, d.digest) AS place
+  FROM sized d JOIN goals g ON d.source IS NOT DISTINCT FROM g.source),
+counted AS (
+  SELECT *, CAST(CASE WHEN size = 0 THEN 0 ELSE
+    CAST(place + size / 2.0 < target AS INTEGER) + CAST(place + source_size + size / 2.0 < target AS INTEGER)
+    + CAST(place + 2 * source_size + size / 2.0 < target AS INTEGER) END AS INTEGER) AS copies FROM placed)
+SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM counted
+"""
+
+
 def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = line_dedup.remove_lines(read(prepare(spark), folder, "documents"))
     return found.select("row.doc_id", "n_lines", "n_removed", "text")
@@ -62,5 +101,5 @@ def op10_fertility(spark: SparkSession, folder: str) -> DataFrame:
     return found.drop("text_key", "n_tokens")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_substring_dedup, op7_line_dedup, op9_simhash, op10_fertility)}
-SQL: dict[str, str] = {"op7_line_dedup": OP7_SQL}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_substring_dedup, op3_decontamination, op5_mixing, op7_line_dedup, op9_simhash, op10_fertility)}
+SQL: dict[str, str] = {"op5_mixing": OP5_SQL, "op7_line_dedup": OP7_SQL}
