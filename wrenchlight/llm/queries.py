@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wrenchlight.llm import decontaminate, fertility, line_dedup, mixing, simhash, substring_dedup
+from wrenchlight.llm import decontaminate, fertility, licenses, line_dedup, mixing, pii, simhash, substring_dedup
 from wrenchlight.llm.common import keyed, read
 from wrenchlight.session import prepare
 
@@ -23,6 +23,45 @@ def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return found.drop("text_key")
 
 
+def op4_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(read(prepare(spark), folder, "documents"))
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _canonical_sql(text: str) -> str:
+    """The canonical text in DuckDB's SQL, from the same fixed values."""
+    for pattern in (licenses.COPYRIGHT_LINE, licenses.RESERVED_LINE):
+        text = f"regexp_replace({text}, {_quoted(pattern)}, '', 'g')"
+    text = f"trim(regexp_replace(lower({text}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+    for found, instead in licenses.SPELLINGS:
+        text = f"replace({text}, {_quoted(found)}, {_quoted(instead)})"
+    return text
+
+
+def _known_sql(known: dict[str, str]) -> str:
+    rows = ", ".join(f"({_quoted(name)}, {_quoted(text)})" for name, text in known.items())
+    return f"SELECT license, sha256({_canonical_sql('known_text')}) AS digest FROM (VALUES {rows}) AS v(license, known_text)"
+
+
+OP4_SQL = f"""
+WITH texts AS ({_known_sql(licenses.TEXTS)}), notices AS ({_known_sql(licenses.NOTICES)}),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS part,
+                 generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents),
+found AS (
+  SELECT doc_id, license, CAST(NULL AS VARCHAR) AS notice, CAST(NULL AS BIGINT) AS line
+  FROM (SELECT doc_id, sha256({_canonical_sql('text')}) AS digest FROM documents) JOIN texts USING (digest)
+  UNION ALL
+  SELECT doc_id, NULL, license, line
+  FROM (SELECT doc_id, line, sha256({_canonical_sql('part')}) AS digest FROM lines) JOIN notices USING (digest))
+SELECT doc_id, max(license) AS license,
+       coalesce(string_agg(DISTINCT notice, ',' ORDER BY notice), '') AS notices, count(DISTINCT line) AS n_notices
+FROM found GROUP BY doc_id
+"""
+
+
 def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
     found = mixing.mixed(read(prepare(spark), folder, "documents"))
     return found.select("doc_id", "size", "source_size", "target", "taken", "copies")
@@ -92,6 +131,10 @@ GROUP BY e.doc_id
 """
 
 
+def op8_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.personal_data(read(prepare(spark), folder, "documents"))
+
+
 def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(read(prepare(spark), folder, "documents"))
 
@@ -101,5 +144,5 @@ def op10_fertility(spark: SparkSession, folder: str) -> DataFrame:
     return found.drop("text_key", "n_tokens")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_substring_dedup, op3_decontamination, op5_mixing, op7_line_dedup, op9_simhash, op10_fertility)}
-SQL: dict[str, str] = {"op5_mixing": OP5_SQL, "op7_line_dedup": OP7_SQL}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_substring_dedup, op3_decontamination, op4_licenses, op5_mixing, op7_line_dedup, op8_pii, op9_simhash, op10_fertility)}
+SQL: dict[str, str] = {"op4_licenses": OP4_SQL, "op5_mixing": OP5_SQL, "op7_line_dedup": OP7_SQL}
