@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wrenchlight.llm import decontaminate, fertility, licenses, line_dedup, mixing, pii, simhash, substring_dedup
+from wrenchlight.llm import decontaminate, fertility, html_crf, licenses, line_dedup, mixing, pii, quotations, simhash, substring_dedup
 from wrenchlight.llm.common import keyed, read
 from wrenchlight.session import prepare
 
@@ -18,6 +18,10 @@ def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256", "factors")
 
 
+def op2_html_crf(spark: SparkSession, folder: str) -> DataFrame:
+    return html_crf.main_texts(read(prepare(spark), folder, "pages"), read(spark, folder, "documents"))
+
+
 def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.leaks(keyed(read(prepare(spark), folder, "documents")), read(spark, folder, "benchmark"))
     return found.drop("text_key")
@@ -96,6 +100,10 @@ SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM co
 """
 
 
+def op6_quotations(spark: SparkSession, folder: str) -> DataFrame:
+    return quotations.conversations(read(prepare(spark), folder, "conversations"))
+
+
 def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = line_dedup.remove_lines(read(prepare(spark), folder, "documents"))
     return found.select("row.doc_id", "n_lines", "n_removed", "text")
@@ -144,5 +152,11 @@ def op10_fertility(spark: SparkSession, folder: str) -> DataFrame:
     return found.drop("text_key", "n_tokens")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_substring_dedup, op3_decontamination, op4_licenses, op5_mixing, op7_line_dedup, op8_pii, op9_simhash, op10_fertility)}
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_substring_dedup, op2_html_crf, op3_decontamination, op4_licenses, op5_mixing,
+        op6_quotations, op7_line_dedup, op8_pii, op9_simhash, op10_fertility,
+    )
+}
 SQL: dict[str, str] = {"op4_licenses": OP4_SQL, "op5_mixing": OP5_SQL, "op7_line_dedup": OP7_SQL}
