@@ -60,6 +60,11 @@ _TAGS = """CASE WHEN c_mktsegment <> 'AUTOMOBILE' THEN concat(
          WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 'Service'
          ELSE 'New Construction' END) END"""
 
+# The option states that occur.
+_WON = """array('approved', 'pro approved', 'accepted', 'won', 'sold', 'selected', 'created job from estimate',
+    'complete rated', 'complete unrated', 'scheduled', 'in progress')"""
+_LOST = "array('declined', 'pro declined', 'rejected', 'lost', 'expired', 'canceled', 'cancelled', 'deleted', 'void')"
+
 _PERSON = (
     "cast(s_suppkey AS string) AS employee_id",
     "split(s_name, '#')[0] AS first_name",
@@ -99,7 +104,7 @@ class Bridge:
         )
 
     def employees(self) -> DataFrame:
-        return self._given("supplier").filter("s_suppkey % 50 <> 7").selectExpr(*_PERSON)
+        return self._given("supplier").selectExpr(*_PERSON)
 
     def jobs(self) -> DataFrame:
         return self._orders_with_customer().selectExpr(
@@ -150,7 +155,7 @@ class Bridge:
         )
 
     def estimates(self) -> DataFrame:
-        return self._orders_with_customer().filter("o_orderkey % 3 = 0").selectExpr(
+        return self._orders_with_customer().selectExpr(
             "concat('est_', o_orderkey) AS estimate_id",
             "cast(o_custkey AS string) AS customer_id",
             "CASE WHEN c_mktsegment = 'AUTOMOBILE' THEN '' ELSE concat(c_mktsegment, ' ') END AS lead_source",
@@ -158,17 +163,22 @@ class Bridge:
         )
 
     def estimate_options(self) -> DataFrame:
-        return self._given("lineitem").filter("l_orderkey % 3 = 0").selectExpr(
+        return self._given("lineitem").selectExpr(
             f"concat_ws('-', {_LINE}, l_orderkey) AS option_id",
             "concat('est_', l_orderkey) AS estimate_id",
-            """CASE WHEN l_returnflag = 'A' AND l_linestatus = 'F' THEN 'Approved'
-                WHEN l_returnflag = 'R' THEN 'pro declined' END AS approval_status""",
-            "CASE WHEN l_linestatus = 'O' THEN 'submitted' ELSE '' END AS status",
+            f"""CASE WHEN l_returnflag = 'A' AND l_linestatus = 'F' AND l_partkey % 2 = 0
+                THEN upper(element_at({_WON}, cast(l_partkey % 11 + 1 AS int)))
+                WHEN l_returnflag = 'R' AND l_partkey % 2 = 0
+                THEN concat(element_at({_LOST}, cast(l_partkey % 9 + 1 AS int)), ' ') END AS approval_status""",
+            f"""CASE WHEN l_linestatus = 'O' THEN 'submitted' WHEN l_returnflag = 'A' AND l_partkey % 2 = 1
+                THEN element_at({_WON}, cast(l_partkey % 11 + 1 AS int))
+                WHEN l_returnflag = 'R' AND l_partkey % 2 = 1
+                THEN element_at({_LOST}, cast(l_partkey % 9 + 1 AS int)) ELSE '' END AS status""",
             f"{_cents('l_extendedprice')} AS total_amount",
         )
 
     def estimate_employees(self) -> DataFrame:
-        return self._assignments().filter("l_orderkey % 3 = 0").selectExpr(
+        return self._assignments().selectExpr(
             "concat('est_', l_orderkey) AS estimate_id", "cast(l_suppkey AS string) AS employee_id"
         )
 

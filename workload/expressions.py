@@ -289,9 +289,11 @@ SQL = {
           {oracle.fixed('part / 60', 1, ' hrs')} AS hours_display,
           greatest(0.0::DOUBLE, least(100.0::DOUBLE, ({oracle.pct('part', 'whole')}) * 3 - 50)) AS clamped FROM sums""",
     "option_outcomes": oracle.sql(
-        """SELECT option_id, CASE WHEN approval_status = 'Approved' THEN 'won'
-             WHEN approval_status = 'pro declined' THEN 'lost' ELSE 'pending' END AS outcome,
-             CASE WHEN approval_status IS NOT NULL THEN lower(approval_status)
+        f"""SELECT option_id, CASE WHEN lower(trim(approval_status)) IN {oracle.words(oracle.WON_STATES)}
+               OR status IN {oracle.words(oracle.WON_STATES)} THEN 'won'
+             WHEN lower(trim(approval_status)) IN {oracle.words(oracle.LOST_STATES)}
+               OR status IN {oracle.words(oracle.LOST_STATES)} THEN 'lost' ELSE 'pending' END AS outcome,
+             CASE WHEN approval_status IS NOT NULL THEN lower(trim(approval_status))
                WHEN status <> '' THEN status ELSE 'unknown' END AS bucket FROM estimate_options"""
     ),
     "best_outcome": oracle.sql(

@@ -331,12 +331,11 @@ def upsert_keep_newest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def upsert_replace_children(spark: SparkSession, folder: str) -> DataFrame:
-    """All stored rows of a user that occurs in the batch make way for the batch."""
+    """All stored rows of a user that occurs in the batch make way for the batch, which holds users whole."""
     target, incoming = _event_batches(spark, folder)
     keys, newest = ["user_id", "event_type"], ["ts", "event_id"]
     stored = latest_per_key(target, keys, newest=newest)
-    batch = incoming.filter(F.col("event_type") == "click")
-    return _event_rows(upsert(stored, batch, keys, newest=newest, replace_children_of=["user_id"]))
+    return _event_rows(upsert(stored, incoming, keys, newest=newest, replace_children_of=["user_id"]))
 
 
 # ---- loads -----------------------------------------------------------------
@@ -491,9 +490,9 @@ SQL = {
     ),
     "upsert_keep_newest": _events_sql(_latest("(SELECT * FROM target UNION ALL SELECT * FROM incoming)")),
     "upsert_replace_children": _events_sql(
-        """SELECT * FROM stored s WHERE NOT EXISTS (SELECT 1 FROM clicks b WHERE b.user_id = s.user_id)
-           UNION ALL SELECT * FROM clicks"""
-    ).replace("merged AS", f"clicks AS ({_latest('''(SELECT * FROM incoming WHERE event_type = 'click')''')}), merged AS"),
+        """SELECT * FROM stored s WHERE NOT EXISTS (SELECT 1 FROM batch b WHERE b.user_id = s.user_id)
+           UNION ALL SELECT * FROM batch"""
+    ),
     "upsert_stream": f"""SELECT user_id || '-' || event_type AS customer_id, event_id::VARCHAR AS first_name,
           strftime(ts, '%Y-%m-%d %H:%M:%S') AS updated FROM ({_latest('events')})""",
     "load_twice": f"""SELECT 'jobs' AS table_name, count(*) AS row_count FROM orders

@@ -2,15 +2,78 @@
 
 from __future__ import annotations
 
-from wrenchlight.functions.labels import (
-    INSTALL_TAGS,
-    LOST_STATES,
-    MAINTENANCE_TAGS,
-    NEW_CONSTRUCTION_TAGS,
-    SERVICE_TAGS,
-    WON_STATES,
+# Fixed values, written out here and not taken from the code under test.
+INSTALL_TAGS = (
+    "install",
+    "installation",
+    "change out",
+    "change-out",
+    "changeout",
+)
+LOST_STATES = (
+    "declined",
+    "pro declined",
+    "rejected",
+    "lost",
+    "expired",
+    "canceled",
+    "cancelled",
+    "deleted",
+    "void",
+)
+MAINTENANCE_TAGS = (
+    "maintenance",
+)
+NEW_CONSTRUCTION_TAGS = (
+    "new construction",
+    "new-construction",
+    "new build",
+    "new-build",
+    "newconstruction",
+)
+SERVICE_TAGS = (
+    "service",
+    "demand service",
+    "demand",
+)
+WON_STATES = (
+    "approved",
+    "pro approved",
+    "accepted",
+    "won",
+    "sold",
+    "selected",
+    "created job from estimate",
+    "complete rated",
+    "complete unrated",
+    "scheduled",
+    "in progress",
+)
+AUDIT_INSTALL_KEYWORDS = (
+    "install",
+    "changeout",
+    "change-out",
+    "replacement",
+    "new system",
+)
+CALLBACK_TAGS = (
+    "callback",
+    "call back",
+    "call-back",
+    "recall",
+    "warranty",
+    "warrantee",
+)
+CLUB_KEYWORDS = (
+    "wizard club",
+    "wizard",
+    "club",
+    "membership",
+    "member",
+    "maintenance plan",
+    "service plan",
+    "agreement",
 )
-from wrenchlight.functions.text import AUDIT_INSTALL_KEYWORDS, CALLBACK_TAGS, CLUB_KEYWORDS
 
 YEAR_START = "TIMESTAMP '2001-01-01 06:00:00'"
 UTC_YEAR_START = "TIMESTAMP '2001-01-01 00:00:00'"
@@ -107,7 +170,7 @@ ENTITIES: dict[str, str] = {
         split_part(s_name, '#', 2) AS last_name,
         CASE WHEN s_suppkey % 10 <> 0 THEN 'Senior Tech' END AS role, s_suppkey FROM supplier""",
     "employees": """SELECT employee_id, trim(first_name) || ' ' || trim(last_name) AS employee_name, role
-        FROM people WHERE s_suppkey % 50 <> 7""",
+        FROM people""",
     "jobs": f"""SELECT 'job_' || o_orderkey AS job_id, o_custkey::VARCHAR AS customer_id,
         CASE o_orderstatus WHEN 'F' THEN 'complete rated' WHEN 'P' THEN 'Complete Unrated'
              ELSE 'in progress' END AS work_status,
@@ -139,15 +202,17 @@ ENTITIES: dict[str, str] = {
         FROM lineitem JOIN part ON l_partkey = p_partkey""",
     "estimates": """SELECT 'est_' || o_orderkey AS estimate_id, o_custkey::VARCHAR AS customer_id,
         CASE WHEN c_mktsegment = 'AUTOMOBILE' THEN '' ELSE c_mktsegment || ' ' END AS lead_source,
-        o_orderdate AS created_at FROM orders JOIN customer ON o_custkey = c_custkey
-        WHERE o_orderkey % 3 = 0""",
+        o_orderdate AS created_at FROM orders JOIN customer ON o_custkey = c_custkey""",
     "estimate_options": f"""SELECT {LINE_ID}, l_orderkey) AS option_id, 'est_' || l_orderkey AS estimate_id,
-        CASE WHEN l_returnflag = 'A' AND l_linestatus = 'F' THEN 'Approved'
-             WHEN l_returnflag = 'R' THEN 'pro declined' END AS approval_status,
-        CASE WHEN l_linestatus = 'O' THEN 'submitted' ELSE '' END AS status,
-        floor(l_extendedprice / 5)::BIGINT AS total_amount FROM lineitem WHERE l_orderkey % 3 = 0""",
+        CASE WHEN l_returnflag = 'A' AND l_linestatus = 'F' AND l_partkey % 2 = 0
+               THEN upper(list_extract({[*WON_STATES]}, l_partkey % 11 + 1))
+             WHEN l_returnflag = 'R' AND l_partkey % 2 = 0 THEN list_extract({[*LOST_STATES]}, l_partkey % 9 + 1) || ' ' END AS approval_status,
+        CASE WHEN l_linestatus = 'O' THEN 'submitted' WHEN l_returnflag = 'A' AND l_partkey % 2 = 1
+               THEN list_extract({[*WON_STATES]}, l_partkey % 11 + 1)
+             WHEN l_returnflag = 'R' AND l_partkey % 2 = 1 THEN list_extract({[*LOST_STATES]}, l_partkey % 9 + 1) ELSE '' END AS status,
+        floor(l_extendedprice / 5)::BIGINT AS total_amount FROM lineitem""",
     "estimate_employees": """SELECT DISTINCT 'est_' || l_orderkey AS estimate_id,
-        l_suppkey::VARCHAR AS employee_id FROM lineitem WHERE l_orderkey % 3 = 0""",
+        l_suppkey::VARCHAR AS employee_id FROM lineitem""",
     "load_log": """SELECT CASE event_id % 3 WHEN 0 THEN 'last_refresh' WHEN 1 THEN 'last_window_start'
         ELSE 'last_window_end' END AS key, date_trunc('second', ts) AS loaded, ts AS recorded_at FROM events""",
     # populations
