@@ -12,7 +12,8 @@ from wrenchlight.plans.context import Context
 from wrenchlight.plans.freshness import freshness, load_facts
 from wrenchlight.sources.load import load_all
 from wrenchlight.sources.tables import Tables
-from wrenchlight.sources.warehouse import Warehouse
+from wrenchlight.sources import warehouse as warehouses
+from wrenchlight.sources.warehouse import CommitConflict, Warehouse
 from wrenchlight.streaming.feed import start_feed
 
 AT = datetime(2026, 3, 1, 12, tzinfo=timezone.utc)
@@ -29,7 +30,10 @@ def test_load_all(spark, tmp_path):
     land(tmp_path / "landing", "employees", {"employees": [{"id": "e1", "first_name": "Ann"}]})
     assert load_all(spark, landing, root, AT, backfill=True)
     tables = Warehouse(spark, root).tables()
-    assert {r["job_id"]: r["num_appointments"] for r in dicts(tables["jobs"])} == {"j1": 1, "j2": 0}
+    assert {r["job_id"] for r in dicts(tables["jobs"])} == {"j1", "j2"}
+    # The number of appointments is counted from their table, nowhere stored.
+    completed = Context(tables, AT).completed_visits
+    assert {r["job_id"]: r["num_appointments"] for r in dicts(completed)} == {"j1": 1, "j2": 0}
     assert tables["job_employees"].count() == 4 and tables["invoices"].count() == 0
     assert tables["employees"].count() == 1 and tables["job_appointments"].count() == 1
 
@@ -66,7 +70,7 @@ def test_a_load_that_fails_leaves_the_old_tables(spark, tmp_path):
     warehouse = Warehouse(spark, root)
     before = warehouse.current_paths()
     changed = warehouse.tables()["jobs"].selectExpr("job_id", "'changed' AS work_status")
-    assert warehouse.stage_upsert("jobs", changed, warehouse.tables())
+    assert warehouse.stage_upsert("jobs", changed, warehouse.snapshot())
     assert warehouse.current_paths() == before
     assert dicts(warehouse.tables()["jobs"])[0]["work_status"] == "complete rated"
 
@@ -78,8 +82,9 @@ def test_children_dropped_upstream(spark, tmp_path):
     one_left = Warehouse(spark, root)
     crew = one_left.tables()["job_employees"].filter("employee_id = 'e1'")
     for replace, left in ((False, 2), (True, 1)):
-        path = one_left.stage_upsert("job_employees", crew, one_left.tables(), replace_children=replace)
-        assert spark.read.parquet(path).count() == left
+        snapshot = one_left.snapshot()
+        one_left.commit({"job_employees": one_left.stage_upsert("job_employees", crew, snapshot, replace)}, snapshot)
+        assert one_left.tables()["job_employees"].count() == left
 
 
 def test_columns_added_later_read_as_null(spark, tmp_path):
@@ -110,10 +115,125 @@ def test_stream_equals_batch(spark, tmp_path):
     streamed = run().tables()
     load_all(spark, str(landing), str(tmp_path / "loaded"), AT, backfill=True)
     loaded = Warehouse(spark, str(tmp_path / "loaded")).tables()
-    columns = ["job_id", "work_status", "updated_at"]
-    assert as_text(streamed["jobs"].select(columns)) == as_text(loaded["jobs"].select(columns))
+    assert as_text(streamed["jobs"]) == as_text(loaded["jobs"])
     assert {r["work_status"] for r in dicts(streamed["jobs"])} == {"newest", "complete rated"}
     assert as_text(streamed["job_employees"]) == as_text(loaded["job_employees"])
     # Nothing new: nothing happens.
-    commits = run().commits().count()
-    assert run().commits().count() == commits
+    commit = run().snapshot()["number"]
+    assert run().snapshot()["number"] == commit
+
+
+def day(landing, name, **pages):
+    for entity, found in pages.items():
+        land(landing, f"{entity}/load_date={name}", found)
+
+
+def test_a_record_sent_again_wins_whatever_the_files_are_called(spark, tmp_path):
+    """Tables without a time of change: the day of arrival decides, also where the newer file has the smaller name or was written first."""
+    landing, root = tmp_path / "landing", str(tmp_path / "warehouse")
+    for name, status, role, last in (("2026-02-02", "paid", "lead", "Newer"), ("2026-02-01", "open", "tech", "Older")):
+        day(
+            landing, name,
+            invoices={"invoices": [{"id": f"i{k}", "status": status, "items": [{"id": "l", "name": last}]} for k in range(12)]},
+            employees={"employees": [{"id": f"e{k}", "role": role} for k in range(12)]},
+            estimates={"estimates": [{"id": "s", "created_at": "2026-01-05T00:00:00Z", "assigned_employees": [{"id": "e1"}], "options": [{"id": "o", "name": last}]}]},
+            pricebook_materials={"data": [{"uuid": "m", "name": last}]},
+        )
+    assert load_all(spark, str(landing), root, AT)
+    tables = Warehouse(spark, root).tables()
+    assert {r["status"] for r in dicts(tables["invoices"])} == {"paid"} and tables["invoices"].count() == 12
+    assert {r["role"] for r in dicts(tables["employees"])} == {"lead"} and tables["employees"].count() == 12
+    assert {r["name"] for t in ("invoice_items", "estimate_options", "pricebook_materials") for r in dicts(tables[t])} == {"Newer"}
+    # An older file that lands late changes nothing.
+    before = {t: as_text(tables[t]) for t in ("invoices", "employees", "estimate_options")}
+    day(landing, "2026-01-31", invoices={"invoices": [{"id": "i1", "status": "draft"}]}, employees={"employees": [{"id": "e1", "role": "helper"}]})
+    assert load_all(spark, str(landing), root, AT + timedelta(hours=2))
+    assert {t: as_text(Warehouse(spark, root).tables()[t]) for t in before} == before
+
+
+def test_items_without_a_time_of_change_are_loaded(spark, tmp_path):
+    landing, root = tmp_path / "landing", str(tmp_path / "warehouse")
+    land(landing, "customers", {"customers": [{"id": "c1", "updated_at": "2020-01-01T00:00:00Z"}, {"id": "c2"}, {"id": "c3", "updated_at": "soon"}]})
+    assert load_all(spark, str(landing), root, AT)
+    assert {r["customer_id"] for r in dicts(Warehouse(spark, root).tables()["customers"])} == {"c2", "c3"}
+
+
+def test_rows_without_a_key_do_not_grow(spark, tmp_path):
+    landing, root = tmp_path / "landing", str(tmp_path / "warehouse")
+    crew = [{"first_name": "Ann"}, {"first_name": "Bob"}, {"id": "e1"}]
+    land(landing, "jobs", {"jobs": [job(1, assigned_employees=crew), job(2, assigned_employees=crew[:1])]})
+    land(landing, "customers", {"customers": [{"first_name": "Nobody"}, {"id": "c1"}]})
+    for n in range(3):
+        assert load_all(spark, str(landing), root, AT + timedelta(hours=2 * n))
+        tables = Warehouse(spark, root).tables()
+        assert tables["job_employees"].count() == 4 and tables["customers"].count() == 2
+    # The job comes again with another nameless helper: the old ones make way.
+    land(landing, "jobs", {"jobs": [job(1, assigned_employees=[{"first_name": "Cy"}, {"id": "e1"}])]})
+    assert load_all(spark, str(landing), root, AT + timedelta(hours=8))
+    rows = dicts(Warehouse(spark, root).tables()["job_employees"])
+    assert sorted((r["job_id"], str(r["employee_id"]), str(r["first_name"])) for r in rows) == [("j1", "None", "Cy"), ("j1", "e1", "None"), ("j2", "None", "Ann")]
+
+
+def test_two_writers(spark, tmp_path):
+    warehouse = Warehouse(spark, str(tmp_path))
+    other = Warehouse(spark, str(tmp_path))
+
+    def customer(key):
+        return spark.createDataFrame([(key,)], "customer_id string")
+
+    snapshot = warehouse.snapshot()
+    warehouse.commit({"customers": warehouse.stage_upsert("customers", customer("a"), snapshot)}, snapshot)
+    with pytest.raises(CommitConflict):
+        other.commit({"customers": other.stage_upsert("customers", customer("b"), snapshot)}, snapshot)
+    tried = []
+
+    def build(current):
+        if not tried:  # another writer is faster than the first try
+            warehouse.update(lambda now: {"customers": warehouse.stage_upsert("customers", customer("c"), now)})
+        tried.append(current["number"])
+        return {"customers": other.stage_upsert("customers", customer("b"), current)}
+
+    assert other.update(build) == 3 and tried == [1, 2]
+    assert {r["customer_id"] for r in dicts(warehouse.tables()["customers"])} == {"a", "b", "c"}
+
+
+def test_a_batch_is_written_alone_until_the_table_is_compacted(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warehouses, "COMPACT_BATCHES", 3)
+    warehouse = Warehouse(spark, str(tmp_path))
+    stored = spark.range(1000).selectExpr("concat('i', id) AS invoice_id", "'open' AS status", "timestamp'2020-01-01' + make_dt_interval(cast((id * 37) % 1000 AS int)) AS invoice_date", "'a' AS _arrived")
+    warehouse.update(lambda now: {"invoices": warehouse.stage_upsert("invoices", stored, now)})
+    base = warehouse.snapshot()["tables"]["invoices"]
+    assert base["base_rows"] == 1000 and not base["batches"]
+    for n in range(3):
+        batch = spark.range(5).selectExpr("concat('i', id) AS invoice_id", f"'paid{n}' AS status", f"'b{n}' AS _arrived")
+        warehouse.update(lambda now: {"invoices": warehouse.stage_upsert("invoices", batch, now)})  # noqa: B023
+        now = warehouse.snapshot()["tables"]["invoices"]
+        assert now["base"] == base["base"] and [b["rows"] for b in now["batches"]] == [5] * (n + 1)
+        assert spark.read.parquet(now["batches"][-1]["path"]).count() == 5
+        rows = {r["invoice_id"]: r["status"] for r in dicts(warehouse.tables()["invoices"])}
+        assert len(rows) == 1000 and rows["i4"] == f"paid{n}" and rows["i5"] == "open"
+    warehouse.update(lambda now: {"invoices": warehouse.stage_upsert("invoices", batch, now)})
+    now = warehouse.snapshot()["tables"]["invoices"]
+    assert now["base"] != base["base"] and now["base_rows"] == 1000 and not now["batches"]
+    # Laid out by date: each file holds a stretch of its own.
+    files = spark.read.parquet(now["base"]).where("invoice_date IS NOT NULL").selectExpr("invoice_date", "_metadata.file_name AS f")
+    spans = sorted((r[1], r[2]) for r in files.groupBy("f").agg({"invoice_date": "min"}).join(files.groupBy("f").agg({"invoice_date": "max"}), "f").collect())
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+    gone = warehouse.retire(keep=1)
+    assert base["base"] in gone and warehouse.tables()["invoices"].count() == 1000
+
+
+def test_details_of_the_batch_only(spark, tmp_path):
+    landing, root = tmp_path / "landing", str(tmp_path / "warehouse")
+    land(landing, "jobs", {"jobs": [job(1), job(2, work_status="scheduled")]})
+    land(landing, "job_details", *[{"id": f"j{n}", "schedule": {"appointments": [{"id": "a"}]}} for n in (1, 2, 3)])
+    assert load_all(spark, str(landing), root, AT, wanted_details_only=True)
+    assert [r["job_id"] for r in dicts(Warehouse(spark, root).tables()["job_appointments"])] == ["j1"]
+
+
+def test_details_of_earlier_days_are_not_listed(spark, tmp_path):
+    landing, root = tmp_path / "landing", str(tmp_path / "warehouse")
+    day(landing, "2025-01-01", job_details={"id": "old", "schedule": {"appointments": [{"id": "a"}]}})
+    day(landing, "2026-02-20", job_details={"id": "new", "schedule": {"appointments": [{"id": "a"}]}})
+    assert load_all(spark, str(landing), root, AT)
+    assert [r["job_id"] for r in dicts(Warehouse(spark, root).tables()["job_appointments"])] == ["new"]

@@ -12,22 +12,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wrenchlight.functions.labels import COMPLETED_STATES
-from wrenchlight.schemas import conform
+from wrenchlight.schemas import ARRIVED, conform
 
 
 def _same(*names: str) -> list[Column]:
     return [F.col(name) for name in names]
 
 
+def _arrival(items: DataFrame) -> list[Column]:
+    """The time of arrival, where items have one."""
+    return [F.col(ARRIVED)] if ARRIVED in items.columns else []
+
+
 def _each(items: DataFrame, array: str, *parent: Column) -> DataFrame:
     """One row per array element; parents without elements give no rows."""
+    parent = (*parent, *_arrival(items))
     return items.select(*parent, F.explode(array).alias("element")).select(
         *[F.col(f"`{name}`") for name in items.select(*parent).columns], "element.*"
     )
 
 
 def jobs(items: DataFrame) -> DataFrame:
-    """Job headers. The appointment count is not in the items, see ``with_appointment_counts``."""
+    """Job headers. The appointment count is not in the items, see ``with_appointment_counts``.
+
+    Stored jobs leave it NULL: the KPIs count ``job_appointments``, so it cannot differ from them.
+    """
     tags = F.when(F.size("tags") > 0, F.array_join("tags", ","))
     flat = items.select(
         F.col("id").alias("job_id"),
@@ -38,6 +47,7 @@ def jobs(items: DataFrame) -> DataFrame:
         F.col("work_timestamps.completed_at").alias("completed_at"),
         F.col("schedule.scheduled_start").alias("scheduled_start"),
         F.col("schedule.scheduled_end").alias("scheduled_end"),
+        *_arrival(items),
     )
     return conform(flat, "jobs")
 
@@ -50,7 +60,7 @@ def job_employees(items: DataFrame) -> DataFrame:
 def job_appointments(details: DataFrame) -> DataFrame:
     """Appointment x dispatched employee; an appointment without one keeps a row with NULL."""
     visits = details.select(
-        F.col("id").alias("job_id"), F.explode("schedule.appointments").alias("visit")
+        F.col("id").alias("job_id"), F.explode("schedule.appointments").alias("visit"), *_arrival(details)
     )
     sent = F.col("visit.dispatched_employees_ids")
     flat = visits.select(
@@ -61,15 +71,19 @@ def job_appointments(details: DataFrame) -> DataFrame:
         "visit.arrival_window_minutes",
         F.col("visit.id").alias("appointment_id"),
         F.explode_outer(F.when(F.size(sent) > 0, sent)).alias("dispatched_employee_id"),
+        *_arrival(details),
     )
     return conform(flat, "job_appointments")
 
 
 def appointment_counts(details: DataFrame) -> DataFrame:
-    """(job_id, num_appointments), 0 where a job has none; the largest count of re-sent details."""
-    found = F.coalesce(F.size("schedule.appointments"), F.lit(0))
-    sizes = details.select(F.col("id").alias("job_id"), F.greatest(found, F.lit(0)).alias("n"))
-    return sizes.groupBy("job_id").agg(F.max("n").alias("num_appointments"))
+    """(job_id, num_appointments), 0 where a job has none; of re-sent details the one that arrived last counts.
+
+    Where the details have no time of arrival, the largest count does.
+    """
+    found = F.greatest(F.coalesce(F.size("schedule.appointments"), F.lit(0)), F.lit(0)).alias("n")
+    sizes = details.select(F.col("id").alias("job_id"), F.struct(*_arrival(details), found).alias("newest"))
+    return sizes.groupBy("job_id").agg(F.max("newest").alias("newest")).select("job_id", F.col("newest.n").alias("num_appointments"))
 
 
 def with_appointment_counts(jobs_table: DataFrame, counts: DataFrame) -> DataFrame:
@@ -117,6 +131,7 @@ def estimates(items: DataFrame) -> DataFrame:
         F.col("customer.id").alias("customer_id"),
         F.col("schedule.scheduled_start").alias("scheduled_start"),
         F.col("schedule.scheduled_end").alias("scheduled_end"),
+        *_arrival(items),
     )
     return conform(flat, "estimates")
 
@@ -140,6 +155,7 @@ def pricebook_services(items: DataFrame) -> DataFrame:
         *_same("flat_rate_enabled", "taxable", "unit_of_measure", "updated_at"),
         F.coalesce("category_name", "category.name").alias("category_name"),
         F.coalesce("industry_name", "industry.name").alias("industry_name"),
+        *_arrival(items),
     )
     return conform(flat.filter(F.col("service_uuid").isNotNull()), "pricebook_services")
 

@@ -1,13 +1,14 @@
-"""Keyed upserts over plain files: what MERGE would do, as anti-join plus union."""
+"""Keyed upserts over plain files: what MERGE would do, as joins and unions."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wrenchlight.schemas import TableSpec, conform
+from wrenchlight.schemas import ARRIVED, TableSpec, conform, with_arrival
 
 # Incoming key sets up to this many rows are broadcast; larger ones are shuffled.
 BROADCAST_KEY_ROWS = 1_000_000
@@ -35,9 +36,12 @@ def latest_per_key(
     return df.withColumn("_rank", F.row_number().over(window)).filter("_rank = 1").drop("_rank")
 
 
+def _named_keys(df: DataFrame, columns: Sequence[Column]) -> list[Column]:
+    return [column.alias(f"_key{i}") for i, column in enumerate(columns)]
+
+
 def _distinct_keys(df: DataFrame, columns: Sequence[Column], small: bool) -> DataFrame:
-    named = [column.alias(f"_key{i}") for i, column in enumerate(columns)]
-    keys = df.select(*named).distinct()
+    keys = df.select(*_named_keys(df, columns)).distinct()
     return F.broadcast(keys) if small else keys
 
 
@@ -46,6 +50,21 @@ def _by_keys(target: DataFrame, keys: DataFrame, columns: Sequence[Column], how:
     return target.join(keys, condition, how)
 
 
+def _merge_newest(target: DataFrame, batch: DataFrame, columns: Sequence[Column], newest: Sequence[str], small: bool) -> DataFrame:
+    """Each target row or the batch row of its key, whichever is newer (the batch's of equals), and the batch rows of new keys.
+
+    The target is read whole once; a second scan reads just its keys. ``batch`` has one row per key.
+    """
+    fresh = batch.select(*_named_keys(batch, columns), F.struct(*batch.columns).alias("_new"))
+    joined = _by_keys(target, F.broadcast(fresh) if small else fresh, columns, "left")
+    # Structs compare field by field, and NULL is less than anything.
+    wins = F.struct(*[F.col(f"_new.{n}") for n in newest]) >= F.struct(*newest)
+    take = F.col("_new").isNotNull() & wins
+    merged = joined.select(*[F.when(take, F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) for c in target.columns])
+    matched = _by_keys(target, _distinct_keys(batch, columns, small), columns, "left_semi")
+    return merged.unionByName(_by_keys(batch, _distinct_keys(matched, columns, False), columns, "left_anti"))
+
+
 def upsert(
     target: DataFrame,
     incoming: DataFrame,
@@ -60,45 +79,78 @@ def upsert(
 
     The whole row is replaced, also with NULLs. Rows with NULL in a plain key
     match nothing; in ``nullable_keys`` NULL equals NULL and ''. The batch is
-    first reduced to one row per key.
+    first reduced to one row per key. Keys of the target are unique.
 
     keep_newest: keep the target row where its ``newest`` columns are larger.
     small_batch: the caller has checked that the batch has at most
-        ``BROADCAST_KEY_ROWS`` rows; its keys are broadcast and the target is
+        ``BROADCAST_KEY_ROWS`` rows; it is broadcast and the target is
         not shuffled.
     replace_children_of: also drop target rows whose parent key occurs in the
         batch, so that removed children disappear.
     """
     columns = _key_columns(keys, nullable_keys)
     batch = latest_per_key(incoming, keys, nullable_keys, newest)
-    incoming_keys = _distinct_keys(batch, columns, small_batch)
-    kept = _by_keys(target, incoming_keys, columns, "left_anti")
+    if keep_newest and not replace_children_of:
+        return _merge_newest(target, batch, columns, newest, small_batch)
+    kept = _by_keys(target, _distinct_keys(batch, columns, small_batch), columns, "left_anti")
     if replace_children_of:
         parents = [F.col(name) for name in replace_children_of]
         kept = _by_keys(kept, _distinct_keys(batch, parents, small_batch), parents, "left_anti")
-    elif keep_newest:
-        contested = _by_keys(target, incoming_keys, columns, "left_semi")
-        both = batch.withColumn("_fresh", F.lit(1)).unionByName(contested.withColumn("_fresh", F.lit(0)))
-        batch = latest_per_key(both, keys, nullable_keys, [*newest, "_fresh"]).drop("_fresh")
     return kept.unionByName(batch)
 
 
+def _keyless(spec: TableSpec) -> Column:
+    """Rows with NULL in a plain key, which no key can match."""
+    return reduce(Column.__or__, [F.col(k).isNull() for k in spec.keys])
+
+
+def _newest_keyless(spec: TableSpec, rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Different keyless rows, each once; of a child table only those of the last arrival of their parent in ``known``."""
+    if spec.parent:
+        last = known.groupBy(*[F.col(p).alias(f"_of{i}") for i, p in enumerate(spec.parent)]).agg(F.max(ARRIVED).alias("_last"))
+        on = [F.col(p).eqNullSafe(F.col(f"_of{i}")) for i, p in enumerate(spec.parent)]
+        rows = rows.join(last, [*on, F.col(ARRIVED).eqNullSafe(F.col("_last"))], "left_semi")
+    declared = spec.schema.fieldNames()
+    return rows.groupBy(*declared).agg(F.max(ARRIVED).alias(ARRIVED)).select(*declared, ARRIVED)
+
+
+def reduce_batch(spec: TableSpec, incoming: DataFrame) -> DataFrame:
+    """The newest row of each key, and the rows without a key that ``_newest_keyless`` leaves."""
+    rows = with_arrival(conform(incoming, spec))
+    keyed = latest_per_key(rows.filter(~_keyless(spec)), spec.keys, spec.nullable_keys, spec.newest)
+    return keyed.unionByName(_newest_keyless(spec, rows.filter(_keyless(spec)), rows))
+
+
 def upsert_table(
     spec: TableSpec,
     target: DataFrame,
     incoming: DataFrame,
-    keep_newest: bool = False,
     small_batch: bool = False,
     replace_children: bool = False,
 ) -> DataFrame:
-    """``upsert`` with the key, version and parent declared for the table."""
-    return upsert(
-        conform(target, spec),
-        conform(incoming, spec),
+    """The stored table with a batch put in: the newer row of each key stays, by the table's version, then by arrival.
+
+    Rows without a key cannot be told apart by one, so they go by their parent: the different ones of its last arrival
+    stay. Sending the same records again thus changes nothing.
+    """
+    target, batch = with_arrival(conform(target, spec)), reduce_batch(spec, incoming)
+    keyless = _keyless(spec)
+    merged = upsert(
+        target.filter(~keyless),
+        batch.filter(~keyless),
         spec.keys,
         spec.nullable_keys,
-        newest=(spec.version,) if spec.version else (),
-        keep_newest=keep_newest and spec.version is not None,
+        newest=spec.newest,
+        keep_newest=True,
         small_batch=small_batch,
         replace_children_of=spec.parent if replace_children else (),
     )
+    old, new = target.filter(keyless), batch.filter(keyless)
+    if not spec.parent:
+        return merged.unionByName(_newest_keyless(spec, old.unionByName(new), batch))
+    parents = batch.select(*[F.col(p).alias(f"_of{i}") for i, p in enumerate(spec.parent)]).distinct()
+    parents = F.broadcast(parents) if small_batch else parents
+    on = [F.col(p).eqNullSafe(F.col(f"_of{i}")) for i, p in enumerate(spec.parent)]
+    contested = old.join(parents, on, "left_semi").unionByName(new)
+    settled = _newest_keyless(spec, contested, contested.unionByName(batch))
+    return merged.unionByName(old.join(parents, on, "left_anti")).unionByName(settled)

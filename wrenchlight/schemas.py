@@ -16,6 +16,9 @@ from pyspark.sql.types import DataType, LongType, StringType, StructType, Timest
 from wrenchlight.functions.numbers import to_cents
 from wrenchlight.functions.times import parse_time
 
+# Column that stored tables have besides the declared ones: when and where a record arrived, as text that sorts by it.
+ARRIVED = "_arrived"
+
 
 @dataclass(frozen=True)
 class TableSpec:
@@ -28,11 +31,22 @@ class TableSpec:
     version: str | None = None
     # Columns that name the parent record, for child tables.
     parent: tuple[str, ...] = ()
+    # Date by which stored tables are laid out, so that a filter on it skips files and row groups.
+    laid_out_by: str | None = None
 
     @property
     def schema(self) -> StructType:
         return StructType.fromDDL(self.ddl)
 
+    @property
+    def stored_schema(self) -> StructType:
+        return self.schema.add(ARRIVED, "string")
+
+    @property
+    def newest(self) -> tuple[str, ...]:
+        """What tells which of two rows with one key is newer, most important first."""
+        return (self.version, ARRIVED) if self.version else (ARRIVED,)
+
     @property
     def full_key(self) -> tuple[str, ...]:
         return self.keys + self.nullable_keys
@@ -48,6 +62,7 @@ _SPECS = (
         company_id string, company_name string""",
         keys=("job_id",),
         version="updated_at",
+        laid_out_by="completed_at",
     ),
     TableSpec(
         "job_employees",
@@ -70,6 +85,7 @@ _SPECS = (
         service_date timestamp, invoice_date timestamp, display_due_concept string,
         due_concept string""",
         keys=("invoice_id",),
+        laid_out_by="invoice_date",
     ),
     TableSpec(
         "employees",
@@ -85,6 +101,7 @@ _SPECS = (
         keys=("job_id", "appointment_id"),
         nullable_keys=("dispatched_employee_id",),
         parent=("job_id",),
+        laid_out_by="start_time",
     ),
     TableSpec(
         "invoice_items",
@@ -102,6 +119,7 @@ _SPECS = (
         created_at timestamp, updated_at timestamp, company_id string, company_name string""",
         keys=("estimate_id",),
         version="updated_at",
+        laid_out_by="created_at",
     ),
     TableSpec(
         "estimate_options",
@@ -157,11 +175,14 @@ def conform(df: DataFrame, table: str | TableSpec) -> DataFrame:
     """Exactly the declared columns: absent ones as typed NULLs, others converted, extras dropped.
 
     A column that already has its type passes through unchanged, which keeps
-    filters and column pruning pushed down to the scan.
+    filters and column pruning pushed down to the scan. The time of arrival stays
+    where there is one.
     """
     spec = TABLES[table] if isinstance(table, str) else table
     schema = spec.schema
     present = {f.name.lower(): f for f in df.schema.fields}
+    if ARRIVED in present:
+        schema = spec.stored_schema
     if [(f.name, f.dataType) for f in df.schema.fields] == [(f.name, f.dataType) for f in schema.fields]:
         return df
     columns: list[Column | str] = []
@@ -176,6 +197,11 @@ def conform(df: DataFrame, table: str | TableSpec) -> DataFrame:
     return df.select(*columns)
 
 
+def with_arrival(df: DataFrame) -> DataFrame:
+    """``df`` with the column for the time of arrival, NULL where it had none."""
+    return df if ARRIVED in df.columns else df.withColumn(ARRIVED, F.lit(None).cast("string"))
+
+
 def empty(spark: SparkSession, table: str) -> DataFrame:
     return spark.createDataFrame([], TABLES[table].schema)
 

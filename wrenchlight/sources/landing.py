@@ -15,9 +15,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
 from wrenchlight.functions.times import parse_time
+from wrenchlight.schemas import ARRIVED
 
 _PERSON = "id string, first_name string, last_name string, email string, mobile_number string"
-_CREW = f"array<struct<{_PERSON.replace(' string', ':string')},color_hex:string,avatar_url:string,role:string>>"
+_CREW = (
+    "array<struct<id:string,first_name:string,last_name:string,email:string,mobile_number:string,"
+    "color_hex:string,avatar_url:string,role:string>>"
+)
 _OPTION = (
     "array<struct<id:string,name:string,option_number:string,total_amount:double,status:string,"
     "approval_status:string,created_at:string,updated_at:string>>"
@@ -78,8 +82,8 @@ PAGE_COUNTERS = """page int, page_size int, total_pages int, total_pages_count i
 ARRIVAL = "load_date"
 
 # Entities that a load reads only as far back as its window; the others are read whole.
-# Invoice items carry no time of change, so for them only the day of arrival can tell.
-INCREMENTAL = ("estimates", "jobs", "customers", "invoices")
+# Invoices and job details carry no time of change, so for them only the day of arrival can tell.
+INCREMENTAL = ("estimates", "jobs", "job_details", "customers", "invoices")
 
 
 def item_schema(entity: str) -> StructType:
@@ -108,16 +112,26 @@ def page_schema(entity: str) -> StructType:
     return schema.add("checklists", ArrayType(checklist))
 
 
+def with_file_arrival(pages: DataFrame) -> DataFrame:
+    """Pages just read from files, with when they arrived: the day of the folder, the time of the file, its name."""
+    day = F.date_format(ARRIVAL, "yyyy-MM-dd") if ARRIVAL in pages.columns else F.lit("")
+    written = F.date_format("_metadata.file_modification_time", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    return pages.withColumn(ARRIVED, F.concat_ws("|", F.coalesce(day, F.lit("")), written, "_metadata.file_name"))
+
+
 def read_pages(spark: SparkSession, path: str, entity: str, one_per_line: bool = False) -> DataFrame:
-    """Pages of an entity from JSON files; a missing folder counts as no pages."""
+    """Pages of an entity from JSON files; a missing folder counts as no pages.
+
+    Unless there is one page per line, a file is read by one task: keep such files to some hundred MB.
+    """
     schema = page_schema(entity)
     reader = spark.read.schema(schema).option("multiLine", not one_per_line)
     try:
-        return reader.json(path)
+        return with_file_arrival(reader.json(path))
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], schema.add(ARRIVED, "string"))
 
 
 def parse_pages(texts: DataFrame, column: str, entity: str) -> DataFrame:
@@ -149,6 +163,7 @@ def page_envelope(pages: DataFrame, entity: str) -> DataFrame:
         pick(first["page_size"], F.col("page_size")).alias("page_size"),
         pick(first["total_pages"], F.coalesce("total_pages", "total_pages_count")).alias("total_pages"),
         pick(first["total_items"], F.coalesce("total_items", "total_count")).alias("total_items"),
+        *([ARRIVED] if ARRIVED in pages.columns else []),
     )
 
 
@@ -159,19 +174,25 @@ def page_items(pages: DataFrame, entity: str) -> DataFrame:
     test the array below it, and for ``parse_pages`` that means parsing every text
     once more for each mention of the array.
     """
-    enveloped = page_envelope(pages, entity).select("items")
-    exploded = enveloped.select(F.explode_outer("items").alias("item"))
-    return exploded.filter(F.col("item").isNotNull()).select("item.*")
+    arrived = ARRIVED in pages.columns
+    enveloped = page_envelope(pages, entity).select("items", *([ARRIVED] if arrived else []))
+    if not arrived:
+        exploded = enveloped.select(F.explode_outer("items").alias("item"))
+        return exploded.filter(F.col("item").isNotNull()).select("item.*")
+    exploded = enveloped.select(ARRIVED, F.posexplode_outer("items").alias("place", "item"))
+    place = F.lpad(F.col("place").cast("string"), 6, "0")
+    return exploded.filter(F.col("item").isNotNull()).select("item.*", F.concat_ws("|", ARRIVED, place).alias(ARRIVED))
 
 
 def updated_since(items: DataFrame, since: Column, column: str = "updated_at") -> DataFrame:
     """Only items changed at ``since`` or later; entities without that column are returned whole.
 
+    Items without a readable time of change stay: only the day of arrival can tell about them.
     Text and timestamp columns both work.
     """
     if column not in items.columns:
         return items
-    return items.filter(parse_time(column) >= since)
+    return items.filter(F.coalesce(parse_time(column) >= since, F.lit(True)))
 
 
 def updated_within(items: DataFrame, as_of: Column, days: int) -> DataFrame:

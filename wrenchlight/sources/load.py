@@ -8,11 +8,11 @@ from datetime import datetime, timedelta, timezone
 from pyspark.sql import DataFrame, SparkSession
 
 from wrenchlight.functions.times import instant
-from wrenchlight.operators.flatten import FLATTENERS, appointment_counts, with_appointment_counts
+from wrenchlight.operators.flatten import FLATTENERS, jobs_wanting_details
 from wrenchlight.plans.freshness import latest_facts, refresh_due
 from wrenchlight.session import prepare
 from wrenchlight.sources.landing import INCREMENTAL, LOOK_BACK, read_items
-from wrenchlight.sources.warehouse import Warehouse
+from wrenchlight.sources.warehouse import Staged, Warehouse
 
 
 # Tables of one load that are written at the same time.
@@ -40,19 +40,22 @@ def load_all(
     min_interval: timedelta = timedelta(hours=1),
     one_per_line: bool = False,
     replace_children: bool = False,
+    wanted_details_only: bool = False,
 ) -> bool:
     """Bring the warehouse up to date with the landing folder. False if it is too early.
 
-    Estimates, jobs, customers and invoices are read as far back as ``window``
+    Estimates, jobs, their details, customers and invoices are read as far back as ``window``
     unless ``backfill``; the rest is read whole. Landing folders by day of arrival
-    let the scan skip the files of earlier days. The incoming row wins.
-    Loading the same files again changes nothing. All tables switch together.
+    let the scan skip the files of earlier days. The newer record of a key wins: by its time of
+    change where it has one, then by arrival, whatever the order of files. Loading the same files again changes nothing.
+    All tables switch together; if another load has committed meanwhile, this one starts again from its tables.
+
+    wanted_details_only: of the landed details take only those of completed jobs of this batch.
     """
     prepare(spark)
     as_of = as_of or datetime.now(timezone.utc)
     warehouse = Warehouse(spark, warehouse_root)
-    tables = warehouse.tables()
-    facts = latest_facts(tables["load_log"])
+    facts = latest_facts(warehouse.tables()["load_log"])
     if min_interval and not refresh_due(facts, instant(as_of), min_interval).first().due:
         return False
 
@@ -62,18 +65,21 @@ def load_all(
         several = len(FLATTENERS[entity]) > 1 or entity == "job_details"
         return warehouse.stage_items(entity, items) if several else items
 
-    def stage(name: str, rows: DataFrame) -> tuple[str, str | None]:
-        return name, warehouse.stage_upsert(name, rows, tables, replace_children=replace_children)
-
     # Entities do not depend on each other; side by side, small tables fill the gaps of large ones.
     with ThreadPoolExecutor(PARALLEL_TABLES) as pool:
         items = dict(zip(FLATTENERS, pool.map(landed, FLATTENERS)))
         batches = {name: flatten(items[entity]) for entity, tabs in FLATTENERS.items() for name, flatten in tabs.items()}
-        counts = appointment_counts(items["job_details"])
-        batches["jobs"] = with_appointment_counts(batches["jobs"], counts)
-        staged = {name: path for name, path in pool.map(stage, batches, batches.values()) if path}
+        if wanted_details_only:
+            wanted = jobs_wanting_details(batches["jobs"]).distinct()
+            batches["job_appointments"] = batches["job_appointments"].join(wanted, "job_id", "left_semi")
+        log = load_log_rows(spark, as_of, window, as_of)
+
+        def build(snapshot: dict) -> dict[str, Staged]:
+            def stage(name: str) -> Staged | None:
+                return warehouse.stage_upsert(name, batches[name], snapshot, replace_children=replace_children)
+
+            staged = {name: made for name, made in zip(batches, pool.map(stage, batches)) if made}
+            return {**staged, "load_log": warehouse.stage_append("load_log", log, snapshot)}
 
-    log = load_log_rows(spark, as_of, window, as_of)
-    staged["load_log"] = warehouse.stage_append("load_log", log, tables)
-    warehouse.commit(staged, as_of)
+        warehouse.update(build, as_of)
     return True

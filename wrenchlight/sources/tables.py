@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from wrenchlight.schemas import TABLES, conform, empty
+from wrenchlight.schemas import ARRIVED, TABLES, conform, empty, with_arrival
 
 
 class Tables:
@@ -36,9 +36,14 @@ class Tables:
             raise KeyError(name)
         if name not in self._frames:
             frame = self._load(name)
-            self._frames[name] = empty(self.spark, name) if frame is None else conform(frame, name)
+            self._frames[name] = empty(self.spark, name) if frame is None else conform(frame, name).drop(ARRIVED)
         return self._frames[name]
 
+    def stored(self, name: str) -> DataFrame:
+        """The table with the arrival of each row, as upserts need it."""
+        frame = self._load(name)
+        return with_arrival(empty(self.spark, name) if frame is None else conform(frame, name))
+
     def exists(self, name: str) -> bool:
         return self._load(name) is not None
 

@@ -1,25 +1,53 @@
-"""Versioned Parquet tables.
+"""Versioned Parquet tables: a base and, until it is compacted, the batches that came later.
 
-A load writes each changed table to a new folder and then appends its rows to the
-commit list in one write. Readers take the newest folder of each table from that
-list, so they see a load whole or not at all, and a load that died leaves nothing
-behind but unused folders.
+A load writes each batch to a new folder, reduced to one row per key, and then makes all of them current with one small
+commit file. Readers take the list of folders from the newest commit, so they see a load whole or not at
+all, and a load that died leaves nothing behind but unused folders. They merge base and batches, the newer row of each key stays.
+
+Two writers cannot lose each other's rows: a commit names the one it is based on, and its file is created only if no other
+writer has created it. The loser gets ``CommitConflict`` and starts again from the new tables, see ``update``.
+This needs a file system whose rename fails if the target exists, as HDFS's does.
+
+When the batches of a table come to a share of its base, the next load writes the table anew, sorted by its date: a batch of k
+rows costs O(k) but for that, which costs a fixed multiple of all that is ever loaded.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
-from datetime import datetime
+from collections.abc import Callable
+from dataclasses import dataclass
+from datetime import datetime, timezone
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wrenchlight.functions.times import instant
-from wrenchlight.operators.upsert import BROADCAST_KEY_ROWS, upsert_table
-from wrenchlight.schemas import TABLES, conform
-from wrenchlight.sources.tables import Tables, read_parquet_if_present
+from wrenchlight.operators.upsert import BROADCAST_KEY_ROWS, reduce_batch, upsert_table
+from wrenchlight.schemas import TABLES, conform, with_arrival
+from wrenchlight.sources.tables import Tables
+
+# A table is written anew when its batches have this share of its base's rows, or are so many.
+COMPACT_SHARE = 0.25
+COMPACT_BATCHES = 12
+# Commit files that are kept; a reader needs the last one.
+KEEP_COMMITS = 50
+ATTEMPTS = 4
+
+
+class CommitConflict(RuntimeError):
+    """Another writer has committed since the tables were read."""
+
 
-COMMIT_SCHEMA = "load_number bigint, table_name string, path string, committed_at timestamp"
+@dataclass(frozen=True)
+class Staged:
+    """A folder that was written for a table: its next batch, or the whole table."""
+
+    path: str
+    rows: int
+    whole: bool = False
 
 
 class Warehouse:
@@ -29,25 +57,40 @@ class Warehouse:
 
     # ---- reading -----------------------------------------------------------
 
-    def commits(self) -> DataFrame:
-        found = read_parquet_if_present(self.spark, f"{self.root}/_commits", COMMIT_SCHEMA)
-        return self.spark.createDataFrame([], COMMIT_SCHEMA) if found is None else found
-
-    def current_paths(self) -> dict[str, str]:
-        """Newest folder per table; at most one row per declared table reaches the driver."""
-        newest = self.commits().groupBy("table_name").agg(F.max_by("path", "load_number").alias("path"))
-        return {row.table_name: row.path for row in newest.collect()}
-
-    def tables(self) -> Tables:
+    def snapshot(self) -> dict:
+        """The newest commit: number, and of each table base, base_rows and batches (path and rows). A few KB."""
+        try:
+            files = self.spark.read.text(f"{self.root}/_commits", wholetext=True)
+            number = F.get_json_object("value", "$.number").cast("bigint")
+            newest = files.agg(F.max_by("value", number).alias("value")).first()
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            newest = None
+        return json.loads(newest.value) if newest and newest.value else {"number": 0, "tables": {}}
+
+    def current_paths(self) -> dict[str, list[str]]:
+        """Folders of each table, the base first."""
+        found = self.snapshot()["tables"]
+        return {name: [p for p in (t["base"], *(b["path"] for b in t["batches"])) if p] for name, t in found.items()}
+
+    def _read(self, name: str, *paths: str) -> DataFrame:
+        return self.spark.read.schema(TABLES[name].stored_schema).parquet(*paths)
+
+    def _merged(self, name: str, table: dict) -> DataFrame:
+        spec, batches = TABLES[name], table["batches"]
+        if not batches:
+            return self._read(name, table["base"])
+        later = self._read(name, *[b["path"] for b in batches])
+        if not table["base"]:
+            return reduce_batch(spec, later)
+        rows = sum(b["rows"] for b in batches)
+        return upsert_table(spec, self._read(name, table["base"]), later, small_batch=rows <= BROADCAST_KEY_ROWS)
+
+    def tables(self, snapshot: dict | None = None) -> Tables:
         """The tables as of now; later loads do not show in the returned object."""
-        paths = self.current_paths()
-
-        def load(name: str) -> DataFrame | None:
-            if name not in paths:
-                return None
-            return self.spark.read.schema(TABLES[name].schema).parquet(paths[name])
-
-        return Tables(self.spark, load)
+        found = (snapshot or self.snapshot())["tables"]
+        return Tables(self.spark, lambda name: self._merged(name, found[name]) if name in found else None)
 
     # ---- writing -----------------------------------------------------------
 
@@ -61,40 +104,109 @@ class Warehouse:
         path = self._write(items, "_batches", entity)
         return self.spark.read.schema(items.schema).parquet(path)
 
-    def stage_upsert(
-        self, name: str, incoming: DataFrame, tables: Tables, keep_newest: bool = False, replace_children: bool = False
-    ) -> str | None:
-        """Write the table with the batch put in, return its folder; None for an empty batch.
+    def stage_upsert(self, name: str, incoming: DataFrame, snapshot: dict, replace_children: bool = False) -> Staged | None:
+        """Write a batch for the table; None if it is empty.
 
-        The batch is written first: it is read several times, its size decides
-        whether its keys may be broadcast, and a lost executor does not repeat
-        the parsing.
+        The table itself is neither read nor written, unless it is due to be compacted or
+        ``replace_children`` asks to drop stored rows, which is done by writing it anew.
         """
         spec = TABLES[name]
-        batch_path = self._write(conform(incoming, spec), "_batches", name)
-        batch = self.spark.read.schema(spec.schema).parquet(batch_path)
+        reduced = reduce_batch(spec, incoming)
+        path = self._write(reduced, "tables", name)
+        batch = self._read(name, path)
         rows = batch.count()
         if rows == 0:
             return None
-        merged = upsert_table(
-            spec,
-            tables[name],
-            batch,
-            keep_newest=keep_newest,
-            small_batch=rows <= BROADCAST_KEY_ROWS,
-            replace_children=replace_children,
-        )
-        return self._write(merged, "tables", name)
-
-    def stage_append(self, name: str, rows: DataFrame, tables: Tables) -> str:
-        return self._write(tables[name].unionByName(conform(rows, name)), "tables", name)
-
-    def commit(self, paths: dict[str, str], at: datetime | None = None) -> None:
-        """Make the staged folders current, all at once."""
-        if not paths:
-            return
-        last = self.commits().agg(F.coalesce(F.max("load_number"), F.lit(0)).alias("n")).first().n
-        rows = [(last + 1, name, path) for name, path in sorted(paths.items())]
-        entry = self.spark.createDataFrame(rows, "load_number bigint, table_name string, path string")
-        moment = F.current_timestamp() if at is None else instant(at)
-        entry.withColumn("committed_at", moment).coalesce(1).write.mode("append").parquet(f"{self.root}/_commits")
+        table = snapshot["tables"].get(name, {"base": None, "base_rows": 0, "batches": []})
+        waiting = rows + sum(b["rows"] for b in table["batches"])
+        due = waiting > COMPACT_SHARE * table["base_rows"] or len(table["batches"]) >= COMPACT_BATCHES
+        if not due and not replace_children:
+            return Staged(path, rows)
+        stored = self.tables(snapshot).stored(name)
+        merged = upsert_table(spec, stored, batch, small_batch=rows <= BROADCAST_KEY_ROWS, replace_children=replace_children)
+        if spec.laid_out_by:
+            merged = merged.repartitionByRange(F.col(spec.laid_out_by)).sortWithinPartitions(spec.laid_out_by)
+        whole = self._write(merged, "tables", name)
+        return Staged(whole, self._read(name, whole).count(), whole=True)
+
+    def stage_append(self, name: str, rows: DataFrame, snapshot: dict) -> Staged | None:
+        return self.stage_upsert(name, with_arrival(conform(rows, name)), snapshot)
+
+    def commit(self, staged: dict[str, Staged], snapshot: dict, at: datetime | None = None) -> int:
+        """Make the staged folders current, all at once, on top of ``snapshot``; the number of the commit."""
+        if not staged:
+            return snapshot["number"]
+        tables = {name: dict(table) for name, table in snapshot["tables"].items()}
+        for name, made in staged.items():
+            old = tables.get(name, {"base": None, "base_rows": 0, "batches": []})
+            if made.whole:
+                tables[name] = {"base": made.path, "base_rows": made.rows, "batches": []}
+            else:
+                tables[name] = {**old, "batches": [*old["batches"], {"path": made.path, "rows": made.rows}]}
+        number = snapshot["number"] + 1
+        moment = (at or datetime.now(timezone.utc)).isoformat()
+        self._create(number, json.dumps({"number": number, "at": moment, "tables": tables}))
+        return number
+
+    def update(self, build: Callable[[dict], dict[str, Staged]], at: datetime | None = None) -> int:
+        """Stage from the newest snapshot and commit; again from the then newest one if another writer was faster."""
+        for attempt in range(ATTEMPTS):
+            snapshot = self.snapshot()
+            try:
+                return self.commit(build(snapshot), snapshot, at)
+            except CommitConflict:
+                if attempt == ATTEMPTS - 1:
+                    raise
+        raise AssertionError
+
+    def _hadoop(self, path: str):
+        """Hadoop's Path of ``path``, and the file system that it is in."""
+        found = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        system = found.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return system.makeQualified(found), system
+
+    def _create(self, number: int, content: str) -> None:
+        """The commit file under its final name, complete from the start, unless there is one already."""
+        # Names that begin with "_" or "." are no data to Spark's readers.
+        temporary, system = self._hadoop(f"{self.root}/_commits/_{uuid.uuid4().hex}")
+        final, _ = self._hadoop(f"{self.root}/_commits/{number:012d}.json")
+        out = system.create(temporary, False)
+        out.write(bytearray(content.encode()))
+        out.close()
+        jvm = self.spark._jvm
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), self.spark._jsc.hadoopConfiguration())
+        kinds = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        options = self.spark.sparkContext._gateway.new_array(kinds, 1)
+        options[0] = kinds.NONE
+        try:
+            files.rename(temporary, final, options)
+        except Py4JJavaError as error:
+            system.delete(temporary, False)
+            if "FileAlreadyExistsException" in str(error.java_exception):
+                raise CommitConflict(f"commit {number} exists already") from None
+            raise
+        if number > KEEP_COMMITS:
+            old, _ = self._hadoop(f"{self.root}/_commits/{number - KEEP_COMMITS:012d}.json")
+            system.delete(old, False)
+
+    def retire(self, keep: int = 2) -> list[str]:
+        """Delete table folders that none of the last ``keep`` commits names, and parsed batches; the deleted folders.
+
+        To be called when no load is running and no reader works on older tables.
+        """
+        last = self.snapshot()["number"]
+        named = set()
+        for number in range(max(1, last - keep + 1), last + 1):
+            row = self.spark.read.text(f"{self.root}/_commits/{number:012d}.json", wholetext=True).first()
+            for table in json.loads(row.value)["tables"].values():
+                named |= {table["base"], *(b["path"] for b in table["batches"])}
+        gone = []
+        for pattern in ("tables/*/*", "_batches/*/*"):
+            path, system = self._hadoop(f"{self.root}/{pattern}")
+            for status in system.globStatus(path) or ():
+                found = status.getPath()
+                short = f"{self.root}/" + "/".join(found.toString().rsplit("/", 3)[1:])
+                if short not in named:
+                    system.delete(found, True)
+                    gone.append(short)
+        return gone

@@ -1,8 +1,8 @@
 """Landing folder -> warehouse as a file stream.
 
-Each micro-batch is upserted by key and the newer row wins, so late and re-sent
-records, replayed batches and any order of files lead to the same tables. One
-stream per entity; the checkpoint remembers which files are done.
+Each micro-batch is upserted by key and the newer row wins, by its time of change and then by the time its file was
+written, so late and re-sent records, replayed batches and any order of files lead to the same tables. One
+stream per entity; the checkpoint remembers which files are done. Streams of several entities may run side by side.
 """
 
 from __future__ import annotations
@@ -12,20 +12,19 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from wrenchlight.operators.flatten import FLATTENERS
 from wrenchlight.session import prepare
-from wrenchlight.sources.landing import page_items, page_schema
-from wrenchlight.sources.warehouse import Warehouse
+from wrenchlight.sources.landing import page_items, page_schema, with_file_arrival
+from wrenchlight.sources.warehouse import Staged, Warehouse
 
 
 def apply_pages(warehouse: Warehouse, entity: str, pages: DataFrame) -> None:
     """Upsert the items of some pages into all tables of the entity, in one commit."""
-    tables = warehouse.tables()
     items = warehouse.stage_items(entity, page_items(pages, entity))
-    staged = {}
-    for name, flatten in FLATTENERS[entity].items():
-        path = warehouse.stage_upsert(name, flatten(items), tables, keep_newest=True)
-        if path:
-            staged[name] = path
-    warehouse.commit(staged)
+
+    def build(snapshot: dict) -> dict[str, Staged]:
+        made = {name: warehouse.stage_upsert(name, flatten(items), snapshot) for name, flatten in FLATTENERS[entity].items()}
+        return {name: staged for name, staged in made.items() if staged}
+
+    warehouse.update(build)
 
 
 def start_feed(
@@ -40,7 +39,7 @@ def start_feed(
     """Load everything that has landed for ``entity`` and stop; run it again for what lands later."""
     prepare(spark)
     warehouse = Warehouse(spark, warehouse_root)
-    pages = (
+    pages = with_file_arrival(
         spark.readStream.schema(page_schema(entity))
         .option("multiLine", not one_per_line)
         .option("maxFilesPerTrigger", files_per_batch)
