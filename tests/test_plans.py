@@ -189,3 +189,12 @@ def test_club_items_are_reduced_before_the_join(stored):
     plan = plan_of(club.club_item_jobs(stored, stored.year_start))
     join = plan.index("Join")
     assert plan.index("HashAggregate(keys=[invoice_id, item_job_id]") > join
+
+
+def test_cut_to_the_year_before_reducing(stored):
+    """The large child tables meet a semi-join below their first aggregation, which is the deepest one."""
+    for frame in (stored.completed_visits, stored.outcomes, club.club_item_jobs(stored, stored.year_start)):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        assert "LeftSemi" in plan[plan.rindex("Aggregate"):]
+    plan = leads.lead_by_employee(stored)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftSemi") >= 2

@@ -7,6 +7,7 @@ a row's own key decides how many nested elements its items have (0 to 3).
 from __future__ import annotations
 
 from datetime import datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -392,6 +393,53 @@ def load_twice(spark: SparkSession, folder: str) -> DataFrame:
     return table_counts(tables, LOADED)
 
 
+def material_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Every fifth material has an id but no uuid."""
+    prepare(spark)
+    key = F.col("p_partkey")
+    item = F.struct(
+        F.when(key % 5 != 0, F.concat(F.lit("u"), key.cast("string"))).alias("uuid"),
+        F.concat(F.lit("i"), key.cast("string")).alias("id"),
+        F.concat(F.lit("Stock "), F.col("p_name")).alias("name"),
+        F.col("p_size").cast("double").alias("cost"),
+    )
+    return _page(given(spark, folder, "part"), "pricebook_materials", item, key < 0)
+
+
+# Words in the pages of the older day and what stands for them on the newer one.
+RESENT = {
+    "in progress": "scheduled", "Tech ": "Lead ", '"open"': '"paid"', "Part ": "Piece ", "Option ": "Choice ",
+    "Customer": "Client", "Supplier": "Vendor", "Stock ": "Item ", '"arrival_window_minutes":30': '"arrival_window_minutes":45',
+}
+
+
+def load_resent(spark: SparkSession, folder: str) -> DataFrame:
+    """Every entity landed on two days with other values, most without a time of change; the newer day's files are written first."""
+    base = shared_folder(spark, "resent")
+    pages = {
+        "jobs": job_pages(spark, folder), "job_details": detail_pages(spark, folder), "invoices": invoice_pages(spark, folder),
+        "estimates": estimate_pages(spark, folder), "customers": people_pages(spark, folder, "customers"),
+        "employees": people_pages(spark, folder, "employees"), "pricebook_materials": material_pages(spark, folder),
+    }
+    for day in ("2001-08-01", "2001-07-31"):
+        for entity, texts in pages.items():
+            text = F.col("page")
+            for old, new in RESENT.items() if day == "2001-08-01" else ():
+                text = F.replace(text, F.lit(old), F.lit(new))
+            _land(texts.select(text.alias("page")), f"{base}/landing", f"{entity}/load_date={day}")
+    load_all(spark, f"{base}/landing", f"{base}/warehouse", datetime.fromisoformat(AS_OF), backfill=True, one_per_line=True)
+    tables = Warehouse(spark, f"{base}/warehouse").tables()
+    shown = {
+        "jobs": ("job_id", "work_status"), "job_employees": ("concat_ws(' ', job_id, employee_id)", "first_name"),
+        "job_appointments": ("concat_ws(' ', appointment_id, dispatched_employee_id)", "cast(arrival_window_minutes AS string)"),
+        "invoices": ("invoice_id", "status"), "invoice_items": ("concat_ws(' ', invoice_id, item_id)", "name"),
+        "estimate_options": ("option_id", "name"), "customers": ("customer_id", "first_name"), "employees": ("employee_id", "first_name"),
+        "pricebook_materials": ("material_uuid", "name"),
+    }
+    rows = [tables[t].selectExpr(f"'{t}' AS table_name", f"{key} AS key", f"{value} AS value") for t, (key, value) in shown.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
 LOADED = (
     "jobs", "job_employees", "job_appointments", "invoices", "invoice_items", "estimates",
     "estimate_options", "estimate_employees", "customers", "employees", "pricebook_services", "load_log",
@@ -404,7 +452,7 @@ QUERIES = {
         flatten_estimates, flatten_estimate_options, flatten_estimate_employees, flatten_customers,
         flatten_employees, pricebook_services, pricebook_envelope, dedupe_latest, upsert_plain_key,
         upsert_null_safe_key, upsert_null_key_kept, upsert_keep_newest, upsert_replace_children,
-        upsert_stream, load_twice,
+        upsert_stream, load_twice, load_resent,
     )
 }
 
@@ -495,6 +543,21 @@ SQL = {
     ),
     "upsert_stream": f"""SELECT user_id || '-' || event_type AS customer_id, event_id::VARCHAR AS first_name,
           strftime(ts, '%Y-%m-%d %H:%M:%S') AS updated FROM ({_latest('events')})""",
+    "load_resent": f"""SELECT 'jobs' AS table_name, 'job_' || o_orderkey AS key,
+          CASE WHEN o_orderstatus = 'F' THEN 'complete rated' ELSE 'scheduled' END AS value FROM orders
+        UNION ALL SELECT 'job_employees', 'job_' || o_orderkey || ' pro_' || ((o_orderkey + i) % 50), 'Lead ' || i
+          FROM (SELECT o_orderkey, {_N[4]} FROM orders)
+        UNION ALL SELECT 'job_appointments', o_orderkey || '-' || i || coalesce(' pro_' || (j * 10 + i), ''),
+          CASE WHEN i = 1 THEN '45' ELSE (i * 30)::VARCHAR END
+          FROM (SELECT *, unnest(CASE WHEN (o_orderkey + i) % 3 = 0 THEN [NULL] ELSE generate_series(1, (o_orderkey + i) % 3) END)::BIGINT AS j
+            FROM (SELECT o_orderkey, {_N[4]} FROM orders WHERE o_orderkey % 8 <> 0))
+        UNION ALL SELECT 'invoices', o_orderkey::VARCHAR, 'paid' FROM orders
+        UNION ALL SELECT 'invoice_items', o_orderkey || CASE WHEN i = 1 THEN ' line_' || o_orderkey ELSE '' END, 'Piece ' || i
+          FROM (SELECT o_orderkey, {_N[3]} FROM orders)
+        UNION ALL SELECT 'estimate_options', o_orderkey || '-' || i, 'Choice ' || i FROM (SELECT o_orderkey, {_N[4]} FROM orders)
+        UNION ALL SELECT 'customers', c_custkey::VARCHAR, replace(split_part(c_name, '#', 1), 'Customer', 'Client') FROM customer
+        UNION ALL SELECT 'employees', s_suppkey::VARCHAR, replace(split_part(s_name, '#', 1), 'Supplier', 'Vendor') FROM supplier
+        UNION ALL SELECT 'pricebook_materials', CASE WHEN p_partkey % 5 <> 0 THEN 'u' ELSE 'i' END || p_partkey, 'Item ' || p_name FROM part""",
     "load_twice": f"""SELECT 'jobs' AS table_name, count(*) AS row_count FROM orders
         UNION ALL SELECT 'job_employees', count(*) FROM (SELECT {_N[4]} FROM orders)
         UNION ALL SELECT 'job_appointments', sum(greatest(1, (o_orderkey + i) % 3))::BIGINT

@@ -20,12 +20,13 @@ SOURCES = ("tags", "description", "invoice_items")
 def club_item_jobs(ctx: Context, since: Column) -> DataFrame:
     """(job_id) with a club item on an invoice dated ``since`` or later, of any state.
 
-    Items are filtered by name and reduced to distinct pairs before the join, so
+    Items are filtered by name, cut to those invoices and reduced to distinct pairs before the join, so
     an invoice with very many lines is one row.
     """
+    invoices = ctx.tables["invoices"].filter(F.col("invoice_date") >= since)
     items = ctx.tables["invoice_items"].filter(has_club_word("name"))
+    items = items.join(invoices.select("invoice_id"), "invoice_id", "left_semi")
     pairs = items.select("invoice_id", F.col("job_id").alias("item_job_id")).distinct()
-    invoices = ctx.tables["invoices"].filter(F.col("invoice_date") >= since)
     joined = pairs.join(invoices.select("invoice_id", "job_id"), "invoice_id")
     jobs = joined.select(F.coalesce("job_id", "item_job_id").alias("job_id"))
     return jobs.filter(~is_blank("job_id")).distinct()

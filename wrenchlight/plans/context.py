@@ -48,14 +48,14 @@ class Context:
 
     @cached_property
     def appointment_counts(self) -> DataFrame:
-        """Distinct appointments per job. Spark counts in two steps, so no job is too large."""
-        visits = self.tables["job_appointments"].filter(F.col("job_id").isNotNull())
-        return visits.groupBy("job_id").agg(F.count_distinct("appointment_id").alias("counted"))
+        """Distinct appointments of every job that has any."""
+        return _counted_visits(self.tables["job_appointments"].filter(F.col("job_id").isNotNull()))
 
     @cached_property
     def completed_visits(self) -> DataFrame:
         """``completed`` with the counted appointments, else the stored number, else 0."""
-        joined = self.completed.join(self.appointment_counts, "job_id", "left")
+        visits = self.tables["job_appointments"].join(self.completed.select("job_id"), "job_id", "left_semi")
+        joined = self.completed.join(_counted_visits(visits), "job_id", "left")
         number = F.coalesce("counted", "num_appointments", F.lit(0)).cast("bigint")
         return joined.withColumn("num_appointments", number).drop("counted")
 
@@ -109,11 +109,12 @@ class Context:
         """(estimate_id, created_at, lead_source, outcome) of the year, one row per estimate.
 
         The best option decides: won over lost over pending; pending without options.
-        Options are reduced to one weight per estimate before they are joined.
+        Options are cut to the year's estimates, then reduced to one weight per estimate, then joined.
         """
         weight = labels.outcome_weight("approval_status", "status")
-        best = self.tables["estimate_options"].groupBy("estimate_id").agg(F.max(weight).alias("weight"))
         estimates = self.estimates_this_year.select("estimate_id", "created_at", "lead_source")
+        options = self.tables["estimate_options"].join(estimates.select("estimate_id"), "estimate_id", "left_semi")
+        best = options.groupBy("estimate_id").agg(F.max(weight).alias("weight"))
         joined = estimates.join(best, "estimate_id", "left")
         return joined.withColumn("outcome", labels.outcome_name("weight")).drop("weight")
 
@@ -150,6 +151,11 @@ class Context:
         return copy
 
 
+def _counted_visits(visits: DataFrame) -> DataFrame:
+    """(job_id, counted). Spark counts distinct appointments in two steps, so no job is too large."""
+    return visits.groupBy("job_id").agg(F.count_distinct("appointment_id").alias("counted"))
+
+
 # Populations that several KPIs read.
 MATERIALIZED = ("completed_visits", "billed", "billed_by_category", "outcomes", "crew", "employees")
 

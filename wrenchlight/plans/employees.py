@@ -78,7 +78,7 @@ def appointment_hours(ctx: Context, strict: bool = False) -> DataFrame:
     visits = ctx.tables["job_appointments"].filter(F.col("dispatched_employee_id").isNotNull())
     if strict:
         visits = visits.filter(F.lit(False))
-    micros = worked_micros(None, "start_time", "end_time")
+    micros = worked_micros("start_time", "end_time")
     return visits.groupBy(F.col("dispatched_employee_id").alias("employee_id")).agg(
         (F.sum(micros) / F.lit(3_600_000_000)).alias("appt_hours")
     )

@@ -67,8 +67,9 @@ def lead_by_employee(ctx: Context, distinct: bool = False) -> DataFrame:
     """
     stored = ctx.tables["estimate_employees"].filter(F.col("estimate_id").isNotNull())
     given_name = full_name("first_name", "last_name").alias("given_name")
-    assigned = stored.select("estimate_id", "employee_id", given_name).distinct()
     outcomes = ctx.outcomes.select("estimate_id", "outcome")
+    recent = stored.join(ctx.estimates_this_year.select("estimate_id"), "estimate_id", "left_semi")
+    assigned = recent.select("estimate_id", "employee_id", given_name).distinct()
     rated = spread_join(assigned, outcomes, "estimate_id", source=stored)
     names = ctx.employees.select("employee_id", "employee_name")
     named = rated.join(names, "employee_id", "left").withColumn(

@@ -8,33 +8,47 @@ import uuid
 from pyspark.sql import SparkSession
 
 # Timestamps are rendered and truncated in the session zone, so it must be UTC.
-# AQE resizes shuffles, picks broadcasts by measured size and splits skewed joins.
+# AQE resizes shuffles, picks broadcasts by measured size and splits skewed joins, also where
+# an aggregation above then needs another shuffle: that costs less than one task with a frequent key.
 RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
 
 INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 
 
-def initial_partitions(cores: int, configured: int) -> int | None:
-    """Shuffle partitions to start with on clusters of more cores than configured partitions.
+# Input behind one shuffle partition to start with.
+PARTITION_BYTES = 256 << 20
+
+
+def initial_partitions(cores: int, configured: int, input_bytes: int = 0) -> int | None:
+    """Shuffle partitions to start with, if more than configured: by the input, and on large clusters by the cores.
 
     AQE merges partitions that turn out small but never splits those of an
-    aggregation, so a large cluster has to start with many.
+    aggregation, so large inputs have to start with many.
     """
-    return 3 * cores if cores > configured else None
+    wanted = max(3 * cores if cores > configured else 0, -(-input_bytes // PARTITION_BYTES))
+    return wanted if wanted > configured else None
+
+
+def folder_bytes(spark: SparkSession, path: str) -> int:
+    """Size of all files below a path, 0 if there is none."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = found.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system.getContentSummary(found).getLength() if system.exists(found) else 0
 
 
-def prepare(spark: SparkSession) -> SparkSession:
+def prepare(spark: SparkSession, input_bytes: int = 0) -> SparkSession:
     """Apply the runtime settings to an existing session and return it."""
     wanted = dict(RUNTIME_SETTINGS)
     if spark.conf.get(INITIAL_PARTITIONS, None) is None:
         configured = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        initial = initial_partitions(spark.sparkContext.defaultParallelism, configured)
+        initial = initial_partitions(spark.sparkContext.defaultParallelism, configured, input_bytes)
         if initial:
             wanted[INITIAL_PARTITIONS] = str(initial)
     for key, value in wanted.items():

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from wrenchlight.functions.times import instant
 from wrenchlight.operators.flatten import FLATTENERS, jobs_wanting_details
 from wrenchlight.plans.freshness import latest_facts, refresh_due
-from wrenchlight.session import prepare
+from wrenchlight.session import folder_bytes, prepare
 from wrenchlight.sources.landing import INCREMENTAL, LOOK_BACK, read_items
 from wrenchlight.sources.warehouse import Staged, Warehouse
 
@@ -52,7 +52,7 @@ def load_all(
 
     wanted_details_only: of the landed details take only those of completed jobs of this batch.
     """
-    prepare(spark)
+    prepare(spark, folder_bytes(spark, landing))
     as_of = as_of or datetime.now(timezone.utc)
     warehouse = Warehouse(spark, warehouse_root)
     facts = latest_facts(warehouse.tables()["load_log"])

@@ -99,6 +99,10 @@ class Warehouse:
         df.write.parquet(path)
         return path
 
+    def _laid_out(self, rows: DataFrame, name: str) -> DataFrame:
+        by = TABLES[name].laid_out_by
+        return rows.repartitionByRange(F.col(by)).sortWithinPartitions(by) if by else rows
+
     def stage_items(self, entity: str, items: DataFrame) -> DataFrame:
         """The items read back from Parquet, so that JSON is parsed once for all tables of the entity."""
         path = self._write(items, "_batches", entity)
@@ -111,22 +115,23 @@ class Warehouse:
         ``replace_children`` asks to drop stored rows, which is done by writing it anew.
         """
         spec = TABLES[name]
+        table = snapshot["tables"].get(name, {"base": None, "base_rows": 0, "batches": []})
+        first = not table["base"] and not table["batches"]
         reduced = reduce_batch(spec, incoming)
-        path = self._write(reduced, "tables", name)
+        path = self._write(self._laid_out(reduced, name) if first else reduced, "tables", name)
         batch = self._read(name, path)
         rows = batch.count()
         if rows == 0:
             return None
-        table = snapshot["tables"].get(name, {"base": None, "base_rows": 0, "batches": []})
+        if first:
+            return Staged(path, rows, whole=True)
         waiting = rows + sum(b["rows"] for b in table["batches"])
         due = waiting > COMPACT_SHARE * table["base_rows"] or len(table["batches"]) >= COMPACT_BATCHES
         if not due and not replace_children:
             return Staged(path, rows)
         stored = self.tables(snapshot).stored(name)
         merged = upsert_table(spec, stored, batch, small_batch=rows <= BROADCAST_KEY_ROWS, replace_children=replace_children)
-        if spec.laid_out_by:
-            merged = merged.repartitionByRange(F.col(spec.laid_out_by)).sortWithinPartitions(spec.laid_out_by)
-        whole = self._write(merged, "tables", name)
+        whole = self._write(self._laid_out(merged, name), "tables", name)
         return Staged(whole, self._read(name, whole).count(), whole=True)
 
     def stage_append(self, name: str, rows: DataFrame, snapshot: dict) -> Staged | None:
