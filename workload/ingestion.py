@@ -18,6 +18,7 @@ from wrenchlight.plans.audit import table_counts
 from wrenchlight.session import prepare, shared_folder
 from wrenchlight.sources.landing import page_envelope, page_items, parse_pages
 from wrenchlight.sources.load import load_all
+from wrenchlight.sources.tables import Tables
 from wrenchlight.sources.warehouse import Warehouse
 from wrenchlight.streaming.feed import start_feed
 from workload.bridge import AS_OF, given, spread
@@ -211,6 +212,26 @@ def flatten_jobs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def details_missing(spark: SparkSession, folder: str) -> DataFrame:
+    """Only completed jobs have their details fetched; all others get 0 appointments."""
+    jobs = flatten.jobs(_items(job_pages(spark, folder), "jobs"))
+    details = _items(detail_pages(spark, folder), "job_details")
+    wanted = flatten.jobs_wanting_details(jobs)
+    fetched = details.join(wanted, details["id"] == wanted["job_id"], "left_semi")
+    return flatten.with_appointment_counts(jobs, flatten.appointment_counts(fetched)).select("job_id", "num_appointments")
+
+
+def column_added_later(spark: SparkSession, folder: str) -> DataFrame:
+    """A stored table whose files of odd invoices were written before the amount was a column."""
+    path = shared_folder(spark, "added")
+    rows = flatten.invoices(_items(invoice_pages(spark, folder), "invoices"))
+    old = F.col("invoice_id").cast("bigint") % 2 == 1
+    rows.filter(old).select("invoice_id", "status").write.mode("append").parquet(f"{path}/invoices")
+    rows.filter(~old).select("invoice_id", "status", "amount").write.mode("append").parquet(f"{path}/invoices")
+    found = Tables(spark, lambda name: spark.read.schema("invoice_id string, status string, amount bigint").parquet(f"{path}/{name}"))
+    return found["invoices"].select("invoice_id", "status", "amount", "due_at").withColumn("due_at", F.col("due_at").cast("string"))
+
+
 def flatten_job_employees(spark: SparkSession, folder: str) -> DataFrame:
     crew = flatten.job_employees(_items(job_pages(spark, folder), "jobs"))
     return crew.select("job_id", "employee_id", "first_name", "role")
@@ -452,7 +473,7 @@ QUERIES = {
         flatten_estimates, flatten_estimate_options, flatten_estimate_employees, flatten_customers,
         flatten_employees, pricebook_services, pricebook_envelope, dedupe_latest, upsert_plain_key,
         upsert_null_safe_key, upsert_null_key_kept, upsert_keep_newest, upsert_replace_children,
-        upsert_stream, load_twice, load_resent,
+        upsert_stream, load_twice, load_resent, details_missing, column_added_later,
     )
 }
 
@@ -543,6 +564,10 @@ SQL = {
     ),
     "upsert_stream": f"""SELECT user_id || '-' || event_type AS customer_id, event_id::VARCHAR AS first_name,
           strftime(ts, '%Y-%m-%d %H:%M:%S') AS updated FROM ({_latest('events')})""",
+    "details_missing": """SELECT 'job_' || o_orderkey AS job_id,
+          CASE WHEN o_orderstatus = 'F' AND o_orderkey % 8 <> 0 THEN o_orderkey % 4 ELSE 0 END::INTEGER AS num_appointments FROM orders""",
+    "column_added_later": """SELECT o_orderkey::VARCHAR AS invoice_id, 'open' AS status,
+          CASE WHEN o_orderkey % 2 = 0 THEN floor(o_totalprice)::BIGINT END AS amount, NULL::VARCHAR AS due_at FROM orders""",
     "load_resent": f"""SELECT 'jobs' AS table_name, 'job_' || o_orderkey AS key,
           CASE WHEN o_orderstatus = 'F' THEN 'complete rated' ELSE 'scheduled' END AS value FROM orders
         UNION ALL SELECT 'job_employees', 'job_' || o_orderkey || ' pro_' || ((o_orderkey + i) % 50), 'Lead ' || i
