@@ -70,13 +70,18 @@ def _order() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "pos")
 
 
-def ranked(rows: DataFrame, depth: int) -> DataFrame:
+def ranked(rows: DataFrame, depth: int, goes_on: bool = True) -> DataFrame:
     """POSITION, rank, later, AMOUNTS of the rows whose pair (x, y) occurs at several positions.
 
-    Equal pairs have equal ranks, ordered as the pairs are; ``later`` says that the pair occurs earlier too.
+    Equal pairs have equal ranks, ordered as the pairs are; ``later`` says that the pair occurs earlier too. Where no
+    longer prefix builds on these, the intervals are enough and the ranks stay NULL.
     """
     pairs = rows.groupBy("x", "y").agg(F.min(_order()).alias("first"), F.max(_order()).alias("last")).filter("first <> last")
-    numbered = stored(pairs.repartitionByRange("x", "y").sortWithinPartitions("x", "y").withColumn("rank", F.monotonically_increasing_id()), f"ranks-{depth}")
+    if goes_on:
+        pairs = pairs.repartitionByRange("x", "y").sortWithinPartitions("x", "y").withColumn("rank", F.monotonically_increasing_id())
+    else:
+        pairs = pairs.withColumn("rank", F.lit(None).cast("long"))
+    numbered = stored(pairs, f"ranks-{depth}")
     return stored(rows.join(numbered, ["x", "y"]).select(*POSITION, "rank", (_order() != F.col("first")).alias("later"), *AMOUNTS).distinct(), f"suffixes-{depth}")
 
 
@@ -98,7 +103,7 @@ def suffix_intervals(docs: DataFrame, min_words: int = MIN_WORDS) -> dict[int, D
     size = 1
     while size < min_words:
         for m in range(size + 1, min(2 * size, min_words) + 1):
-            known[m] = ranked(_pairs(known[size], m - size), m)
+            known[m] = ranked(_pairs(known[size], m - size), m, goes_on=m == 2 * size < min_words)
         size *= 2
     return known
 
