@@ -18,7 +18,7 @@ def powers(base: int, n: int) -> np.ndarray:
     """base**0 … base**(n-1), modulo 2**64; the longest so far are remembered."""
     have = _POWERS.get(base)
     if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 20), base, np.uint64)
+        have = np.full(max(n, 1 << 16), base, np.uint64)
         have[0] = 1
         _POWERS[base] = have = np.multiply.accumulate(have)
     return have[:n]

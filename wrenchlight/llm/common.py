@@ -17,7 +17,7 @@ from wrenchlight.session import shared_folder
 
 WORD = r"[^\x20\x09-\x0D]+"
 KEY = ("doc_id", "text_key")
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 2 << 20
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:

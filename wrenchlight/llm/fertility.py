@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wrenchlight.llm.arrays import SPACE, buffer_of, mixed, word_ranges, words_of
-from wrenchlight.llm.common import KEY, PIECE_BYTES, keyed, map_arrow, same_key, stored, texts, type_of
+from wrenchlight.llm.common import KEY, keyed, map_arrow, same_key, stored, texts, type_of
 
 VOCABULARIES = "/opt/tokenizers"
 # Names of the vocabulary files, and the pre-tokeniser pattern that belongs to the byte-level one.
@@ -179,7 +179,7 @@ def measured(docs: DataFrame, folder: str = VOCABULARIES) -> DataFrame:
             known.append(Vocabularies(folder))
         return _measure(piece, known[0])
 
-    return map_arrow(source, make, schema, limit=2 * PIECE_BYTES)
+    return map_arrow(source, make, schema)
 
 
 def base_failed(rules: Rules) -> Column:
