@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -57,6 +60,14 @@ def prepare(spark: SparkSession, input_bytes: int = 0) -> SparkSession:
     return spark
 
 
+@cache
+def _own_folder() -> str:
+    """One temporary folder for this process, removed when it ends."""
+    path = tempfile.mkdtemp(prefix="wrenchlight-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh path that every executor can reach.
 
@@ -67,5 +78,5 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
-        base = tempfile.mkdtemp(prefix="wrenchlight-")
+        base = _own_folder()
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
