@@ -158,7 +158,7 @@ def test_price_book(spark, tmp_path):
 
 
 @pytest.mark.parametrize(("updated", "kept"), [
-    ("2026-06-02T12:00:00Z", True), ("2026-06-02T11:59:59Z", False), ("2027-01-01", True), ("bad", False), (None, False),
+    ("2026-06-02T12:00:00Z", True), ("2026-06-02T11:59:59Z", False), ("2027-01-01", True), ("bad", True), (None, True),
 ])
 def test_look_back(spark, updated, kept):
     items = spark.createDataFrame([("a", updated)], "id string, updated_at string")

@@ -192,7 +192,8 @@ def updated_since(items: DataFrame, since: Column, column: str = "updated_at") -
     """
     if column not in items.columns:
         return items
-    return items.filter(F.coalesce(parse_time(column) >= since, F.lit(True)))
+    changed = parse_time(column)
+    return items.filter((changed >= since) | changed.isNull())
 
 
 def updated_within(items: DataFrame, as_of: Column, days: int) -> DataFrame:
