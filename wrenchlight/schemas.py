@@ -207,10 +207,10 @@ def empty(spark: SparkSession, table: str) -> DataFrame:
 
 
 def schema_listing(spark: SparkSession, frames: dict[str, DataFrame]) -> DataFrame:
-    """(table, position, column, type): what DESCRIBE shows, for any set of tables."""
+    """(table, position, column, type): what DESCRIBE shows, for any set of tables, without the time of arrival."""
     rows = [
         (name, position, f.name, f.dataType.simpleString())
         for name, frame in frames.items()
-        for position, f in enumerate(frame.schema.fields)
+        for position, f in enumerate(f for f in frame.schema.fields if f.name != ARRIVED)
     ]
     return spark.createDataFrame(rows, "table string, position int, column string, type string")
