@@ -51,7 +51,7 @@ class Rules:
     width: float = 5.0
     # By measure: smallest spread, and the variance that one token adds.
     floor: tuple[float, ...] = (0.03, 0.01, 0.02, 0.03)
-    noise: tuple[float, ...] = (1.0, 0.25, 0.1, 1.0)
+    noise: tuple[float, ...] = (3.0, 0.25, 0.1, 4.0)
 
 
 class Vocabularies:
