@@ -228,7 +228,7 @@ def labelled(pages: DataFrame, docs: DataFrame, sample: int = SAMPLE) -> DataFra
     number = F.regexp_extract(F.col("url"), r"/([0-9]{1,18})(?:\.[a-z]+)?/?(?:[?#].*)?$", 1)
     chosen = pages.select("page_id", F.when(number != "", number.cast("long")).alias("doc")).filter("doc is not null and page_id is not null").orderBy(F.xxhash64("page_id"), "page_id").limit(sample)
     chosen = F.broadcast(stored(chosen, "labelled-pages"))  # at most ``sample`` rows of two numbers
-    texts = stored(docs.join(chosen, docs["doc_id"] == chosen["doc"]).select("page_id", F.col("text").alias("document")), "labels")
+    texts = stored(docs.join(chosen, docs["doc_id"] == chosen["doc"]).select("page_id", F.col("text").alias("document")).limit(sample), "labels")
     return pages.select("page_id", "html").join(F.broadcast(texts), "page_id").select("html", "document").limit(sample)
 
 

@@ -37,7 +37,7 @@ def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
     hashes = (xxhash.xxh64_intdigest(b" ".join(g), seed) for g in grams)
     for start in range(0, total, AT_ONCE):
         n = min(AT_ONCE, total - start)
-        part = np.fromiter(hashes, np.uint64, n) if n < total else np.fromiter(hashes, np.uint64, total)
+        part = np.fromiter(hashes, np.uint64, n)
         ones += np.unpackbits(part.view(np.uint8).reshape(n, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > total, bitorder="little").view(np.int64)[0])
 
