@@ -348,3 +348,12 @@ def test_fertility_rejects_other_text(spark):
     rows.append((100, " ".join("".join(chr(dice.randrange(0x1F300, 0x1F600)) for _ in range(6)) for _ in range(100)), "en"))
     found = {r.doc_id: r for r in fertility.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     assert not found[100].kept and "byte_share" in found[100].reasons and all(found[i].kept for i in range(60))
+
+
+def test_fertility_rejects_junk_inside_the_language(spark):
+    folder = SF_SMALL.replace("sf0.001", "sf0.01")
+    quality = {r.doc_id: r.quality for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    found = {r.doc_id: r for r in fertility.judged(spark.read.parquet(f"{folder}/documents.parquet")).collect() if not r.base_failed}
+    assert not any(found[k].kept for k in (37, 67, 101))  # every word followed by ***, $$$, %%% or &&&
+    kept = {q: [r.kept for k, r in found.items() if quality.get(k) == q] for q in (0, 1)}
+    assert sum(kept[0]) <= 0.4 * len(kept[0]) and sum(kept[1]) >= 0.99 * len(kept[1])
