@@ -1,6 +1,6 @@
 """A training corpus from raw documents, stage by stage.
 
-Each stage takes documents as a DataFrame and returns what stays, with the same columns; the last one returns the mix. Every result is
+Each stage takes documents as a DataFrame and returns what stays, with the same columns; the last one returns the training order. Every result is
 written as Parquet and read again, so a stage that fails can start from its predecessor's table.
 """
 
@@ -40,8 +40,8 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, folder: str) -> DataFr
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """How often and where in training each document is read."""
-    return mixing.mixed(docs)
+    """Copies of documents in training order; those that are not taken come last."""
+    return mixing.training_order(docs)
 
 
 STAGES: list[tuple[str, Stage]] = [

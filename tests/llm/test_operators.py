@@ -188,6 +188,30 @@ def test_curriculum(small):
     assert placed == sorted(placed) and len(placed) == sum(r.copies for r in mix)
 
 
+def test_query_goes_through_the_schedule(spark, monkeypatch):
+    written = {}
+    store = mixing.stored
+    monkeypatch.setattr(mixing, "stored", lambda df, purpose: written.setdefault(purpose, store(df, purpose)))
+    found = entry.queries()["op5_mixing"](spark, SF_SMALL).collect()
+    copies = written["schedule"].collect()
+    assert len(copies) == sum(r.copies for r in found) > 0 and sum(r.size for r in copies) == sum(r.taken for r in found)
+    assert any(r.copies == 0 for r in found) and all(r.taken == r.copies * r.size for r in found)
+
+
+def test_training_order(small, odd, empty):
+    mix = mixing.mixed(small).collect()
+    order = mixing.training_order(small).collect()
+    taken = [r for r in order if r.position is not None]
+    assert [r.position for r in taken] == sorted(p for r in mix for p in r.positions) and order[: len(taken)] == taken
+    assert {r.doc_id for r in order[len(taken) :]} == {r.doc_id for r in mix if not r.copies}
+    summed = mixing.taken_by_schedule(odd)
+    columns = ["doc_id", "source", "size", "source_size", "target", "taken", "copies"]
+    rows = lambda df: sorted(map(repr, df.select(*columns).collect()))
+    assert rows(summed) == rows(mixing.mixed(odd))
+    assert all((r.first_position is None) == (r.copies == 0) for r in summed.collect())
+    assert mixing.taken_by_schedule(empty).count() == mixing.training_order(empty).count() == 0
+
+
 # 6: quotations
 
 

@@ -92,6 +92,26 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, ramps: tuple[floa
     return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "positions")
 
 
-def schedule(mix: DataFrame) -> DataFrame:
-    """One row for each copy in training order: position, doc_id, source, size, range-sorted by position."""
-    return mix.select(F.explode("positions").alias("position"), "doc_id", "source", "size").orderBy("position", "doc_id")
+def schedule(mix: DataFrame, *more: str) -> DataFrame:
+    """One row for each copy in training order: position, doc_id, source, size, range-sorted by position; ``more`` columns follow and break ties."""
+    return mix.select(F.explode("positions").alias("position"), "doc_id", "source", "size", *more).orderBy("position", "doc_id", *more)
+
+
+def _stored_mix(docs: DataFrame, *how) -> DataFrame:
+    """mixed(docs), written, with a number of each row."""
+    return stored(mixed(docs, *how).withColumn("row", F.monotonically_increasing_id()), "mix")
+
+
+def taken_by_schedule(docs: DataFrame, *how) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken, copies, first and last position of each row, summed from the written schedule."""
+    rows = _stored_mix(docs, *how)
+    copies = stored(schedule(rows, "row"), "schedule")
+    found = copies.groupBy("row").agg(F.sum("size").alias("taken"), F.count("*").cast("int").alias("copies"), F.min("position").alias("first_position"), F.max("position").alias("last_position"))
+    found = rows.drop("taken", "copies", "positions").join(found, "row", "left").drop("row")
+    return found.withColumns({"taken": F.coalesce("taken", F.lit(0).cast("long")), "copies": F.coalesce("copies", F.lit(0))})
+
+
+def training_order(docs: DataFrame, *how) -> DataFrame:
+    """The sorted schedule with all columns of the mix: one row for each copy, by position; documents that are not taken come last, with a NULL position."""
+    rows = _stored_mix(docs, *how).withColumn("position", F.explode_outer("positions"))
+    return rows.orderBy(F.col("position").asc_nulls_last(), "doc_id", "row").select("position", "doc_id", "source", "size", "source_size", "target", "taken", "copies")

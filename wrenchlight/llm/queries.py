@@ -67,7 +67,7 @@ FROM found GROUP BY doc_id
 
 
 def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    found = mixing.mixed(read(prepare(spark), folder, "documents"))
+    found = mixing.taken_by_schedule(read(prepare(spark), folder, "documents"))
     return found.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
