@@ -24,14 +24,14 @@ def signed(x):
     return x - (1 << 64) if x >> 63 else x
 
 
-@pytest.mark.parametrize("name", ["op4_licenses", "op5_mixing", "op7_line_dedup"])
+@pytest.mark.parametrize("name", ["op4_licenses", "op5_mixing", "op7_line_dedup", "op11_scaled_sketch"])
 def test_query_matches_sql(spark, name):
     good, note = compare(spark, connect(SF_SMALL), SF_SMALL, name)
     assert good, note
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in entry.queries() if re.match(r"op\d+_", n)) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in entry.queries() if re.match(r"op\d+_", n)) == list(range(1, 14))
 
 
 # 1: substring dedup

@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wrenchlight.session import shared_folder
@@ -41,6 +41,17 @@ def same_key(a: DataFrame, b: DataFrame) -> Column:
     return (a["text_key"] == b["text_key"]) & a["doc_id"].eqNullSafe(b["doc_id"])
 
 
+def numbered(rows: DataFrame, *order: Column) -> DataFrame:
+    """rows with ``place``, their number from 0 in this order: sorted by range, then counted per partition, so no task sees all rows."""
+    ordered = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "ordered")
+    part = F.shiftright("at", 33).alias("part")
+    sizes = ordered.groupBy(part).count()
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
+    starts = sizes.select(F.col("part").alias("of_part"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
+    placed = ordered.withColumn("part", part).join(F.broadcast(starts), F.col("part") == F.col("of_part"))
+    return placed.withColumn("place", F.col("before") + F.col("at") - F.shiftleft("part", 33)).drop("at", "part", "of_part", "before")
+
+
 def slot(column: Column | str, slots: int) -> Column:
     return F.pmod(F.xxhash64(column, F.lit("slot")), F.lit(slots))
 

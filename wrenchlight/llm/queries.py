@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wrenchlight.llm import decontaminate, fertility, html_crf, licenses, line_dedup, mixing, pii, quotations, simhash, substring_dedup
+from wrenchlight.llm import decontaminate, fertility, html_crf, licenses, line_dedup, mixing, periodic_runs, pii, quotations, scaled_sketch, simhash, substring_dedup, whitening
 from wrenchlight.llm.common import keyed, read
 from wrenchlight.session import prepare
 
@@ -152,11 +152,62 @@ def op10_fertility(spark: SparkSession, folder: str) -> DataFrame:
     return found.drop("text_key", "n_tokens")
 
 
+def op11_scaled_sketch(spark: SparkSession, folder: str) -> DataFrame:
+    return scaled_sketch.fingerprints(read(prepare(spark), folder, "documents"))
+
+
+OP11_SQL = """
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n_chars FROM documents),
+followed AS (
+  SELECT *, coalesce(lead(text) OVER w, first_value(text) OVER w) AS next_text FROM texts WINDOW w AS (ORDER BY doc_id DESC)),
+edits AS (
+  SELECT doc_id, n_chars, text, next_text, left(text, n_chars - n_chars // 3) || left(next_text, n_chars // 3) AS edited FROM followed),
+versions AS (
+  SELECT doc_id, 'a' AS which, text FROM edits UNION ALL SELECT doc_id, 'b', edited FROM edits UNION ALL SELECT doc_id, 'c', next_text FROM edits),
+words AS (
+  SELECT doc_id, which, unnest(w) AS word, generate_subscripts(w, 1) AS i, len(w) AS n
+  FROM (SELECT doc_id, which, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w FROM versions)),
+shingles AS (
+  SELECT doc_id, which, n, i, left(md5(concat_ws(' ', word, lead(word, 1) OVER w, lead(word, 2) OVER w, lead(word, 3) OVER w, lead(word, 4) OVER w)), 16) AS hash
+  FROM words WINDOW w AS (PARTITION BY doc_id, which ORDER BY i)),
+hashes AS (
+  SELECT doc_id, which, hash, min(hash) OVER (PARTITION BY doc_id, which) AS least FROM shingles WHERE i = 1 OR i <= n - 4),
+kept AS (SELECT DISTINCT doc_id, which, hash FROM hashes WHERE hash < '4000000000000000' OR hash = least),
+prints AS (
+  SELECT v.doc_id, v.which, coalesce(string_agg(k.hash, '' ORDER BY k.hash), '') AS print, count(k.hash) AS size
+  FROM versions v LEFT JOIN kept k ON k.doc_id = v.doc_id AND k.which = v.which GROUP BY v.doc_id, v.which),
+shared AS (
+  SELECT a.doc_id, b.which, count(*) AS both FROM kept a JOIN kept b ON a.doc_id = b.doc_id AND a.hash = b.hash
+  WHERE a.which = 'a' AND b.which <> 'a' GROUP BY a.doc_id, b.which)
+SELECT e.doc_id, e.n_chars, sha256(e.edited) AS edited_sha256, a.print AS fingerprint, b.print AS edited_fingerprint,
+       CASE WHEN a.size + b.size = 0 THEN 1.0 ELSE CAST(coalesce(x.both, 0) AS DOUBLE) / (a.size + b.size - coalesce(x.both, 0)) END AS near_edited,
+       CASE WHEN a.size + c.size = 0 THEN 1.0 ELSE CAST(coalesce(y.both, 0) AS DOUBLE) / (a.size + c.size - coalesce(y.both, 0)) END AS near_next,
+       CASE WHEN a.size = 0 THEN 1.0 ELSE CAST(coalesce(x.both, 0) AS DOUBLE) / a.size END AS in_edited,
+       CASE WHEN a.size = 0 THEN 1.0 ELSE CAST(coalesce(y.both, 0) AS DOUBLE) / a.size END AS in_next
+FROM edits e
+JOIN prints a ON a.doc_id = e.doc_id AND a.which = 'a'
+JOIN prints b ON b.doc_id = e.doc_id AND b.which = 'b'
+JOIN prints c ON c.doc_id = e.doc_id AND c.which = 'c'
+LEFT JOIN shared x ON x.doc_id = e.doc_id AND x.which = 'b'
+LEFT JOIN shared y ON y.doc_id = e.doc_id AND y.which = 'c'
+"""
+
+
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(read(prepare(spark), folder, "embeddings"))
+
+
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic_runs.find_runs(read(prepare(spark), folder, "documents"), periodic_runs.spread_period)
+    return found.drop("text", "runs")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_html_crf, op3_decontamination, op4_licenses, op5_mixing,
         op6_quotations, op7_line_dedup, op8_pii, op9_simhash, op10_fertility,
+        op11_scaled_sketch, op12_whitening, op13_periodic_runs,
     )
 }
-SQL: dict[str, str] = {"op4_licenses": OP4_SQL, "op5_mixing": OP5_SQL, "op7_line_dedup": OP7_SQL}
+SQL: dict[str, str] = {"op4_licenses": OP4_SQL, "op5_mixing": OP5_SQL, "op7_line_dedup": OP7_SQL, "op11_scaled_sketch": OP11_SQL}
