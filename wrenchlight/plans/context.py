@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from wrenchlight.functions import labels, text, times
 from wrenchlight.functions.labels import BILLED_STATES, COMPLETED_STATES
+from wrenchlight.operators.filters import FILTER_FROM_BYTES, near
 from wrenchlight.sources.tables import Tables
 
 
@@ -19,10 +20,18 @@ class Context:
     The year starts in the business zone, months and days are cut in UTC, and
     dates after ``as_of`` count. Populations are lazy and hold only the columns
     the KPIs use; filters sit directly on the stored columns, so they reach the
-    Parquet scan.
+    Parquet scan. Tables without a date of their own, whose scan reads ``filter_from`` bytes
+    or more, are cut by a Bloom filter of the year's keys before they are shuffled.
     """
 
-    def __init__(self, tables: Tables, as_of: datetime | str | Column | None = None, zone: str = times.BUSINESS_ZONE):
+    def __init__(
+        self,
+        tables: Tables,
+        as_of: datetime | str | Column | None = None,
+        zone: str = times.BUSINESS_ZONE,
+        filter_from: int = FILTER_FROM_BYTES,
+    ):
+        self.filter_from = filter_from
         self.tables = tables
         self.zone = zone
         self.as_of: Column = times.instant(datetime.now(timezone.utc) if as_of is None else as_of)
@@ -54,25 +63,30 @@ class Context:
     @cached_property
     def completed_visits(self) -> DataFrame:
         """``completed`` with the counted appointments, else the stored number, else 0."""
-        visits = self.tables["job_appointments"].join(self.completed.select("job_id"), "job_id", "left_semi")
+        jobs = self.completed.select("job_id")
+        visits = self._near(self.tables["job_appointments"], jobs, "job_id").join(jobs, "job_id", "left_semi")
         joined = self.completed.join(_counted_visits(visits), "job_id", "left")
         number = F.coalesce("counted", "num_appointments", F.lit(0)).cast("bigint")
         return joined.withColumn("num_appointments", number).drop("counted")
 
+    def _near(self, rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+        """``rows`` cut to roughly the ``keys``, where that pays; an exact join follows."""
+        return near(rows, keys, key, self.filter_from)
+
     @cached_property
     def job_categories(self) -> DataFrame:
-        """(job_id, category) of all jobs that may have one; any other job is unclassified.
+        """(job_id, category) of the billed jobs that may have one, and maybe of others; any other job is unclassified.
 
         The label is taken from the tags below the shuffle, which then carries
         short labels of some jobs instead of the tags of all.
         """
-        jobs = self.tables["jobs"].filter(labels.may_have_category("tags"))
+        jobs = self._near(self.tables["jobs"].filter(labels.may_have_category("tags")), self.billed, "job_id")
         return jobs.select("job_id", labels.job_category("tags").alias("category"))
 
     @cached_property
     def install_jobs(self) -> DataFrame:
-        """(job_id) of the jobs in an install category."""
-        jobs = self.tables["jobs"].filter(labels.may_be_install("tags"))
+        """(job_id) of the billed jobs in an install category, and maybe of others."""
+        jobs = self._near(self.tables["jobs"].filter(labels.may_be_install("tags")), self.billed, "job_id")
         return jobs.filter(labels.is_install_category(labels.job_category("tags"))).select("job_id")
 
     # ---- invoices ----------------------------------------------------------
@@ -113,22 +127,36 @@ class Context:
         """
         weight = labels.outcome_weight("approval_status", "status")
         estimates = self.estimates_this_year.select("estimate_id", "created_at", "lead_source")
-        options = self.tables["estimate_options"].join(estimates.select("estimate_id"), "estimate_id", "left_semi")
+        keys = estimates.select("estimate_id")
+        options = self._near(self.tables["estimate_options"], keys, "estimate_id").join(keys, "estimate_id", "left_semi")
         best = options.groupBy("estimate_id").agg(F.max(weight).alias("weight"))
         joined = estimates.join(best, "estimate_id", "left")
         return joined.withColumn("outcome", labels.outcome_name("weight")).drop("weight")
 
     # ---- people ------------------------------------------------------------
 
+    @cached_property
+    def year_jobs(self) -> DataFrame:
+        """(job_id) of the jobs completed or billed this year; a job may occur several times."""
+        return self.completed.select("job_id").unionByName(self.billed.select("job_id"))
+
     @cached_property
     def crew(self) -> DataFrame:
-        """(job_id, employee_id), each pair once."""
+        """(job_id, employee_id) as stored, of the year's jobs and maybe of others; a pair may occur several times."""
         pairs = self.tables["job_employees"].select("job_id", "employee_id")
-        return pairs.dropna().distinct()
+        return self._near(pairs.dropna(), self.year_jobs, "job_id")
+
+    @cached_property
+    def year_crew(self) -> DataFrame:
+        """(job_id, employee_id) of the year's jobs, each pair once."""
+        return self.crew.join(self.year_jobs, "job_id", "left_semi").distinct()
 
     @cached_property
     def employees(self) -> DataFrame:
-        """One row per employee, from the employees table, or from the job crews if that is empty."""
+        """One row per employee, from the employees table, or from the job crews if that is empty.
+
+        Whether it is empty is asked while the plan is built, by a job that reads one row.
+        """
         master = self.tables["employees"]
         listed = master.isEmpty()
         return crew_as_employees(self.tables) if listed else employee_dimension(master)
@@ -141,13 +169,14 @@ class Context:
         For computing many KPIs in one go: the large tables are scanned once, and
         later queries do not depend on the executors that did it.
         """
-        copy = Context(self.tables, self.as_of, self.zone)
+        copy = Context(self.tables, self.as_of, self.zone, self.filter_from)
         for name in MATERIALIZED:
             frame = getattr(self, name)
             frame.write.parquet(f"{folder}/{name}")
             copy.__dict__[name] = self.tables.spark.read.schema(frame.schema).parquet(f"{folder}/{name}")
         # The same jobs; nothing but the visits looks at the number of appointments.
         copy.__dict__["completed"] = copy.completed_visits
+        copy.__dict__["crew"] = copy.year_crew
         return copy
 
 
@@ -157,7 +186,7 @@ def _counted_visits(visits: DataFrame) -> DataFrame:
 
 
 # Populations that several KPIs read.
-MATERIALIZED = ("completed_visits", "billed", "billed_by_category", "outcomes", "crew", "employees")
+MATERIALIZED = ("completed_visits", "billed", "billed_by_category", "outcomes", "year_crew", "employees")
 
 EMPLOYEE_COLUMNS = ("employee_id", "first_name", "last_name", "role", "avatar_url", "color_hex")
 

@@ -60,11 +60,12 @@ def crew_metrics(ctx: Context, kinds: Collection[str] = tuple(_FACT_SOURCES)) ->
     """Per employee: the facts of all jobs the employee is on, and the number of service days.
 
     All facts are stacked, one or a few rows per job, and meet the crews in one
-    join. Both sides come straight from a shuffle on the job and the next step
-    shuffles on the employee, so AQE is free to split the crew of a very large job.
+    join. Both sides come straight from a shuffle on the job, so AQE is free to split the crew of a
+    very large job. Crew entries that occur several times are taken once behind the join, where only the year's are left.
     """
-    facts = reduce(DataFrame.unionByName, (_FACT_SOURCES[kind](ctx) for kind in kinds))
-    credited = ctx.crew.join(facts, "job_id")
+    stacked = [_FACT_SOURCES[kind](ctx).withColumn("fact", F.lit(kind)) for kind in kinds]
+    facts = reduce(DataFrame.unionByName, stacked)
+    credited = ctx.crew.join(facts, "job_id").distinct()
     sums = [F.sum(name).alias(name) for name in FACTS]
     per_day = credited.groupBy("employee_id", "day").agg(*sums)
     return per_day.groupBy("employee_id").agg(*sums, F.count("day").alias("service_days"))
