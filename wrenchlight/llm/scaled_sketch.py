@@ -34,21 +34,43 @@ def _let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def sketch(text: Column, shingle: int = SHINGLE, scale: int = SCALE) -> Column:
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+
+
+def _hashes(words: Column, shingle: int, first: Column | None = None) -> Column:
+    """Hashes of the shingles from the first-th (from 0) on. concat_ws leaves out what a short text lacks."""
+    first = F.lit(0) if first is None else first
+    last = F.greatest(F.size(words) - shingle, F.lit(0))
+    hashed = lambda i: F.left(F.md5(F.concat_ws(" ", *(F.get(words, i + k) for k in range(shingle)))), F.lit(DIGITS))
+    return F.when((F.size(words) > 0) & (first <= last), F.transform(F.sequence(F.least(first, last), last), hashed)).otherwise(F.array().cast("array<string>"))
+
+
+def _kept(every: Column, scale: int) -> Column:
     """Sorted distinct hashes below the limit, at least the smallest one."""
     limit = f"{(1 << 4 * DIGITS) // scale:0{DIGITS}x}" if scale > 1 else "g"
-    hashed = lambda words: F.left(F.md5(F.array_join(words, " ")), F.lit(DIGITS))
-
-    def hashes(words: Column) -> Column:
-        last = F.greatest(F.size(words) - (shingle - 1), F.lit(1))
-        every = F.transform(F.sequence(F.lit(1), last), lambda i: hashed(F.slice(words, i, shingle)))
-        return F.when(F.size(words) > 0, every).otherwise(F.array().cast("array<string>"))
 
-    def least(every: Column) -> Column:
-        low = F.filter(every, lambda h: h < limit)
+    def least(low: Column) -> Column:
         return F.when((F.size(low) > 0) | (F.size(every) == 0), F.array_sort(F.array_distinct(low))).otherwise(F.array(F.array_min(every)))
 
-    return _let(_let(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), hashes), least)
+    return _let(F.filter(every, lambda h: h < limit), least)
+
+
+def sketch(text: Column, shingle: int = SHINGLE, scale: int = SCALE) -> Column:
+    """The kept hashes of a text."""
+    return _let(_let(_words(text), lambda w: _hashes(w, shingle)), lambda every: _kept(every, scale))
+
+
+def sketches_before_and_after(text: Column, start: Column, edited: Column, shingle: int = SHINGLE, scale: int = SCALE) -> Column:
+    """The sketches of a text and of an edited one that begins with ``start`` as the text does, in an array; shingles within the start are hashed once."""
+
+    def both(every: Column) -> Column:
+        # The last word of the start may be cut.
+        same = F.greatest(F.size(_words(start)) - shingle, F.lit(0))
+        rest = _let(_words(edited), lambda w: _hashes(w, shingle, same))
+        return F.array(_kept(every, scale), _let(F.concat(F.slice(every, F.lit(1), same), rest), lambda e: _kept(e, scale)))
+
+    return _let(_let(_words(text), lambda w: _hashes(w, shingle)), both)
 
 
 def fingerprint(kept: Column) -> Column:
@@ -88,18 +110,19 @@ def followers(rows: DataFrame) -> DataFrame:
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, scale: int = SCALE) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, in_edited, in_next (containment of the document in its edited text and in the next one)."""
     links = stored(followers(keyed(docs)), "followers")
-    rows = keyed(docs).withColumn("fingerprint", fingerprint(sketch(F.col("text"), shingle, scale)))
-    heads = rows.join(links, same_key(rows, links)).select("before_id", "before_key", F.substring("text", F.lit(1), F.col("wanted")).alias("head"), F.col("fingerprint").alias("next_print"))
+    rows = keyed(docs)
+    # A document's beginning and sketch (as bytes) go to the one before it.
+    print_bytes = F.unhex(fingerprint(sketch(F.col("text"), shingle, scale)))
+    heads = rows.join(links, same_key(rows, links)).select("before_id", "before_key", F.substring("text", F.lit(1), F.col("wanted")).alias("head"), print_bytes.alias("next_print"))
     heads = heads.groupBy("before_id", "before_key").agg(F.first("head").alias("head"), F.first("next_print").alias("next_print"))
     found = rows.join(heads, (rows["text_key"] == heads["before_key"]) & rows["doc_id"].eqNullSafe(heads["before_id"]))
     n = F.length("text")
-    edited = F.concat(F.substring("text", F.lit(1), n - F.floor(n / 3).cast("int")), F.col("head"))
-    found = found.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "fingerprint", "next_print")
-    found = found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", fingerprint(sketch(F.col("edited"), shingle, scale)).alias("edited_fingerprint"), "next_print")
-    sketches = F.transform(F.array("fingerprint", "edited_fingerprint", "next_print"), hashes_of)
-    a, b, c = (F.col("sketches")[i] for i in range(3))
-    found = found.withColumn("sketches", sketches)
+    start = F.substring("text", F.lit(1), n - F.floor(n / 3).cast("int"))
+    found = found.select("doc_id", "text", n.cast("long").alias("n_chars"), start.alias("start"), F.concat(start, "head").alias("edited"), "next_print")
+    own = sketches_before_and_after(F.col("text"), F.col("start"), F.col("edited"), shingle, scale)
+    found = found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), own.alias("own"), hashes_of(F.lower(F.hex("next_print"))).alias("next"))
+    a, b, c = F.col("own")[0], F.col("own")[1], F.col("next")
     return found.select(
-        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(a, b).alias("near_edited"), likeness(a, c).alias("near_next"),
-        containment(a, b).alias("in_edited"), containment(a, c).alias("in_next"),
+        "doc_id", "n_chars", "edited_sha256", fingerprint(a).alias("fingerprint"), fingerprint(b).alias("edited_fingerprint"), likeness(a, b).alias("near_edited"),
+        likeness(a, c).alias("near_next"), containment(a, b).alias("in_edited"), containment(a, c).alias("in_next"),
     )
