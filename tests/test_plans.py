@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from tests.conftest import SF_SMALL
 from tests.frames import as_text, dicts
+from wrenchlight.operators.filters import key_filter, may_match, scanned_bytes
 from wrenchlight.operators.joins import hot_keys, spread_join
 from wrenchlight.operators.upsert import latest_per_key, upsert
-from wrenchlight.plans import club, employees, leads, quality
+from wrenchlight.plans import club, employees, leads, quality, revenue
 from wrenchlight.plans.context import Context
 from wrenchlight.plans.dashboard import AUDITS, BREAKDOWNS, SUMMARIES
+from wrenchlight.sources import bucketed
 from wrenchlight.sources.tables import Tables
 from workload import bridge
 
@@ -198,3 +200,79 @@ def test_cut_to_the_year_before_reducing(stored):
         assert "LeftSemi" in plan[plan.rindex("Aggregate"):]
     plan = leads.lead_by_employee(stored)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("LeftSemi") >= 2
+
+
+def test_crews_are_made_distinct_behind_the_join(stored):
+    plan = employees.crew_metrics(stored)._jdf.queryExecution().optimizedPlan().toString()
+    join = plan.index("Join Inner")
+    scan = plan.index("employee_id", join)
+    assert "Aggregate" in plan[:join] and "Aggregate" not in plan[join : scan]
+    # The crew side is the first child of the join: a scan with a filter.
+    crew = plan[join:].split("\n")[1:4]
+    assert any("Relation" in line for line in crew) and not any("Aggregate" in line for line in crew)
+
+
+def test_key_filter(spark):
+    keys = spark.range(0, 3000, 3).select(F.concat(F.lit("k"), F.col("id")).alias("key"))
+    keys = keys.unionByName(spark.createDataFrame([(None,)], "key string"))
+    rows = spark.range(30_000).select(F.concat(F.lit("k"), F.col("id")).alias("key")).unionByName(spark.createDataFrame([(None,)], "key string"))
+    found = may_match(rows, keys, "key")
+    assert found.join(keys, "key", "left_semi").count() == 1000
+    assert 1000 <= found.count() < 1100 and found.filter("key is null").count() == 0
+    assert may_match(rows, keys.filter("false"), "key").count() == 0
+    assert key_filter(keys, "key").count() <= 1000
+    assert "BroadcastHashJoin" in plan_of(found)
+
+
+@pytest.mark.parametrize("plan", [employees.employee_cards, revenue.revenue_breakdown, revenue.average_ticket, quality.quality_summary, leads.lead_by_source])
+def test_results_are_the_same_with_the_filter(spark, stored, plan):
+    cut = Context(stored.tables, bridge.AS_OF, filter_from=0)
+    assert as_text(plan(cut)) == as_text(plan(stored))
+
+
+def test_filter_stands_below_the_shuffle_of_large_tables(stored, settings):
+    settings(spark__sql__autoBroadcastJoinThreshold="-1")
+    assert scanned_bytes(stored.tables["job_employees"]) > 0
+    large = Context(stored.tables, bridge.AS_OF, filter_from=0)
+    for frame in (large.crew, large.job_categories, large.install_jobs):
+        plan = plan_of(frame)
+        assert "LeftSemi, BuildRight" in plan and "bit_or" in plan
+    assert "bit_or" not in plan_of(stored.crew)
+
+
+@pytest.fixture(scope="module")
+def by_job(spark, stored, tmp_path_factory):
+    root = str(tmp_path_factory.mktemp("by-job"))
+    yield root, Context(bucketed.write_by_job(stored.tables, root, 4), bridge.AS_OF)
+    bucketed.forget(spark, root)
+
+
+def test_no_shuffle_below_joins_by_job(by_job, settings):
+    settings(spark__sql__autoBroadcastJoinThreshold="-1")
+    ctx = by_job[1]
+    for frame in (ctx.billed_by_category, ctx.completed_visits, ctx.billed.join(ctx.install_jobs, "job_id", "left_anti"), ctx.crew.join(ctx.completed, "job_id").distinct()):
+        plan = plan_of(frame)
+        join = plan.index("SortMergeJoin")
+        assert "Exchange" not in plan[join:], plan
+    # Facts of several kinds are stacked and dealt out, a few numbers for each job of the year; crews stay where they are.
+    plan = plan_of(employees.crew_metrics(ctx))
+    below = plan[plan.index("SortMergeJoin"):]
+    assert "job_employees" in below and "Exchange" not in below[: below.index("FileScan")]
+
+
+def test_bucketed_copies_give_the_same_results(spark, stored, by_job):
+    root, ctx = by_job
+    for plan in (employees.employee_cards, revenue.revenue_breakdown, quality.quality_summary):
+        assert as_text(plan(ctx)) == as_text(plan(stored))
+    bucketed.forget(spark, root)
+    again = Context(bucketed.read_by_job(spark, root, stored.tables, 4), bridge.AS_OF)
+    assert as_text(revenue.average_ticket(again)) == as_text(revenue.average_ticket(stored))
+    assert "Bucketed: true" in again.billed_by_category._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+
+
+def test_a_table_with_a_hot_job_is_not_bucketed(spark, tmp_path):
+    pairs = hot_pairs(spark, 9000)
+    tables = Tables.of(spark, {"job_employees": pairs})
+    found = bucketed.write_by_job(tables, str(tmp_path / "hot"), 8)
+    assert "Bucketed: true" not in plan_of(found["job_employees"]) and found["job_employees"].count() == 9000
+    bucketed.forget(spark, str(tmp_path / "hot"))

@@ -508,3 +508,7 @@ _SUMMARY_COLUMNS = {
 KPIS["dashboard_values"] = sql(
     " UNION ALL ".join(_long(kpi, body, columns) for kpi, (body, columns) in _SUMMARY_COLUMNS.items())
 )
+
+# The same KPIs from bucketed copies of the tables.
+KPIS["revenue_breakdown_bucketed"] = KPIS["revenue_breakdown"]
+KPIS["employee_cards_bucketed"] = KPIS["employee_cards"]

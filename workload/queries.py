@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wrenchlight.plans import audit, club, dashboard, employees, estimates, freshness, leads, quality, revenue
 from wrenchlight.plans.context import Context
+from wrenchlight.session import shared_folder
+from wrenchlight.sources import bucketed
 from workload import bridge, expressions, ingestion
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +21,16 @@ def _kpi(plan: Callable[[Context], DataFrame], as_of: str = bridge.AS_OF) -> Que
     return lambda spark, folder: plan(bridge.context(spark, folder, as_of))
 
 
+def _kpi_by_job(plan: Callable[[Context], DataFrame]) -> Query:
+    """The KPI from copies of the tables bucketed by job, written first."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        tables = bucketed.write_by_job(bridge.tables(spark, folder), shared_folder(spark, "by-job"))
+        return plan(Context(tables, bridge.AS_OF))
+
+    return run
+
+
 KPIS: dict[str, Query] = {
     "quality_summary": _kpi(quality.quality_summary),
     "repeat_jobs_top25": _kpi(quality.repeat_jobs),
@@ -45,6 +57,8 @@ KPIS: dict[str, Query] = {
     "freshness": _kpi(freshness.freshness, EVENTS_AS_OF),
     "load_facts": _kpi(freshness.load_facts),
     "dashboard_values": _kpi(dashboard.dashboard_values),
+    "revenue_breakdown_bucketed": _kpi_by_job(revenue.revenue_breakdown),
+    "employee_cards_bucketed": _kpi_by_job(employees.employee_cards),
 }
 
 

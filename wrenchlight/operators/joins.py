@@ -12,8 +12,8 @@ MAX_HOT_KEYS = 1000
 SKETCH_ITEMS = 10_000
 
 
-def hot_keys(df: DataFrame, key: str) -> DataFrame:
-    """(hot_key): the keys that hold more than ``HOT_SHARE`` of the rows, at most 1000.
+def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:
+    """(hot_key): the keys that hold more than ``share`` of the rows, at most 1000.
 
     Frequency sketches are merged per group of partitions first, so that the last
     step gets a few hundred sketches, however many tasks the scan has.
@@ -25,7 +25,7 @@ def hot_keys(df: DataFrame, key: str) -> DataFrame:
     # Grouped by a constant, as combining no sketches at all is an error.
     merged = sketches.groupBy(F.lit("all")).agg(top.alias("top"), F.sum("n").alias("n"))
     listed = merged.select("n", F.explode("top").alias("entry"))
-    return listed.filter(F.col("entry.count") > F.col("n") * HOT_SHARE).select(
+    return listed.filter(F.col("entry.count") > F.col("n") * share).select(
         F.col("entry.item").alias("hot_key")
     )
 
