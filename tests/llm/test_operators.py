@@ -172,6 +172,23 @@ def test_mix_of_odd_rows(odd, empty):
     assert mixing.mixed(empty).count() == 0
 
 
+def test_mix_of_equal_rows(spark):
+    """12 sources of 18,000 words, of which six equal rows of 1000 words each without an id; no source misses its target by more than half a document."""
+    rows = []
+    for k in range(12):
+        rows += [(None, "same " * 1000, f"s{k:02}")] * 6
+        rows += [(1000 * k + i, f"w{k} " * 1000, f"s{k:02}") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    taken, target = {}, {}
+    for r in mixing.taken_by_schedule(docs).collect():
+        taken[r.source] = taken.get(r.source, 0) + r.taken
+        target[r.source] = r.target
+        assert r.size == 1000 and r.taken <= 3000 and r.source_size == 18_000
+    assert len(taken) == 12 and all(abs(taken[s] - target[s]) <= 500 for s in taken), (taken, target)
+    again = sorted(map(repr, mixing.taken_by_schedule(docs).select("doc_id", "source", "taken").collect()))
+    assert again == sorted(map(repr, mixing.taken_by_schedule(docs.repartition(3)).select("doc_id", "source", "taken").collect()))
+
+
 def test_curriculum(small):
     mix = mixing.mixed(small).collect()
     taken, target, largest = {}, {}, {}

@@ -3,21 +3,22 @@
 Targets. The weights share out all sizes; a source stops at ``repeat`` times its size and its excess is shared out by weight
 among the others until none is above (the level L with sum(min(cap, L * weight)) = total).
 
-Documents. Each source is read in the order of a digest of the document, again from the start after each pass.
-A document's place is the number of words before it; the copy of pass p is taken while its middle, p times the source's size
-plus place plus half its size, lies below the target. So a source misses its target by at most half a document, and
+Documents. Each source is read in the order of a digest of the document, again from the start after each pass; rows with equal digests (equal in doc_id and text)
+follow one another. A row's place is the number of words before it; the copy of pass p is taken while its middle, p times the source's size
+plus place plus half its size, lies below the target. So a source misses its target by at most half a document, however many rows are equal, and
 none is taken more than ``repeat`` times.
 
 Curriculum. A source's weight runs in a straight line from ``1 + ramp`` times its target share at the start of training to
 ``1 - ramp`` times at the end. The integral is its cumulative demand; a copy's position in training, between 0 and 1, is
 where the demand reaches the copy's place: t with t + ramp * (t - t * t) = place / target. The schedule is range-sorted by position.
 
-Running sums of a source of any size: digests fall into 4096 buckets of a source, which are summed first; only the sums
-of the buckets are accumulated over the source, and documents within their bucket.
+Running sums of a source of any size: digests fall into 65536 buckets of a source, which are summed first; only the sums
+of the buckets are accumulated over the source. Within a bucket the rows of one digest and one task of the scan are one chunk, with a count; chunks are accumulated, and a row
+finds its place from its number within its chunk. A digest that a third of all rows share is thus as many chunks as tasks read it.
 
 Defined results: sizes count words ``[^\\x20\\x09-\\x0D]+``, 0 for NULL and empty texts. NULL is a source of its own, last in order. The order
-of sources is by code point; weights repeat along it. Equal digests (rows equal in doc_id and text) are ordered by size and share
-places as ties do: both copies get the place of the first. An empty table or one without words takes nothing. Extra columns are ignored.
+of sources is by code point; weights repeat along it. Which of several equal rows is taken is not defined, how many are is. An empty table or one without words takes nothing.
+Texts of any length are counted whole. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -74,18 +75,25 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, ramps: tuple[floa
     """doc_id, source, size, source_size, target, taken, copies, positions (of each copy in training, ascending)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     digest = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(text)))
-    rows = stored(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count().alias("size"), digest.alias("digest")).withColumn("bucket", F.substring("digest", 1, 3)), "sizes")
-    buckets = stored(rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size")), "buckets")
+    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count().alias("size"), digest.alias("digest"), F.monotonically_increasing_id().alias("at"))
+    rows = stored(rows.withColumn("part", F.shiftright("at", 33)), "sizes")
+    chunks = stored(rows.groupBy("source", "digest", "size", "part").agg(F.count("*").alias("n")).withColumn("bucket", F.substring("digest", 1, 4)), "chunks")
+    words = F.col("n") * F.col("size")
+    buckets = stored(chunks.groupBy("source", "bucket").agg(F.sum(words).alias("bucket_size")), "buckets")
     goal = targets(buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, ramps, repeat)
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     placed = buckets.withColumn("bucket_start", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)))
     goal = goal.withColumnRenamed("source", "goal_source")
     known = stored(placed.join(goal, placed["source"].eqNullSafe(goal["goal_source"])).select(F.col("source").alias("known_source"), F.col("bucket").alias("known_bucket"), "bucket_start", "source_size", "target", "ramp"), "places")
-    within = Window.partitionBy("source", "bucket").orderBy("digest").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    same = Window.partitionBy("source", "bucket", "digest")
-    rows = rows.withColumn("place", F.sum("size").over(within) - F.sum("size").over(same))
-    rows = rows.join(known, rows["source"].eqNullSafe(F.col("known_source")) & (rows["bucket"] == F.col("known_bucket")))
-    starts = F.transform(F.sequence(F.lit(0), F.lit(repeat - 1)), lambda p: F.col("bucket_start") + F.col("place") + p * F.col("source_size"))
+    within = Window.partitionBy("source", "bucket").orderBy("digest", "part").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = chunks.withColumn("chunk_start", F.coalesce(F.sum(words).over(within), F.lit(0)))
+    chunks = chunks.join(known, chunks["source"].eqNullSafe(F.col("known_source")) & (chunks["bucket"] == F.col("known_bucket")))
+    chunks = chunks.select(F.col("digest").alias("chunk_digest"), F.col("part").alias("chunk_part"), "known_source", (F.col("bucket_start") + F.col("chunk_start")).alias("start"), "source_size", "target", "ramp")
+    number = F.row_number().over(Window.partitionBy("source", "digest", "part").orderBy("at"))
+    rows = rows.withColumn("number", number - 1)
+    rows = rows.join(chunks, (rows["digest"] == F.col("chunk_digest")) & (rows["part"] == F.col("chunk_part")) & rows["source"].eqNullSafe(F.col("known_source")))
+    rows = rows.withColumn("place", F.col("start") + F.col("number") * F.col("size"))
+    starts = F.transform(F.sequence(F.lit(0), F.lit(repeat - 1)), lambda p: F.col("place") + p * F.col("source_size"))
     taken = F.filter(starts, lambda s: (F.col("size") > 0) & (s + F.col("size") / 2 < F.col("target")))
     share = lambda s: _position(F.least((s + F.col("size") / 2) / F.col("target"), F.lit(1.0)), F.col("ramp"))
     rows = rows.withColumn("starts", taken).withColumn("copies", F.size("starts")).withColumn("positions", F.transform("starts", share))

@@ -90,7 +90,7 @@ goals AS (
   SELECT source, source_size, least(CAST(3 * source_size AS DOUBLE), level * weight) AS target FROM sources, chosen),
 placed AS (
   SELECT d.doc_id, d.size, g.source_size, g.target,
-         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.digest) - sum(d.size) OVER (PARTITION BY d.source, d.digest) AS place
+         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.digest ROWS UNBOUNDED PRECEDING) - d.size AS place
   FROM sized d JOIN goals g ON d.source IS NOT DISTINCT FROM g.source),
 counted AS (
   SELECT *, CAST(CASE WHEN size = 0 THEN 0 ELSE
