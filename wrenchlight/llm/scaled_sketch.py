@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wrenchlight.llm.common import WORD, keyed, numbered, same_key, stored
+from wrenchlight.llm.common import WORD, keyed, numbered, stored
 
 SHINGLE, SCALE = 5, 4
 DIGITS = 16
@@ -107,18 +107,29 @@ def followers(rows: DataFrame) -> DataFrame:
     return order.join(before, order["place"] == before["next"]).select("doc_id", "text_key", "before_id", "before_key", "wanted")
 
 
+# Equal and not NULL wherever doc_id and text are: one shuffle by them serves both joins and the aggregation.
+_KEYS = ["text_key", "plain_id", "no_id"]
+
+
+def _plain_id(column: str) -> dict[str, Column]:
+    return {"plain_id": F.coalesce(F.col(column).cast("string"), F.lit("")), "no_id": F.col(column).isNull()}
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, scale: int = SCALE) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, in_edited, in_next (containment of the document in its edited text and in the next one)."""
     links = stored(followers(keyed(docs)), "followers")
-    rows = keyed(docs)
+    # Both joins read the same columns, so that one shuffle of the texts is used twice; doc_id comes back from its plain form.
+    rows = keyed(docs).withColumns(_plain_id("doc_id")).select(*_KEYS, "text")
     # A document's beginning and sketch (as bytes) go to the one before it.
     print_bytes = F.unhex(fingerprint(sketch(F.col("text"), shingle, scale)))
-    heads = rows.join(links, same_key(rows, links)).select("before_id", "before_key", F.substring("text", F.lit(1), F.col("wanted")).alias("head"), print_bytes.alias("next_print"))
-    heads = heads.groupBy("before_id", "before_key").agg(F.first("head").alias("head"), F.first("next_print").alias("next_print"))
-    found = rows.join(heads, (rows["text_key"] == heads["before_key"]) & rows["doc_id"].eqNullSafe(heads["before_id"]))
+    heads = rows.join(links.withColumns(_plain_id("doc_id")).drop("doc_id"), _KEYS)
+    heads = heads.select(F.col("before_key").alias("text_key"), *(c.alias(k) for k, c in _plain_id("before_id").items()), F.substring("text", F.lit(1), F.col("wanted")).alias("head"), print_bytes.alias("next_print"))
+    heads = heads.groupBy(*_KEYS).agg(F.first("head").alias("head"), F.first("next_print").alias("next_print"))
+    found = rows.join(heads, _KEYS)
     n = F.length("text")
     start = F.substring("text", F.lit(1), n - F.floor(n / 3).cast("int"))
-    found = found.select("doc_id", "text", n.cast("long").alias("n_chars"), start.alias("start"), F.concat(start, "head").alias("edited"), "next_print")
+    doc_id = F.when(~F.col("no_id"), F.col("plain_id").cast(docs.schema["doc_id"].dataType)).alias("doc_id")
+    found = found.select(doc_id, "text", n.cast("long").alias("n_chars"), start.alias("start"), F.concat(start, "head").alias("edited"), "next_print")
     own = sketches_before_and_after(F.col("text"), F.col("start"), F.col("edited"), shingle, scale)
     found = found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), own.alias("own"), hashes_of(F.lower(F.hex("next_print"))).alias("next"))
     a, b, c = F.col("own")[0], F.col("own")[1], F.col("next")
