@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import random
 import re
+import time
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -16,7 +19,7 @@ from tests.conftest import SF_SMALL
 from tests.llm import plain
 from tests.llm.conftest import ODD
 from tools.check import compare, connect
-from wrenchlight.llm import decontaminate, fertility, html_crf, licenses, line_dedup, mixing, pii, quotations, simhash, substring_dedup
+from wrenchlight.llm import decontaminate, fertility, html_crf, licenses, line_dedup, mixing, page_layouts, pii, quotations, simhash, substring_dedup
 from wrenchlight.llm.common import components, keyed
 
 
@@ -109,6 +112,105 @@ def test_main_text_without_labels(spark):
     assert html_crf.main_texts(pages.filter("false"), docs).count() == 0
 
 
+def extracted(page, weights):
+    found = html_crf.blocks(page)
+    return " ".join(b for (b, _), y in zip(found, html_crf.viterbi([f for _, f in found], weights)) if y)
+
+
+@pytest.fixture(scope="module")
+def page_weights(spark):
+    return html_crf.fit(*(spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("pages", "documents")))
+
+
+STORY = "<p>First part of the story, long enough to look real, with commas.</p><p>Second part of it goes on here.</p>"
+STORY_TEXT = "First part of the story, long enough to look real, with commas. Second part of it goes on here."
+
+
+@pytest.mark.parametrize(
+    ("article", "more"),
+    [
+        ('<div class="post-content widget">%s</div>', ""), ('<article class="post tags">%s</article>', ""), ('<div id="story">%s</div>', ""),
+        ('<article class="social">%s</article>', ""), ("<main><section class='entry note'>%s</section></main>", ""),
+        ('<article>%s<div class="note"><p>A note in the article, which belongs to it.</p></div></article>', " A note in the article, which belongs to it."),
+        ('<article>%s<section class="kommentare"><h2>Kommentare</h2><p>Sehr schöner Text, danke dafür, ich habe viel gelernt.</p></section></article>', ""),
+        ('<div class="entry">%s<div class="newsletter-box"><p>Subscribe to our weekly letter, it is free.</p></div></div>', ""),
+    ],
+)
+def test_names_of_containers_do_not_decide_alone(page_weights, article, more):
+    page = f'<body><nav><a href=/>Home</a><a href=/n>News</a></nav>{article % STORY}<aside class="related"><h3>Related</h3><p>Another story, with commas, that looks real.</p></aside><footer>All rights reserved</footer>'
+    assert extracted(page, page_weights) == STORY_TEXT + more
+
+
+def test_main_text_of_layouts_kept_out_of_training(spark, page_weights):
+    """F1 by characters on made-up layouts drawn anew, from documents of another scale."""
+    right = wrong = missed = 0
+    for n, r in enumerate(spark.read.parquet(f"{SF_SMALL}/documents.parquet").filter("text is not null").limit(200).collect()):
+        inside = [x for x in r.text.split("\n") if x.strip()] or ["x"]
+        found = html_crf.blocks(page_layouts.layout(inside, ["Home", "About", "© site", "We use cookies here, accept them."], random.Random(f"test {n}")))
+        for (b, _), y in zip(found, html_crf.viterbi([f for _, f in found], page_weights)):
+            wanted = b.startswith(page_layouts.MARK)
+            right, wrong, missed = right + len(b) * (wanted and y), wrong + len(b) * (y and not wanted), missed + len(b) * (wanted and not y)
+    assert 2 * right / (2 * right + wrong + missed) > 0.93
+
+
+def test_unclosed_marks_give_no_markup(page_weights):
+    for page, wanted in (
+        ('<article><p><a href="x>link</a> some text here, long enough to be kept.</p></article>', "link some text here, long enough to be kept."),
+        ("<article><p title='it's>Some text here, long enough to be kept.</p></article>", "Some text here, long enough to be kept."),
+        ("<article><p>Some text here, long enough to be kept.</p><a href='", "Some text here, long enough to be kept."),
+        ("<article><p>Some text < 5 here & long, enough to be kept.</p><!-- <p>no", "Some text < 5 here & long, enough to be kept."),
+        ("<article><p>Some text, long enough to be kept.<script>var a='<p>';</script></p><style>p", "Some text, long enough to be kept."),
+    ):
+        assert extracted(page, page_weights) == wanted
+
+
+@pytest.mark.parametrize("part", ["<div>", '<a href="', "<a ", "<p>x", "<b>", "<!-- ", "<script>", "<p title='a\">", "&amp; ", "< ", "<li><ul>", "</p>"])
+def test_long_pages_take_time_in_proportion(page_weights, part):
+    """A megabyte of one thing, then as much of paragraphs in it, takes seconds at most."""
+    start = time.process_time()
+    extracted(part * (1_000_000 // len(part)), page_weights)
+    extracted(part * (250_000 // len(part)) + "<p>x" * 60_000, page_weights)
+    assert time.process_time() - start < 25
+
+
+def test_viterbi_against_all_label_sequences():
+    dice = random.Random(8)
+    for _ in range(60):
+        weights = np.array([dice.gauss(0, 2) for _ in range(html_crf.WIDTH + 4)])
+        features = [[dice.randrange(html_crf.WIDTH) for _ in range(3)] for _ in range(dice.randrange(1, 9))]
+        t = weights[html_crf.WIDTH :].reshape(2, 2)
+
+        def score(labels):
+            return sum(weights[f].sum() for f, y in zip(features, labels) if y) + sum(t[a, b] for a, b in zip(labels, labels[1:]))
+
+        best = max(itertools.product((0, 1), repeat=len(features)), key=score)
+        assert math.isclose(score(html_crf.viterbi(features, weights)), score(best))
+
+
+def test_training_finds_the_gradient_of_all_label_sequences():
+    """After many steps the expected counts under all label sequences equal the seen ones but for the prior's pull."""
+    dice = random.Random(3)
+    pages = [([[0, 1 + dice.randrange(6)] for _ in range(5)], np.array([dice.randrange(2) for _ in range(5)])) for _ in range(12)]
+    weights = html_crf.train(pages, steps=3000, rate=0.01)
+    t, pull = weights[html_crf.WIDTH :].reshape(2, 2), np.zeros(html_crf.WIDTH + 4)
+    for features, seen in pages:
+        sequences = list(itertools.product((0, 1), repeat=5))
+        scores = np.array([sum(weights[f].sum() for f, y in zip(features, s) if y) + sum(t[a, b] for a, b in zip(s, s[1:])) for s in sequences])
+        for s, p in [(seen, -1.0), *zip(sequences, np.exp(scores - np.logaddexp.reduce(scores)))]:
+            for f, y in zip(features, s):
+                np.add.at(pull, f, p * y)
+            for a, b in zip(s, s[1:]):
+                pull[html_crf.WIDTH + 2 * a + b] += p
+    assert np.abs(pull + weights).max() < 0.02
+
+
+def test_main_text_with_clashing_columns(spark):
+    pages = spark.createDataFrame([(1, "http://x/7", PAGE, "a", "b", "c", 1)], "page_id long, url string, html string, text string, document string, weights string, doc long")
+    docs = spark.createDataFrame([(7, "Great & good\nFirst paragraph", "a", "b")], "doc_id long, text string, html string, page_id string")
+    assert html_crf.main_texts(pages, docs).columns == ["page_id", "url", "text", "n_chars", "n_blocks"]
+    assert html_crf.main_texts(pages, docs).count() == 1
+
+
 # 3: decontamination
 
 
