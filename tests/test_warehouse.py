@@ -5,15 +5,17 @@ from __future__ import annotations
 from datetime import datetime, timedelta, timezone
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.frames import as_text, dicts, one
 from tests.test_landing import JOB, land
 from wrenchlight.plans.context import Context
 from wrenchlight.plans.freshness import freshness, load_facts
 from wrenchlight.sources.load import load_all
+from wrenchlight.operators.joins import spread_join
+from wrenchlight.schemas import TABLES, conform
 from wrenchlight.sources.tables import Tables
-from wrenchlight.sources import warehouse as warehouses
-from wrenchlight.sources.warehouse import CommitConflict, Warehouse
+from wrenchlight.sources.warehouse import Warehouse, bucket_of
 from wrenchlight.streaming.feed import start_feed
 
 AT = datetime(2026, 3, 1, 12, tzinfo=timezone.utc)
@@ -50,9 +52,6 @@ def test_load_all(spark, tmp_path):
     assert load_all(spark, landing, root, AT + timedelta(hours=2))
     now = {r["job_id"]: r for r in dicts(Warehouse(spark, root).tables()["jobs"])}
     assert set(now) == {"j1", "j2", "j3"} and now["j2"]["work_status"] == "complete rated"
-    # What was read before the load still shows the state of then.
-    assert as_text(tables["jobs"]) == before
-
     ctx = Context(Warehouse(spark, root).tables(), AT + timedelta(hours=2, minutes=30))
     assert one(freshness(ctx)) == {
         "can_refresh": False,
@@ -63,30 +62,86 @@ def test_load_all(spark, tmp_path):
     assert facts["last_window_start"] == (AT + timedelta(hours=2) - timedelta(days=60)).isoformat()
 
 
-def test_a_load_that_fails_leaves_the_old_tables(spark, tmp_path):
-    landing, root = str(tmp_path / "landing"), str(tmp_path / "warehouse")
-    land(tmp_path / "landing", "jobs", {"jobs": [job(1)]})
-    load_all(spark, landing, root, AT)
-    warehouse = Warehouse(spark, root)
-    before = warehouse.current_paths()
-    changed = warehouse.tables()["jobs"].selectExpr("job_id", "'changed' AS work_status")
-    assert warehouse.stage_upsert("jobs", changed, warehouse.snapshot())
-    assert warehouse.current_paths() == before
-    assert dicts(warehouse.tables()["jobs"])[0]["work_status"] == "complete rated"
-
-
 def test_children_dropped_upstream(spark, tmp_path):
     landing, root = str(tmp_path / "landing"), str(tmp_path / "warehouse")
     land(tmp_path / "landing", "jobs", {"jobs": [job(1)]})
     load_all(spark, landing, root, AT)
     one_left = Warehouse(spark, root)
     crew = one_left.tables()["job_employees"].filter("employee_id = 'e1'")
+    crew = spark.createDataFrame(crew.collect(), crew.schema)
     for replace, left in ((False, 2), (True, 1)):
-        snapshot = one_left.snapshot()
-        one_left.commit({"job_employees": one_left.stage_upsert("job_employees", crew, snapshot, replace)}, snapshot)
+        one_left.upsert("job_employees", crew, replace)
         assert one_left.tables()["job_employees"].count() == left
 
 
+def options(spark, *rows):
+    return spark.createDataFrame(rows, "option_id string, estimate_id string, name string, _arrived string")
+
+
+def test_options_that_are_gone_leave_their_buckets(spark, tmp_path):
+    """Options are in buckets of their own key; those dropped upstream go wherever they are, also the last of a bucket."""
+    warehouse = Warehouse(spark, str(tmp_path), bucket_bytes=200)
+    rows = [(f"o{n}", f"e{n % 4}", "old", "a") for n in range(40)] + [(None, "e0", "nameless", "a"), (None, "e1", "nameless", "a")]
+    warehouse.upsert("estimate_options", options(spark, *rows).repartition(4))
+    assert warehouse.tables()["estimate_options"].count() == 42
+    warehouse.upsert("estimate_options", options(spark, ("o0", "e0", "new", "b")), replace_children=True)
+    left = {(r["option_id"], r["estimate_id"], r["name"]) for r in dicts(warehouse.tables()["estimate_options"])}
+    assert left == {("o0", "e0", "new"), (None, "e1", "nameless")} | {(f"o{n}", f"e{n % 4}", "old") for n in range(40) if n % 4}
+
+
+def test_a_batch_rewrites_only_its_buckets(spark, tmp_path):
+    warehouse = Warehouse(spark, str(tmp_path / "w"), bucket_bytes=250)
+    rows = spark.range(1000).selectExpr("concat('i', id) AS invoice_id", "'open' AS status", "timestamp'2020-01-01' + make_dt_interval(cast((id * 37) % 1000 AS int)) AS invoice_date", "'a' AS _arrived")
+    path = str(tmp_path / "given")
+    rows.write.parquet(path)
+    warehouse.upsert("invoices", spark.read.parquet(path))
+    buckets = warehouse.buckets("invoices")
+    assert buckets >= 16
+
+    def files():
+        found = spark.read.parquet(warehouse.path("invoices")).selectExpr("key_bucket", "_metadata.file_path AS f").distinct().collect()
+        return {(r[0], r[1]) for r in found}
+
+    before = files()
+    for n in range(2):
+        batch = spark.range(5).selectExpr("concat('i', id) AS invoice_id", f"'paid{n}' AS status", f"'b{n}' AS _arrived")
+        assert warehouse.upsert("invoices", batch) == 5
+        rows = {r["invoice_id"]: r["status"] for r in dicts(warehouse.tables()["invoices"])}
+        assert len(rows) == 1000 and rows["i4"] == f"paid{n}" and rows["i5"] == "open"
+    now = files()
+    changed = {b for b, _ in before ^ now}
+    own = {r[0] for r in conform(batch, "invoices").select(bucket_of(TABLES["invoices"], buckets)).distinct().collect()}
+    assert changed == own and len(own) <= 5 and {b for b, _ in now} == {b for b, _ in before}
+    assert warehouse.upsert("invoices", batch.filter("false")) == 0 and files() == now
+    # An older record changes nothing; the number of buckets stays whatever the size of later batches.
+    warehouse.upsert("invoices", spark.read.parquet(path).withColumn("status", F.lit("late")).withColumn("_arrived", F.lit("0")))
+    assert {r["status"] for r in dicts(warehouse.tables()["invoices"])} == {"open", "paid1"} and warehouse.buckets("invoices") == buckets
+
+
+def test_rows_of_a_key_and_of_a_parent_share_a_bucket(spark):
+    rows = spark.range(500).selectExpr("concat('j', id % 50) AS job_id", "concat('a', id) AS appointment_id", "CASE WHEN id % 3 = 0 THEN '' END AS dispatched_employee_id")
+    found = rows.withColumn("b", bucket_of(TABLES["job_appointments"], 16)).groupBy("job_id").agg(F.count_distinct("b").alias("n"))
+    assert {r["n"] for r in found.collect()} == {1}
+    nameless = options(spark, *[(None, f"e{n % 20}", f"n{n}", "a") for n in range(200)])
+    found = nameless.withColumn("b", bucket_of(TABLES["estimate_options"], 16)).groupBy("estimate_id").agg(F.count_distinct("b").alias("n"))
+    assert {r["n"] for r in found.collect()} == {1}
+
+
+def test_frequent_parents_are_noted_with_the_table(spark, tmp_path):
+    warehouse = Warehouse(spark, str(tmp_path / "w"), bucket_bytes=8000)
+    crews = spark.range(6000).selectExpr("CASE WHEN id < 2000 THEN 'hot' ELSE concat('e', id) END AS estimate_id", "concat('p', id) AS employee_id", "'a' AS _arrived")
+    crews.write.parquet(str(tmp_path / "given"))
+    warehouse.upsert("estimate_employees", spark.read.parquet(str(tmp_path / "given")))
+    assert warehouse.buckets("estimate_employees") > 1
+    assert [r["hot_key"] for r in dicts(warehouse.tables().hot_parents("estimate_employees"))] == ["hot"]
+    more = spark.range(3000).selectExpr("'warm' AS estimate_id", "concat('q', id) AS employee_id", "'b' AS _arrived")
+    warehouse.upsert("estimate_employees", more)
+    assert {r["hot_key"] for r in dicts(warehouse.tables().hot_parents("estimate_employees"))} == {"hot", "warm"}
+    assert warehouse.tables().hot_parents("jobs") is None
+    plan = spread_join(warehouse.tables()["estimate_employees"], crews.select("estimate_id").distinct(), "estimate_id", hot=warehouse.tables().hot_parents("estimate_employees"))
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("estimate_employees") <= 1
+
+
 def test_columns_added_later_read_as_null(spark, tmp_path):
     spark.createDataFrame([("i1", 5)], "invoice_id string, amount bigint").write.parquet(str(tmp_path / "invoices"))
     row = one(Tables.in_folder(spark, str(tmp_path))["invoices"])
@@ -119,8 +174,8 @@ def test_stream_equals_batch(spark, tmp_path):
     assert {r["work_status"] for r in dicts(streamed["jobs"])} == {"newest", "complete rated"}
     assert as_text(streamed["job_employees"]) == as_text(loaded["job_employees"])
     # Nothing new: nothing happens.
-    commit = run().snapshot()["number"]
-    assert run().snapshot()["number"] == commit
+    before = as_text(streamed["jobs"])
+    assert as_text(run().tables()["jobs"]) == before
 
 
 def day(landing, name, **pages):
@@ -146,6 +201,7 @@ def test_a_record_sent_again_wins_whatever_the_files_are_called(spark, tmp_path)
     assert {r["name"] for t in ("invoice_items", "estimate_options", "pricebook_materials") for r in dicts(tables[t])} == {"Newer"}
     # An older file that lands late changes nothing.
     before = {t: as_text(tables[t]) for t in ("invoices", "employees", "estimate_options")}
+    tables = None
     day(landing, "2026-01-31", invoices={"invoices": [{"id": "i1", "status": "draft"}]}, employees={"employees": [{"id": "e1", "role": "helper"}]})
     assert load_all(spark, str(landing), root, AT + timedelta(hours=2))
     assert {t: as_text(Warehouse(spark, root).tables()[t]) for t in before} == before
@@ -174,55 +230,6 @@ def test_rows_without_a_key_do_not_grow(spark, tmp_path):
     assert sorted((r["job_id"], str(r["employee_id"]), str(r["first_name"])) for r in rows) == [("j1", "None", "Cy"), ("j1", "e1", "None"), ("j2", "None", "Ann")]
 
 
-def test_two_writers(spark, tmp_path):
-    warehouse = Warehouse(spark, str(tmp_path))
-    other = Warehouse(spark, str(tmp_path))
-
-    def customer(key):
-        return spark.createDataFrame([(key,)], "customer_id string")
-
-    snapshot = warehouse.snapshot()
-    warehouse.commit({"customers": warehouse.stage_upsert("customers", customer("a"), snapshot)}, snapshot)
-    with pytest.raises(CommitConflict):
-        other.commit({"customers": other.stage_upsert("customers", customer("b"), snapshot)}, snapshot)
-    tried = []
-
-    def build(current):
-        if not tried:  # another writer is faster than the first try
-            warehouse.update(lambda now: {"customers": warehouse.stage_upsert("customers", customer("c"), now)})
-        tried.append(current["number"])
-        return {"customers": other.stage_upsert("customers", customer("b"), current)}
-
-    assert other.update(build) == 3 and tried == [1, 2]
-    assert {r["customer_id"] for r in dicts(warehouse.tables()["customers"])} == {"a", "b", "c"}
-
-
-def test_a_batch_is_written_alone_until_the_table_is_compacted(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(warehouses, "COMPACT_BATCHES", 3)
-    warehouse = Warehouse(spark, str(tmp_path))
-    stored = spark.range(1000).selectExpr("concat('i', id) AS invoice_id", "'open' AS status", "timestamp'2020-01-01' + make_dt_interval(cast((id * 37) % 1000 AS int)) AS invoice_date", "'a' AS _arrived")
-    warehouse.update(lambda now: {"invoices": warehouse.stage_upsert("invoices", stored, now)})
-    base = warehouse.snapshot()["tables"]["invoices"]
-    assert base["base_rows"] == 1000 and not base["batches"]
-    for n in range(3):
-        batch = spark.range(5).selectExpr("concat('i', id) AS invoice_id", f"'paid{n}' AS status", f"'b{n}' AS _arrived")
-        warehouse.update(lambda now: {"invoices": warehouse.stage_upsert("invoices", batch, now)})  # noqa: B023
-        now = warehouse.snapshot()["tables"]["invoices"]
-        assert now["base"] == base["base"] and [b["rows"] for b in now["batches"]] == [5] * (n + 1)
-        assert spark.read.parquet(now["batches"][-1]["path"]).count() == 5
-        rows = {r["invoice_id"]: r["status"] for r in dicts(warehouse.tables()["invoices"])}
-        assert len(rows) == 1000 and rows["i4"] == f"paid{n}" and rows["i5"] == "open"
-    warehouse.update(lambda now: {"invoices": warehouse.stage_upsert("invoices", batch, now)})
-    now = warehouse.snapshot()["tables"]["invoices"]
-    assert now["base"] != base["base"] and now["base_rows"] == 1000 and not now["batches"]
-    # Laid out by date: each file holds a stretch of its own.
-    files = spark.read.parquet(now["base"]).where("invoice_date IS NOT NULL").selectExpr("invoice_date", "_metadata.file_name AS f")
-    spans = sorted((r[1], r[2]) for r in files.groupBy("f").agg({"invoice_date": "min"}).join(files.groupBy("f").agg({"invoice_date": "max"}), "f").collect())
-    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
-    gone = warehouse.retire(keep=1)
-    assert base["base"] in gone and warehouse.tables()["invoices"].count() == 1000
-
-
 def test_details_of_the_batch_only(spark, tmp_path):
     landing, root = tmp_path / "landing", str(tmp_path / "warehouse")
     land(landing, "jobs", {"jobs": [job(1), job(2, work_status="scheduled")]})

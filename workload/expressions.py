@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,9 +12,10 @@ from wrenchlight.operators.flatten import jobs_wanting_details
 from wrenchlight.operators.reports import integer_shares, newest_rows
 from wrenchlight.plans.audit import table_counts
 from wrenchlight.plans.context import crew_as_employees
+from wrenchlight.schemas import schema_listing
 from wrenchlight.session import prepare
 from wrenchlight.sources.landing import updated_within
-from wrenchlight.sources.tables import Tables
+from wrenchlight.sources.tables import Tables, read_parquet_if_present
 from workload import oracle
 from workload.bridge import Bridge, context, given, tables
 
@@ -237,13 +240,34 @@ def details_wanted(spark: SparkSession, folder: str) -> DataFrame:
     return jobs_wanting_details(ctx.tables["jobs"], ctx.as_of - F.expr("interval 45 days"))
 
 
+# Given tables and columns that are asked for; ``calls`` does not exist, nor does the last column.
+ASKED = {
+    "orders": ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate"), "lineitem": ("l_orderkey", "l_linenumber", "l_quantity"),
+    "events": ("event_id", "ts", "value", "props"), "documents": ("doc_id", "text", "lang", "author"), "calls": ("call_id",),
+}
+
+
+def table_presence(spark: SparkSession, folder: str) -> DataFrame:
+    """(table_name, present, column_name, type, filled): which tables and columns there are, with their types and how many values they hold."""
+    tables = {name: read_parquet_if_present(prepare(spark), f"{folder}/{name}.parquet") for name in ASKED}
+    listing = schema_listing(spark, {name: frame for name, frame in tables.items() if frame is not None})
+    asked = spark.createDataFrame([(name, name in tables and tables[name] is not None, c) for name, columns in ASKED.items() for c in columns], "table_name string, present boolean, column_name string")
+    counts = [
+        frame.agg(*[F.count(c).alias(c) for c in ASKED[name] if c in frame.columns]).unpivot([], [c for c in ASKED[name] if c in frame.columns], "column", "filled").withColumn("table", F.lit(name))
+        for name, frame in tables.items() if frame is not None
+    ]
+    known = listing.join(reduce(DataFrame.unionByName, counts), ["table", "column"])
+    joined = asked.join(known, (asked["table_name"] == known["table"]) & (asked["column_name"] == known["column"]), "left")
+    return joined.select("table_name", "present", "column_name", "type", "filled")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         tag_normalize, tag_normalize_distinct, category_map, tag_predicates, club_words_in_texts,
         status_levels, currency_display, ratio_display, option_outcomes, best_outcome, time_displays,
         time_parsing, names, share_rounding, table_audit, latest_n, newest_jobs, semi_join_ytd,
-        employee_dim_fallback, appointment_counts, incremental_window, details_wanted,
+        employee_dim_fallback, appointment_counts, incremental_window, details_wanted, table_presence,
     )
 }
 
@@ -348,3 +372,11 @@ SQL = {
              AND updated_at >= TIMESTAMP '2001-08-02 00:00:00' - INTERVAL 45 DAY"""
     ),
 }
+
+_KINDS = {"BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "DOUBLE": "double", "TIMESTAMP": "timestamp_ntz", "TIMESTAMP_NS": "timestamp_ntz"}
+_KIND_SQL = "CASE t " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _KINDS.items()) + " END"
+_PRESENT = {"orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate", "lineitem": "l_orderkey l_linenumber l_quantity", "events": "event_id ts value props", "documents": "doc_id text lang"}
+SQL["table_presence"] = f"SELECT table_name, present, column_name, {_KIND_SQL} AS type, filled FROM (" + " UNION ALL ".join(
+    [f"SELECT '{t}' AS table_name, true AS present, '{c}' AS column_name, typeof(any_value({c})) AS t, count({c}) AS filled FROM {t}" for t, columns in _PRESENT.items() for c in columns.split()]
+    + ["SELECT 'documents', true, 'author', NULL, NULL", "SELECT 'calls', false, 'call_id', NULL, NULL"]
+) + ")"

@@ -9,14 +9,14 @@ from __future__ import annotations
 from datetime import datetime, timedelta
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wrenchlight.operators import flatten
 from wrenchlight.operators.upsert import latest_per_key, upsert
 from wrenchlight.plans.audit import table_counts
 from wrenchlight.session import prepare, shared_folder
-from wrenchlight.sources.landing import page_envelope, page_items, parse_pages
+from wrenchlight.sources.landing import missing_pages, page_envelope, page_items, page_schema, parse_pages
 from wrenchlight.sources.load import load_all
 from wrenchlight.sources.tables import Tables
 from wrenchlight.sources.warehouse import Warehouse
@@ -295,6 +295,48 @@ def pricebook_envelope(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+PAGE_SIZE = 100
+
+
+def numbered_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders in pages of up to 100 jobs, by day of the pull (one of three); a page has its items and counters under either name.
+
+    The page of an order follows from its key, so a page has at most 100 of them. (pull, page_number, page)
+    """
+    key = F.col("o_orderkey")
+    number = (F.floor(key / PAGE_SIZE) + 1).cast("int")
+    item = F.struct(F.concat(F.lit("job_"), key.cast("string")).alias("id"), F.col("o_orderpriority").alias("description"))
+    rows = _orders(spark, folder).select((key % 3).cast("int").alias("pull"), number.alias("number"), item.alias("item"))
+    filled = rows.groupBy("pull", "number").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    last = filled.groupBy("pull").agg(F.max("number").alias("last"))
+    own_key = F.col("number") % 2 == 0
+    page = F.struct(
+        F.when(own_key, F.col("items")).alias("jobs"), F.when(~own_key, F.col("items")).alias("data"), F.col("number").alias("page"),
+        F.when(own_key, F.col("last")).alias("total_pages"), F.when(~own_key, F.col("last")).alias("total_pages_count"),
+    )
+    return filled.join(last, "pull").select("pull", F.col("number").alias("page_number"), F.to_json(page).alias("page"))
+
+
+def _parsed(pages: DataFrame, entity: str, *more: str) -> DataFrame:
+    """Parsed pages beside some columns."""
+    return pages.select(*more, F.from_json("page", page_schema(entity)).alias("parsed")).select(*more, "parsed.*")
+
+
+def paged_items(spark: SparkSession, folder: str) -> DataFrame:
+    """The items of all pages of several items, with the counters of their pages."""
+    pages = parse_pages(numbered_pages(spark, folder), "page", "jobs")
+    counted = page_envelope(pages, "jobs").select("page", "total_pages", F.explode("items").alias("item"))
+    return counted.select("page", "total_pages", F.col("item.id").alias("job_id"), F.col("item.description").alias("description"))
+
+
+def pages_missing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every seventh page never landed; the last page of a pull always did."""
+    pages = numbered_pages(spark, folder)
+    last = F.max("page_number").over(Window.partitionBy("pull"))
+    landed = pages.withColumn("last", last).filter((F.col("page_number") % 7 != 3) | (F.col("page_number") == F.col("last")))
+    return missing_pages(_parsed(landed, "jobs", "pull"), ["pull"])
+
+
 # ---- upserts ---------------------------------------------------------------
 
 EARLY, LATE = "2024-01-20", "2024-01-10"
@@ -398,6 +440,15 @@ def upsert_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 def load_twice(spark: SparkSession, folder: str) -> DataFrame:
     """A full load, then an incremental one of the same files: (table, rows) afterwards."""
+    return table_counts(_loaded_twice(spark, folder), LOADED)
+
+
+def load_twice_values(spark: SparkSession, folder: str) -> DataFrame:
+    """The same loads: values afterwards."""
+    return _shown_values(_loaded_twice(spark, folder))
+
+
+def _loaded_twice(spark: SparkSession, folder: str) -> Tables:
     base = shared_folder(spark, "load")
     landing, warehouse = f"{base}/landing", f"{base}/warehouse"
     _land(job_pages(spark, folder), landing, "jobs")
@@ -407,11 +458,11 @@ def load_twice(spark: SparkSession, folder: str) -> DataFrame:
     _land(people_pages(spark, folder, "customers"), landing, "customers")
     _land(people_pages(spark, folder, "employees"), landing, "employees")
     _land(pricebook_pages(spark, folder), landing, "pricebook_services")
+    _land(material_pages(spark, folder), landing, "pricebook_materials")
     at = datetime.fromisoformat(AS_OF)
     load_all(spark, landing, warehouse, at, backfill=True, one_per_line=True)
     load_all(spark, landing, warehouse, at + timedelta(hours=2), one_per_line=True)
-    tables = Warehouse(spark, warehouse).tables()
-    return table_counts(tables, LOADED)
+    return Warehouse(spark, warehouse).tables()
 
 
 def material_pages(spark: SparkSession, folder: str) -> DataFrame:
@@ -449,7 +500,11 @@ def load_resent(spark: SparkSession, folder: str) -> DataFrame:
                 text = F.replace(text, F.lit(old), F.lit(new))
             _land(texts.select(text.alias("page")), f"{base}/landing", f"{entity}/load_date={day}")
     load_all(spark, f"{base}/landing", f"{base}/warehouse", datetime.fromisoformat(AS_OF), backfill=True, one_per_line=True)
-    tables = Warehouse(spark, f"{base}/warehouse").tables()
+    return _shown_values(Warehouse(spark, f"{base}/warehouse").tables())
+
+
+def _shown_values(tables: Tables) -> DataFrame:
+    """(table_name, key, value) of one telling column of each table."""
     shown = {
         "jobs": ("job_id", "work_status"), "job_employees": ("concat_ws(' ', job_id, employee_id)", "first_name"),
         "job_appointments": ("concat_ws(' ', appointment_id, dispatched_employee_id)", "cast(arrival_window_minutes AS string)"),
@@ -473,7 +528,7 @@ QUERIES = {
         flatten_estimates, flatten_estimate_options, flatten_estimate_employees, flatten_customers,
         flatten_employees, pricebook_services, pricebook_envelope, dedupe_latest, upsert_plain_key,
         upsert_null_safe_key, upsert_null_key_kept, upsert_keep_newest, upsert_replace_children,
-        upsert_stream, load_twice, load_resent, details_missing, column_added_later,
+        upsert_stream, load_twice, load_twice_values, load_resent, details_missing, column_added_later, paged_items, pages_missing,
     )
 }
 
@@ -597,3 +652,21 @@ SQL = {
         UNION ALL SELECT 'pricebook_services', count(*) FROM part WHERE p_partkey % 10 <> 0
         UNION ALL SELECT 'load_log', 6""",
 }
+
+# The values of the second load are those of the pages, before any word is replaced.
+SQL["load_twice_values"] = reduce(
+    lambda text, pair: text.replace(*pair),
+    [
+        ("ELSE 'scheduled' END", "ELSE 'in progress' END"), ("'Lead '", "'Tech '"), ("'paid'", "'open'"), ("'Piece '", "'Part '"), ("'Choice '", "'Option '"),
+        ("replace(split_part(c_name, '#', 1), 'Customer', 'Client')", "split_part(c_name, '#', 1)"), ("replace(split_part(s_name, '#', 1), 'Supplier', 'Vendor')", "split_part(s_name, '#', 1)"),
+        ("'Item '", "'Stock '"), ("THEN '45'", "THEN '30'"),
+    ],
+    SQL["load_resent"],
+)
+_PAGES = """WITH pages AS (SELECT o_orderkey % 3 AS pull, o_orderkey // 100 + 1 AS page, o_orderkey, o_orderpriority FROM orders),
+    lasts AS (SELECT pull, max(page) AS total_pages FROM pages GROUP BY pull)"""
+SQL["paged_items"] = f"""{_PAGES} SELECT page::INTEGER AS page, total_pages::INTEGER AS total_pages, 'job_' || o_orderkey AS job_id,
+    o_orderpriority AS description FROM pages JOIN lasts USING (pull)"""
+SQL["pages_missing"] = f"""{_PAGES}, every AS (SELECT pull, total_pages, unnest(generate_series(1, total_pages)) AS page FROM lasts)
+    SELECT e.pull::INTEGER AS pull, e.page::INTEGER AS page, e.total_pages::INTEGER AS total_pages FROM every e
+    WHERE NOT EXISTS (SELECT 1 FROM pages p WHERE p.pull = e.pull AND p.page = e.page AND (p.page % 7 <> 3 OR p.page = e.total_pages))"""

@@ -512,3 +512,8 @@ KPIS["dashboard_values"] = sql(
 # The same KPIs from bucketed copies of the tables.
 KPIS["revenue_breakdown_bucketed"] = KPIS["revenue_breakdown"]
 KPIS["employee_cards_bucketed"] = KPIS["employee_cards"]
+
+KPIS["employee_hours_given"] = """SELECT l_suppkey::VARCHAR AS employee_id,
+      sum(CASE WHEN l_orderkey % 3 = 0 AND l_partkey % 100 > 10 THEN l_partkey % 100 - 10
+               WHEN l_orderkey % 9 <> 0 THEN floor(l_quantity * 6) ELSE 0 END)::BIGINT / 60.0 AS appt_hours_ytd
+    FROM lineitem WHERE l_suppkey IS NOT NULL GROUP BY 1"""

@@ -10,6 +10,7 @@ from wrenchlight.plans import audit, club, dashboard, employees, estimates, fres
 from wrenchlight.plans.context import Context
 from wrenchlight.session import shared_folder
 from wrenchlight.sources import bucketed
+from wrenchlight.sources.tables import Tables
 from workload import bridge, expressions, ingestion
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +32,21 @@ def _kpi_by_job(plan: Callable[[Context], DataFrame]) -> Query:
     return run
 
 
+def employee_hours_given(spark: SparkSession, folder: str) -> DataFrame:
+    """Hours where every third visit comes with its minutes, every ninth with none of its times, and some minutes are 0 or less."""
+    tables = bridge.tables(spark, folder)
+    visits = bridge.given(spark, folder, "lineitem").selectExpr(
+        "concat('job_', l_orderkey) AS job_id",
+        "cast(l_linenumber AS string) AS appointment_id",
+        "cast(l_suppkey AS string) AS dispatched_employee_id",
+        "cast(l_shipdate AS timestamp) AS start_time",
+        "CASE WHEN l_orderkey % 9 <> 0 THEN cast(l_shipdate AS timestamp) + make_dt_interval(0, 0, cast(l_quantity * 6 AS int)) END AS end_time",
+        "CASE WHEN l_orderkey % 3 = 0 THEN cast(l_partkey % 100 - 10 AS double) END AS duration_minutes",
+    )
+    frames = Tables(spark, lambda name: visits if name == "job_appointments" else tables[name])
+    return employees.employee_hours(Context(frames, bridge.AS_OF))
+
+
 KPIS: dict[str, Query] = {
     "quality_summary": _kpi(quality.quality_summary),
     "repeat_jobs_top25": _kpi(quality.repeat_jobs),
@@ -44,6 +60,7 @@ KPIS: dict[str, Query] = {
     "employee_daily_revenue": _kpi(employees.employee_daily_revenue),
     "employee_hours": _kpi(employees.employee_hours),
     "employee_cards": _kpi(employees.employee_cards),
+    "employee_hours_given": employee_hours_given,
     "estimates_ytd": _kpi(estimates.estimates_count),
     "option_status_breakdown": _kpi(estimates.option_status_breakdown),
     "lead_summary": _kpi(leads.lead_summary),

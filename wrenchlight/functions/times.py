@@ -80,6 +80,10 @@ def display_with_zone(ts: Column | str, zone: str = BUSINESS_ZONE) -> Column:
     return F.when(col(ts).isNull(), "").otherwise(shown)
 
 
-def worked_micros(start: Column | str, end: Column | str) -> Column:
-    """Length of a visit in microseconds: end - start, 0 where one of them is NULL."""
-    return F.coalesce(F.unix_micros(col(end)) - F.unix_micros(col(start)), F.lit(0))
+def worked_micros(start: Column | str, end: Column | str, minutes: Column | str | None = None) -> Column:
+    """Length of a visit in microseconds: the given minutes where they are above 0, else end - start, 0 where one of them is NULL."""
+    span = F.coalesce(F.unix_micros(col(end)) - F.unix_micros(col(start)), F.lit(0))
+    if minutes is None:
+        return span
+    given = F.coalesce(col(minutes), F.lit(0.0))
+    return F.when(given > 0, F.round(given * 60_000_000).cast("bigint")).otherwise(span)

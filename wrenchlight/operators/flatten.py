@@ -69,6 +69,7 @@ def job_appointments(details: DataFrame) -> DataFrame:
         "visit.end_time",
         "visit.anytime",
         "visit.arrival_window_minutes",
+        "visit.duration_minutes",
         F.col("visit.id").alias("appointment_id"),
         F.explode_outer(F.when(F.size(sent) > 0, sent)).alias("dispatched_employee_id"),
         *_arrival(details),

@@ -12,16 +12,15 @@ MAX_HOT_KEYS = 1000
 SKETCH_ITEMS = 10_000
 
 
-def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:
-    """(hot_key): the keys that hold more than ``share`` of the rows, at most 1000.
-
-    Frequency sketches are merged per group of partitions first, so that the last
-    step gets a few hundred sketches, however many tasks the scan has.
-    """
+def key_sketches(df: DataFrame, key: str, by: str) -> DataFrame:
+    """(by, sketch, n): a mergeable frequency sketch of the keys for each value of ``by``, to be stored."""
     sketch = F.expr(f"approx_top_k_accumulate({key}, {SKETCH_ITEMS})")
+    return df.filter(F.col(key).isNotNull()).groupBy(by).agg(sketch.alias("sketch"), F.count(F.lit(1)).alias("n"))
+
+
+def merged_hot_keys(sketches: DataFrame, share: float = HOT_SHARE) -> DataFrame:
+    """(hot_key): the keys that hold more than ``share`` of the rows behind all sketches, at most 1000."""
     top = F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch, {SKETCH_ITEMS}), {MAX_HOT_KEYS})")
-    grouped = df.filter(F.col(key).isNotNull()).select(key, (F.spark_partition_id() % 256).alias("part"))
-    sketches = grouped.groupBy("part").agg(sketch.alias("sketch"), F.count(F.lit(1)).alias("n"))
     # Grouped by a constant, as combining no sketches at all is an error.
     merged = sketches.groupBy(F.lit("all")).agg(top.alias("top"), F.sum("n").alias("n"))
     listed = merged.select("n", F.explode("top").alias("entry"))
@@ -30,8 +29,18 @@ def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:
     )
 
 
+def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:
+    """(hot_key): the keys that hold more than ``share`` of the rows, at most 1000.
+
+    Frequency sketches are merged per group of partitions first, so that the last
+    step gets a few hundred sketches, however many tasks the scan has.
+    """
+    grouped = df.select(key, (F.spark_partition_id() % 256).alias("part"))
+    return merged_hot_keys(key_sketches(grouped, key, "part"), share)
+
+
 def spread_join(
-    many: DataFrame, one: DataFrame, key: str, how: str = "inner", source: DataFrame | None = None
+    many: DataFrame, one: DataFrame, key: str, how: str = "inner", hot: DataFrame | None = None
 ) -> DataFrame:
     """``many.join(one, key, how)`` for inner and left joins, whatever the frequency of keys in ``many``.
 
@@ -40,12 +49,11 @@ def spread_join(
     result does not depend on which keys are found hot. NULL keys match nothing
     and are spread as well.
 
-    source: where to look for hot keys, if a stored table that ``many`` comes from
-        is cheaper to read than ``many`` itself.
+    hot: the frequent keys as (hot_key), at most 1000, where they are known; else ``many`` is computed a second time to find them.
     """
     # More salts than partitions, so that they even out over the partitions they hash to.
     salts = 4 * int(many.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hot = F.broadcast(hot_keys(many if source is None else source, key))
+    hot = F.broadcast(hot_keys(many, key) if hot is None else hot)
     is_hot = F.col("hot_key").isNotNull()
     salt = F.pmod(F.xxhash64(*[F.col(c) for c in many.columns]), F.lit(salts)).cast("int")
     salted = (

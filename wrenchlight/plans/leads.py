@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wrenchlight.functions.numbers import percent, ratio
 from wrenchlight.functions.text import blank_to_null, full_name, looks_like_raw_id, or_default
 from wrenchlight.functions.times import month_of
+from wrenchlight.operators.filters import near
 from wrenchlight.operators.joins import spread_join
 from wrenchlight.plans.context import Context
 
@@ -68,9 +69,10 @@ def lead_by_employee(ctx: Context, distinct: bool = False) -> DataFrame:
     stored = ctx.tables["estimate_employees"].filter(F.col("estimate_id").isNotNull())
     given_name = full_name("first_name", "last_name").alias("given_name")
     outcomes = ctx.outcomes.select("estimate_id", "outcome")
-    recent = stored.join(ctx.estimates_this_year.select("estimate_id"), "estimate_id", "left_semi")
+    keys = ctx.estimates_this_year.select("estimate_id")
+    recent = near(stored, keys, "estimate_id", ctx.filter_from).join(keys, "estimate_id", "left_semi")
     assigned = recent.select("estimate_id", "employee_id", given_name).distinct()
-    rated = spread_join(assigned, outcomes, "estimate_id", source=stored)
+    rated = spread_join(assigned, outcomes, "estimate_id", hot=ctx.tables.hot_parents("estimate_employees"))
     names = ctx.employees.select("employee_id", "employee_name")
     named = rated.join(names, "employee_id", "left").withColumn(
         "employee_name",

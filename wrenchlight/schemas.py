@@ -97,7 +97,8 @@ _SPECS = (
     TableSpec(
         "job_appointments",
         """job_id string, appointment_id string, start_time timestamp, end_time timestamp,
-        anytime boolean, arrival_window_minutes int, dispatched_employee_id string""",
+        anytime boolean, arrival_window_minutes int, dispatched_employee_id string,
+        duration_minutes double""",
         keys=("job_id", "appointment_id"),
         nullable_keys=("dispatched_employee_id",),
         parent=("job_id",),

@@ -7,6 +7,7 @@ one of two names.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import timedelta
 
 from pyspark.errors import AnalysisException
@@ -32,7 +33,7 @@ _LINE = (
 )
 _VISIT = (
     "array<struct<id:string,start_time:string,end_time:string,anytime:boolean,"
-    "arrival_window_minutes:int,dispatched_employees_ids:array<string>>>"
+    "arrival_window_minutes:int,duration_minutes:double,dispatched_employees_ids:array<string>>>"
 )
 _PERIOD = "struct<scheduled_start:string,scheduled_end:string>"
 
@@ -184,6 +185,43 @@ def page_items(pages: DataFrame, entity: str) -> DataFrame:
     return exploded.filter(F.col("item").isNotNull()).select("item.*", F.concat_ws("|", ARRIVED, place).alias(ARRIVED))
 
 
+def missing_pages(pages: DataFrame, pull: Sequence[str] = ()) -> DataFrame:
+    """(pull columns, page, total_pages) of the pages that were announced and have not landed.
+
+    A pull announces as many pages as its largest page count says, one if no page says anything. ``pull`` names the columns that tell pulls
+    apart, such as the day of arrival. A pull of which no page at all has landed cannot be known.
+    """
+    seen = _page_counters(pages, pull).select(*pull, F.coalesce("page", F.lit(1)).alias("page"), F.coalesce("total_pages", F.lit(1)).alias("total_pages"))
+    announced = seen.groupBy(*pull).agg(F.max("total_pages").alias("total_pages")).filter("total_pages > 0")
+    every = announced.withColumn("page", F.explode(F.sequence(F.lit(1), "total_pages")))
+    landed = seen.select(*[F.col(c).alias(f"_of_{c}") for c in pull], F.col("page").alias("_page")).distinct()
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in pull]
+    return every.join(landed, [F.col("page") == F.col("_page"), *same], "left_anti").select(*pull, "page", "total_pages")
+
+
+def _page_counters(pages: DataFrame, pull: Sequence[str]) -> DataFrame:
+    """The counters of each page beside the columns that name its pull."""
+    first = F.get("checklists", F.lit(0))
+    inside = F.coalesce(F.size("checklists") > 0, F.lit(False))
+    page = F.when(inside, first["page"]).otherwise(F.col("page"))
+    total = F.when(inside, first["total_pages"]).otherwise(F.coalesce("total_pages", "total_pages_count"))
+    return pages.select(*pull, page.alias("page"), total.alias("total_pages"))
+
+
+class PagesMissing(RuntimeError):
+    """A pull announced pages that have not landed."""
+
+
+def require_all_pages(spark: SparkSession, landing: str, entity: str, one_per_line: bool = False, since: Column | None = None) -> None:
+    """Raise ``PagesMissing`` if a day's pull of the entity is incomplete. Details of jobs come without counters and pass."""
+    pages = read_pages(spark, f"{landing}/{entity}", entity, one_per_line)
+    pages = pages if since is None else arrived_since(pages, since)
+    pull = [ARRIVAL] if ARRIVAL in pages.columns else []
+    gone = [r.asDict() for r in missing_pages(pages, pull).orderBy(*pull, "page").limit(5).collect()]
+    if gone:
+        raise PagesMissing(f"{entity}: pages have not landed, the first are {gone}")
+
+
 def updated_since(items: DataFrame, since: Column, column: str = "updated_at") -> DataFrame:
     """Only items changed at ``since`` or later; entities without that column are returned whole.
 

@@ -1,18 +1,18 @@
-"""One load: read what has landed, flatten, upsert, commit, note the window."""
+"""One load: read what has landed, flatten, upsert, note the window."""
 
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from wrenchlight.functions.times import instant
 from wrenchlight.operators.flatten import FLATTENERS, jobs_wanting_details
 from wrenchlight.plans.freshness import latest_facts, refresh_due
 from wrenchlight.session import folder_bytes, prepare
-from wrenchlight.sources.landing import INCREMENTAL, LOOK_BACK, read_items
-from wrenchlight.sources.warehouse import Staged, Warehouse
+from wrenchlight.sources.landing import INCREMENTAL, LOOK_BACK, read_items, require_all_pages
+from wrenchlight.sources.warehouse import Warehouse
 
 
 # Tables of one load that are written at the same time.
@@ -41,6 +41,7 @@ def load_all(
     one_per_line: bool = False,
     replace_children: bool = False,
     wanted_details_only: bool = False,
+    all_pages: bool = False,
 ) -> bool:
     """Bring the warehouse up to date with the landing folder. False if it is too early.
 
@@ -48,9 +49,10 @@ def load_all(
     unless ``backfill``; the rest is read whole. Landing folders by day of arrival
     let the scan skip the files of earlier days. The newer record of a key wins: by its time of
     change where it has one, then by arrival, whatever the order of files. Loading the same files again changes nothing.
-    All tables switch together; if another load has committed meanwhile, this one starts again from its tables.
+    The window is noted last, so a load that died is repeated.
 
     wanted_details_only: of the landed details take only those of completed jobs of this batch.
+    all_pages: raise ``PagesMissing``, and load nothing, if a pull announced pages that have not landed.
     """
     prepare(spark, folder_bytes(spark, landing))
     as_of = as_of or datetime.now(timezone.utc)
@@ -59,11 +61,18 @@ def load_all(
     if min_interval and not refresh_due(facts, instant(as_of), min_interval).first().due:
         return False
 
+    def since_of(entity: str) -> Column | None:
+        return None if backfill or entity not in INCREMENTAL else instant(as_of - window)
+
+    if all_pages:
+        for entity in FLATTENERS:
+            require_all_pages(spark, landing, entity, one_per_line, since_of(entity))
+
     def landed(entity: str) -> DataFrame:
-        since = None if backfill or entity not in INCREMENTAL else instant(as_of - window)
+        since = since_of(entity)
         items = read_items(spark, landing, entity, one_per_line, since)
         several = len(FLATTENERS[entity]) > 1 or entity == "job_details"
-        return warehouse.stage_items(entity, items) if several else items
+        return warehouse.staged_items(entity, items) if several else items
 
     # Entities do not depend on each other; side by side, small tables fill the gaps of large ones.
     with ThreadPoolExecutor(PARALLEL_TABLES) as pool:
@@ -73,13 +82,6 @@ def load_all(
             wanted = jobs_wanting_details(batches["jobs"]).distinct()
             batches["job_appointments"] = batches["job_appointments"].join(wanted, "job_id", "left_semi")
         log = load_log_rows(spark, as_of, window, as_of)
-
-        def build(snapshot: dict) -> dict[str, Staged]:
-            def stage(name: str) -> Staged | None:
-                return warehouse.stage_upsert(name, batches[name], snapshot, replace_children=replace_children)
-
-            staged = {name: made for name, made in zip(batches, pool.map(stage, batches)) if made}
-            return {**staged, "load_log": warehouse.stage_append("load_log", log, snapshot)}
-
-        warehouse.update(build, as_of)
+        list(pool.map(lambda name: warehouse.upsert(name, batches[name], replace_children), batches))
+    warehouse.append("load_log", log)
     return True

@@ -8,6 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from wrenchlight.operators.joins import merged_hot_keys
 from wrenchlight.schemas import ARRIVED, TABLES, conform, empty, with_arrival
 
 
@@ -17,9 +18,10 @@ class Tables:
     The loader returns None for a table that does not exist, which then reads as empty.
     """
 
-    def __init__(self, spark: SparkSession, load: Callable[[str], DataFrame | None]):
+    def __init__(self, spark: SparkSession, load: Callable[[str], DataFrame | None], sketches: Callable[[str], DataFrame | None] | None = None):
         self.spark = spark
         self._load = load
+        self._sketches = sketches
         self._frames: dict[str, DataFrame] = {}
 
     @classmethod
@@ -44,6 +46,11 @@ class Tables:
         frame = self._load(name)
         return with_arrival(empty(self.spark, name) if frame is None else conform(frame, name))
 
+    def hot_parents(self, name: str) -> DataFrame | None:
+        """(hot_key): the frequent parents of a child table, from the sketches kept with it; None if there are none."""
+        found = self._sketches(name) if self._sketches else None
+        return None if found is None else merged_hot_keys(found)
+
     def exists(self, name: str) -> bool:
         return self._load(name) is not None
 

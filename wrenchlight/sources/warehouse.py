@@ -1,217 +1,152 @@
-"""Versioned Parquet tables: a base and, until it is compacted, the batches that came later.
+"""Tables as plain Parquet, partitioned by a hash bucket of the key.
 
-A load writes each batch to a new folder, reduced to one row per key, and then makes all of them current with one small
-commit file. Readers take the list of folders from the newest commit, so they see a load whole or not at
-all, and a load that died leaves nothing behind but unused folders. They merge base and batches, the newer row of each key stays.
+A load reads and rewrites just the buckets that its batch touches: the batch is reduced to one row per key, the stored rows of its buckets are
+merged with it, the newer row of each key stays, and Spark's dynamic partition overwrite puts the merged buckets in place of the old ones. Rows that decide about one another are
+in one bucket: those of a key, and of child tables those of a parent.
 
-Two writers cannot lose each other's rows: a commit names the one it is based on, and its file is created only if no other
-writer has created it. The loser gets ``CommitConflict`` and starts again from the new tables, see ``update``.
-This needs a file system whose rename fails if the target exists, as HDFS's does.
+The number of buckets of a table is fixed by its first load, from its size, and is written beside the tables. Within a bucket rows are sorted by the date the KPIs filter on, so that
+row groups are skipped. With each bucket goes a sketch of the frequent parents in it; sketches of all buckets merge, so that no scan is needed to find them.
 
-When the batches of a table come to a share of its base, the next load writes the table anew, sorted by its date: a batch of k
-rows costs O(k) but for that, which costs a fixed multiple of all that is ever loaded.
+One load at a time, and readers open the tables anew after it: files of rewritten buckets are gone. A load that dies leaves each table's old or new buckets; as loading a
+record again changes nothing, it is just run again. Where tables have to switch together, the folder belongs under a table format.
 """
 
 from __future__ import annotations
 
-import json
-import uuid
-from collections.abc import Callable
-from dataclasses import dataclass
-from datetime import datetime, timezone
+from functools import reduce
 
-from py4j.protocol import Py4JJavaError
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
+from wrenchlight.operators.joins import key_sketches
 from wrenchlight.operators.upsert import BROADCAST_KEY_ROWS, reduce_batch, upsert_table
-from wrenchlight.schemas import TABLES, conform, with_arrival
-from wrenchlight.sources.tables import Tables
+from wrenchlight.schemas import TABLES, TableSpec, conform, with_arrival
+from wrenchlight.session import folder_bytes, shared_folder
+from wrenchlight.sources.tables import Tables, read_parquet_if_present
 
-# A table is written anew when its batches have this share of its base's rows, or are so many.
-COMPACT_SHARE = 0.25
-COMPACT_BATCHES = 12
-# Commit files that are kept; a reader needs the last one.
-KEEP_COMMITS = 50
-ATTEMPTS = 4
+BUCKET = "key_bucket"
+BUCKET_BYTES = 256 << 20
+MOST_BUCKETS = 1 << 14
 
 
-class CommitConflict(RuntimeError):
-    """Another writer has committed since the tables were read."""
+def _whole_parent(spec: TableSpec) -> bool:
+    """Whether rows of one key always have one parent, so that a parent's rows can share a bucket."""
+    return bool(spec.parent) and set(spec.parent) <= set(spec.full_key)
 
 
-@dataclass(frozen=True)
-class Staged:
-    """A folder that was written for a table: its next batch, or the whole table."""
+def _hashed(columns: tuple[str, ...], buckets: int) -> Column:
+    plain = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
+    return F.pmod(F.xxhash64(*plain), F.lit(buckets)).cast("int")
 
-    path: str
-    rows: int
-    whole: bool = False
+
+def bucket_of(spec: TableSpec, buckets: int) -> Column:
+    """The bucket of a row: by parent or key; of a row without a key by its parent, or else by all it says."""
+    keyless = reduce(Column.__or__, [F.col(k).isNull() for k in spec.keys])
+    keyed = _hashed(spec.parent if _whole_parent(spec) else spec.full_key, buckets)
+    return F.when(keyless, _hashed(spec.parent or tuple(spec.schema.fieldNames()), buckets)).otherwise(keyed)
 
 
 class Warehouse:
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, bucket_bytes: int = BUCKET_BYTES):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.bucket_bytes = bucket_bytes
 
     # ---- reading -----------------------------------------------------------
 
-    def snapshot(self) -> dict:
-        """The newest commit: number, and of each table base, base_rows and batches (path and rows). A few KB."""
-        try:
-            files = self.spark.read.text(f"{self.root}/_commits", wholetext=True)
-            number = F.get_json_object("value", "$.number").cast("bigint")
-            newest = files.agg(F.max_by("value", number).alias("value")).first()
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-            newest = None
-        return json.loads(newest.value) if newest and newest.value else {"number": 0, "tables": {}}
-
-    def current_paths(self) -> dict[str, list[str]]:
-        """Folders of each table, the base first."""
-        found = self.snapshot()["tables"]
-        return {name: [p for p in (t["base"], *(b["path"] for b in t["batches"])) if p] for name, t in found.items()}
-
-    def _read(self, name: str, *paths: str) -> DataFrame:
-        return self.spark.read.schema(TABLES[name].stored_schema).parquet(*paths)
-
-    def _merged(self, name: str, table: dict) -> DataFrame:
-        spec, batches = TABLES[name], table["batches"]
-        if not batches:
-            return self._read(name, table["base"])
-        later = self._read(name, *[b["path"] for b in batches])
-        if not table["base"]:
-            return reduce_batch(spec, later)
-        rows = sum(b["rows"] for b in batches)
-        return upsert_table(spec, self._read(name, table["base"]), later, small_batch=rows <= BROADCAST_KEY_ROWS)
-
-    def tables(self, snapshot: dict | None = None) -> Tables:
-        """The tables as of now; later loads do not show in the returned object."""
-        found = (snapshot or self.snapshot())["tables"]
-        return Tables(self.spark, lambda name: self._merged(name, found[name]) if name in found else None)
+    def path(self, name: str) -> str:
+        return f"{self.root}/{name}"
 
-    # ---- writing -----------------------------------------------------------
+    def buckets(self, name: str) -> int | None:
+        """The number of buckets of a table, None before its first load."""
+        noted = read_parquet_if_present(self.spark, f"{self.root}/_buckets/{name}", "buckets int")
+        row = noted.first() if noted is not None else None
+        return row.buckets if row else None
+
+    def _read(self, name: str) -> DataFrame | None:
+        schema = TABLES[name].stored_schema.add(BUCKET, IntegerType())
+        return read_parquet_if_present(self.spark, self.path(name), schema)
 
-    def _write(self, df: DataFrame, folder: str, name: str) -> str:
-        path = f"{self.root}/{folder}/{name}/{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return path
+    def tables(self) -> Tables:
+        """The tables as of now, with the frequent parents that were noted when they were loaded."""
 
-    def _laid_out(self, rows: DataFrame, name: str) -> DataFrame:
-        by = TABLES[name].laid_out_by
-        return rows.repartitionByRange(F.col(by)).sortWithinPartitions(by) if by else rows
+        def load(name: str) -> DataFrame | None:
+            found = self._read(name)
+            return None if found is None else found.drop(BUCKET)
+
+        return Tables(self.spark, load, lambda name: read_parquet_if_present(self.spark, f"{self.root}/_sketches/{name}"))
+
+    # ---- writing -----------------------------------------------------------
 
-    def stage_items(self, entity: str, items: DataFrame) -> DataFrame:
+    def staged_items(self, entity: str, items: DataFrame) -> DataFrame:
         """The items read back from Parquet, so that JSON is parsed once for all tables of the entity."""
-        path = self._write(items, "_batches", entity)
+        path = shared_folder(self.spark, f"items-{entity}")
+        items.write.parquet(path)
         return self.spark.read.schema(items.schema).parquet(path)
 
-    def stage_upsert(self, name: str, incoming: DataFrame, snapshot: dict, replace_children: bool = False) -> Staged | None:
-        """Write a batch for the table; None if it is empty.
-
-        The table itself is neither read nor written, unless it is due to be compacted or
-        ``replace_children`` asks to drop stored rows, which is done by writing it anew.
-        """
+    def _buckets_of(self, name: str, first_batch: str) -> int:
+        """The table's number of buckets; of a new one by the size of its first batch, a power of two."""
+        known = self.buckets(name)
+        if known:
+            return known
+        wanted = max(1, -(-folder_bytes(self.spark, first_batch) // self.bucket_bytes))
+        buckets = min(MOST_BUCKETS, 1 << (wanted - 1).bit_length())
+        self.spark.range(1).select(F.lit(buckets).alias("buckets")).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/_buckets/{name}")
+        return buckets
+
+    def _put(self, rows: DataFrame, path: str, order: list[str]) -> None:
+        """Write the buckets that occur in ``rows`` in place of the stored ones; AQE splits a large bucket over tasks."""
+        dealt = rows.hint("rebalance", F.col(BUCKET)).sortWithinPartitions(BUCKET, *order)
+        dealt.write.partitionBy(BUCKET).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+
+    def upsert(self, name: str, incoming: DataFrame, replace_children: bool = False) -> int:
+        """Put a batch into the table, the newer row of each key stays; the number of different rows of the batch."""
         spec = TABLES[name]
-        table = snapshot["tables"].get(name, {"base": None, "base_rows": 0, "batches": []})
-        first = not table["base"] and not table["batches"]
-        reduced = reduce_batch(spec, incoming)
-        path = self._write(self._laid_out(reduced, name) if first else reduced, "tables", name)
-        batch = self._read(name, path)
+        path = shared_folder(self.spark, f"batch-{name}")
+        reduce_batch(spec, incoming).write.parquet(path)
+        batch = self.spark.read.schema(spec.stored_schema).parquet(path)
         rows = batch.count()
-        if rows == 0:
-            return None
-        if first:
-            return Staged(path, rows, whole=True)
-        waiting = rows + sum(b["rows"] for b in table["batches"])
-        due = waiting > COMPACT_SHARE * table["base_rows"] or len(table["batches"]) >= COMPACT_BATCHES
-        if not due and not replace_children:
-            return Staged(path, rows)
-        stored = self.tables(snapshot).stored(name)
-        merged = upsert_table(spec, stored, batch, small_batch=rows <= BROADCAST_KEY_ROWS, replace_children=replace_children)
-        whole = self._write(self._laid_out(merged, name), "tables", name)
-        return Staged(whole, self._read(name, whole).count(), whole=True)
-
-    def stage_append(self, name: str, rows: DataFrame, snapshot: dict) -> Staged | None:
-        return self.stage_upsert(name, with_arrival(conform(rows, name)), snapshot)
-
-    def commit(self, staged: dict[str, Staged], snapshot: dict, at: datetime | None = None) -> int:
-        """Make the staged folders current, all at once, on top of ``snapshot``; the number of the commit."""
-        if not staged:
-            return snapshot["number"]
-        tables = {name: dict(table) for name, table in snapshot["tables"].items()}
-        for name, made in staged.items():
-            old = tables.get(name, {"base": None, "base_rows": 0, "batches": []})
-            if made.whole:
-                tables[name] = {"base": made.path, "base_rows": made.rows, "batches": []}
-            else:
-                tables[name] = {**old, "batches": [*old["batches"], {"path": made.path, "rows": made.rows}]}
-        number = snapshot["number"] + 1
-        moment = (at or datetime.now(timezone.utc)).isoformat()
-        self._create(number, json.dumps({"number": number, "at": moment, "tables": tables}))
-        return number
-
-    def update(self, build: Callable[[dict], dict[str, Staged]], at: datetime | None = None) -> int:
-        """Stage from the newest snapshot and commit; again from the then newest one if another writer was faster."""
-        for attempt in range(ATTEMPTS):
-            snapshot = self.snapshot()
-            try:
-                return self.commit(build(snapshot), snapshot, at)
-            except CommitConflict:
-                if attempt == ATTEMPTS - 1:
-                    raise
-        raise AssertionError
-
-    def _hadoop(self, path: str):
-        """Hadoop's Path of ``path``, and the file system that it is in."""
-        found = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        system = found.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return system.makeQualified(found), system
-
-    def _create(self, number: int, content: str) -> None:
-        """The commit file under its final name, complete from the start, unless there is one already."""
-        # Names that begin with "_" or "." are no data to Spark's readers.
-        temporary, system = self._hadoop(f"{self.root}/_commits/_{uuid.uuid4().hex}")
-        final, _ = self._hadoop(f"{self.root}/_commits/{number:012d}.json")
-        out = system.create(temporary, False)
-        out.write(bytearray(content.encode()))
-        out.close()
-        jvm = self.spark._jvm
-        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), self.spark._jsc.hadoopConfiguration())
-        kinds = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
-        options = self.spark.sparkContext._gateway.new_array(kinds, 1)
-        options[0] = kinds.NONE
-        try:
-            files.rename(temporary, final, options)
-        except Py4JJavaError as error:
-            system.delete(temporary, False)
-            if "FileAlreadyExistsException" in str(error.java_exception):
-                raise CommitConflict(f"commit {number} exists already") from None
-            raise
-        if number > KEEP_COMMITS:
-            old, _ = self._hadoop(f"{self.root}/_commits/{number - KEEP_COMMITS:012d}.json")
-            system.delete(old, False)
-
-    def retire(self, keep: int = 2) -> list[str]:
-        """Delete table folders that none of the last ``keep`` commits names, and parsed batches; the deleted folders.
-
-        To be called when no load is running and no reader works on older tables.
-        """
-        last = self.snapshot()["number"]
-        named = set()
-        for number in range(max(1, last - keep + 1), last + 1):
-            row = self.spark.read.text(f"{self.root}/_commits/{number:012d}.json", wholetext=True).first()
-            for table in json.loads(row.value)["tables"].values():
-                named |= {table["base"], *(b["path"] for b in table["batches"])}
+        if not rows:
+            return 0
+        buckets = self._buckets_of(name, path)
+        own = bucket_of(spec, buckets)
+        batch = batch.withColumn(BUCKET, own)
+        stored = self._read(name)
+        if stored is None:
+            merged, touched = batch, None
+        else:
+            touched = self._touched(spec, batch, buckets, replace_children)
+            old = stored if touched is None else stored.filter(F.col(BUCKET).isin(touched))
+            merged = upsert_table(spec, old.drop(BUCKET), batch.drop(BUCKET), small_batch=rows <= BROADCAST_KEY_ROWS, replace_children=replace_children)
+            merged = merged.withColumn(BUCKET, own)
+        # A bucket that is left without rows is not overwritten, so its folder goes.
         gone = []
-        for pattern in ("tables/*/*", "_batches/*/*"):
-            path, system = self._hadoop(f"{self.root}/{pattern}")
-            for status in system.globStatus(path) or ():
-                found = status.getPath()
-                short = f"{self.root}/" + "/".join(found.toString().rsplit("/", 3)[1:])
-                if short not in named:
-                    system.delete(found, True)
-                    gone.append(short)
-        return gone
+        if stored is not None and replace_children and not _whole_parent(spec):
+            gone = stored.select(BUCKET).distinct().join(merged.select(BUCKET).distinct(), BUCKET, "left_anti").collect()
+        self._put(merged, self.path(name), [spec.laid_out_by] if spec.laid_out_by else [])
+        for row in gone:
+            self._delete(f"{self.path(name)}/{BUCKET}={row[0]}")
+        if spec.parent:
+            now = self._read(name)
+            now = now if touched is None else now.filter(F.col(BUCKET).isin(touched))
+            sketches = key_sketches(now, spec.parent[0], BUCKET)
+            sketches.write.partitionBy(BUCKET).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{self.root}/_sketches/{name}")
+        return rows
+
+    def _touched(self, spec: TableSpec, batch: DataFrame, buckets: int, replace_children: bool) -> list[int] | None:
+        """Buckets with rows that the batch decides about, at most ``MOST_BUCKETS`` numbers; None for all."""
+        if replace_children and not _whole_parent(spec):
+            return None
+        found = batch.select(BUCKET)
+        if spec.parent and not _whole_parent(spec):
+            found = found.unionByName(batch.select(_hashed(spec.parent, buckets).alias(BUCKET)))
+        return sorted(r[0] for r in found.distinct().collect())
+
+    def _delete(self, folder: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def append(self, name: str, rows: DataFrame) -> int:
+        return self.upsert(name, with_arrival(conform(rows, name)))
+

@@ -13,18 +13,14 @@ from pyspark.sql.streaming.query import StreamingQuery
 from wrenchlight.operators.flatten import FLATTENERS
 from wrenchlight.session import prepare
 from wrenchlight.sources.landing import page_items, page_schema, with_file_arrival
-from wrenchlight.sources.warehouse import Staged, Warehouse
+from wrenchlight.sources.warehouse import Warehouse
 
 
 def apply_pages(warehouse: Warehouse, entity: str, pages: DataFrame) -> None:
-    """Upsert the items of some pages into all tables of the entity, in one commit."""
-    items = warehouse.stage_items(entity, page_items(pages, entity))
-
-    def build(snapshot: dict) -> dict[str, Staged]:
-        made = {name: warehouse.stage_upsert(name, flatten(items), snapshot) for name, flatten in FLATTENERS[entity].items()}
-        return {name: staged for name, staged in made.items() if staged}
-
-    warehouse.update(build)
+    """Upsert the items of some pages into all tables of the entity."""
+    items = warehouse.staged_items(entity, page_items(pages, entity))
+    for name, flatten in FLATTENERS[entity].items():
+        warehouse.upsert(name, flatten(items))
 
 
 def start_feed(
