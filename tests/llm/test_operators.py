@@ -13,6 +13,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tests.conftest import SF_SMALL
@@ -418,6 +419,75 @@ def test_patterns_find_more(spark):
     assert [found[k].spans for k in (101, 102, 103)] == ["", "", ""]
 
 
+LOST = [
+    (200, "hello there, call me at 555-010-9999\n555-010-8888", "phone:24:36"), (201, "so call me at tel:555-010-9999 x", "phone:18:30"), (202, "call me at a@b.com 555-010-9999", "email:11:18"),
+    (203, "oh call me at 555-010-9999\t12", "phone:14:26"), (204, "now call me at +1 (555) 010-0001 555-010-9999 !", "phone:15:32"), (205, "note tel: 555-010-7777.", "phone:10:22"),
+    (206, "note tel=555-010-7778, ok", "phone:9:21"),
+]
+
+
+def test_candidates_end_at_lines_tabs_and_marks(spark):
+    rows = [(i, f"hello there, call me at +1 (555) 010-{i:04d} today") for i in range(30)] + [(50 + i, f"note tel: +1 (555) 020-{i:04d} is mine") for i in range(30)]
+    rows += [r[:2] for r in LOST]
+    found = {r.doc_id: r.spans for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k: found[k] for k, _, _ in LOST} == {k: v for k, _, v in LOST}
+
+
+def test_precision_and_recall_on_planted_identifiers(spark):
+    """Unseen identifiers in the contexts of seeds among numbers of the same shape in other contexts, each context being used for one kind of thing."""
+    dice = random.Random(11)
+    filler = lambda: " ".join(f"w{dice.randrange(400)}" for _ in range(dice.randrange(4, 20)))
+    phone = lambda plus: f"{'+1 ' if plus else ''}({dice.randrange(200, 999)}) {dice.randrange(200, 999)}-{dice.randrange(1000, 9999)}"
+    card = lambda: " ".join(f"{dice.randrange(1000, 9999)}" for _ in range(4))
+    good = {"phone": ["call me at", "my mobile is", "phone number:"], "card": ["pay with card", "charged to visa"], "email": ["write to", "reply to mailbox"]}
+    bad = ["order no", "isbn", "tracking code", "build"]
+    valid = [c for c in (card() for _ in range(6000)) if plain.luhn(c.replace(" ", ""))]
+    docs, wanted = [], {}
+    for n in range(1200):
+        kind = dice.choice([*good, "bad"])
+        if kind == "bad":
+            value, context, unseen = dice.choice([phone(False), card(), str(dice.randrange(10**7, 10**12))]), dice.choice(bad), False
+        else:
+            unseen, context = dice.random() < 0.1, dice.choice(good[kind])
+            if kind == "phone":
+                value = phone(not unseen)
+            elif kind == "card":
+                value = next(c for c in iter(card, "") if not plain.luhn(c.replace(" ", ""))) if unseen else dice.choice(valid)
+            else:
+                value = f"user{n}@{'intranet' if unseen else 'mail.example.com'}"
+        text = f"{filler()} {context} "
+        start = len(text)
+        docs.append((n, f"{text}{value} {filler()}"))
+        if unseen:
+            wanted[n] = f"{kind}:{start}:{start + len(value)}"
+    found = {r.doc_id: r.spans for r in pii.personal_data(spark.createDataFrame(docs, "doc_id long, text string")).filter("n_added > 0").collect()}
+    right = sum(found.get(k) == v for k, v in wanted.items())
+    assert right >= 0.95 * len(wanted) and right >= 0.95 * len(found), (right, len(wanted), len(found))
+
+
+def test_texts_of_many_matches(spark):
+    text = " ".join(f"name{i}@mail.example.com" for i in range(32_000))
+    docs = spark.createDataFrame([(1, text), (2, "1 " * 200_000), (3, "x" * 300_000 + " y " * 1000 + "a@b.cd 4111 1111 1111 1111")], "doc_id long, text string")
+    start = time.perf_counter()
+    found = {r.doc_id: r for r in pii.personal_data(docs).collect()}
+    assert found[1].n_email == 32_000 and found[1].spans.endswith(f"email:{len(text) - 26}:{len(text)}") and found[3].n_card == 1
+    assert time.perf_counter() - start < 60
+
+
+@pytest.mark.parametrize("n", [0, 1, 255, 256, 257, 700, 66_000])
+def test_running_sums(spark, n):
+    sizes = [(i * 7) % 13 for i in range(n)]
+    found = spark.createDataFrame([(sizes,)], "a array<int>").select(pii.running(F.col("a")).alias("r")).first().r
+    assert found == list(itertools.accumulate(sizes))
+
+
+def test_long_words_before_a_match_are_whole(spark):
+    long = "v" * 300
+    rows = [(i, f"so the {long} {long} +1 (555) 010-{i:04d} today") for i in range(8)] + [(9, f"and {long} {long} 555-010-9999 now")]
+    found = {r.doc_id: r.spans for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[9] == "phone:606:618"
+
+
 # 9: SimHash
 
 
