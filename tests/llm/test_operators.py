@@ -8,7 +8,9 @@ import math
 import random
 import re
 import time
+from pathlib import Path
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -265,6 +267,43 @@ def test_known_texts_differ_and_have_the_anchor(spark):
     assert all(re.search(licenses.ANCHOR, v) for v in known.values())
 
 
+COMMON = Path("/usr/share/common-licenses")
+
+
+@pytest.mark.skipif(not COMMON.is_dir(), reason="no published licences on this machine")
+def test_published_licenses(spark):
+    """Whole published files, as they are, in capitals, with other line breaks and behind a copyright line."""
+    files = [p for p in sorted(COMMON.iterdir()) if not p.is_symlink()]
+    texts = [p.read_text(encoding="utf-8") for p in files]
+    joined = [re.sub(r"(?<=[a-z,])\n[ \t]*(?=[a-z])", " ", t) for t in texts]
+    rows = [*texts, *(t.upper() for t in texts), *joined, *("Copyright The X Authors\n\n" + t for t in texts)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string")
+    found = {r.doc_id: r.license for r in licenses.scan(docs).collect()}
+    n = len(files)
+    assert n >= 10 and [i for i in range(len(rows)) if not found.get(i)] == []
+    assert all(found[i] == found[i + n] == found[i + 2 * n] == found[i + 3 * n] for i in range(n)) and len({found[i] for i in range(n)}) == n
+
+
+def test_copyright_lines_without_a_year(spark):
+    text = licenses.TEXTS["MIT"]
+    wrapped = text.replace("The above copyright notice", "The above\ncopyright notice").replace("THE AUTHORS OR COPYRIGHT HOLDERS", "THE AUTHORS OR\nCOPYRIGHT HOLDERS")
+    rows = ["Copyright Joyent, Inc. and other Node contributors.\n" + text, "Copyright The X Authors\n(c) Somebody Else\n© Me\n" + text, wrapped, "Copyright law is hard.\nSo is software."]
+    found = {r.doc_id: r.license for r in licenses.scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert found == {0: "MIT", 1: "MIT", 2: "MIT"} and wrapped != text
+
+
+def test_licenses_against_sql_on_odd_texts(spark, tmp_path):
+    rows = [(i, change(t)) for i, (t, change) in enumerate((t, c) for t in licenses.TEXTS.values() for c in (str.lower, lambda t: "Copyright Anyone\n" + t, lambda t: t.replace(" ", "  ")))]
+    rows += [(1000 + i, f"x\n// {t.upper()}\ny") for i, t in enumerate(licenses.NOTICES.values())] + [(5000, None), (5001, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    wanted = sorted(con.execute(entry.oracle_sql()["op4_licenses"]).fetchall())
+    assert sorted(tuple(r) for r in licenses.scan(docs).collect()) == wanted
+    assert {r[0] for r in rows} - {r[0] for r in wanted} == {5000, 5001}
+
+
 # 5: mixing
 
 

@@ -35,31 +35,49 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def _canonical_sql(text: str) -> str:
-    """The canonical text in DuckDB's SQL, from the same fixed values."""
-    for pattern in (licenses.COPYRIGHT_LINE, licenses.RESERVED_LINE):
-        text = f"regexp_replace({text}, {_quoted(pattern)}, '', 'g')"
+# Written out here and read from the files, apart from the code under test.
+_SPELLED = (
+    "licence=license|sub license=sublicense|non commercial=noncommercial|organisation=organization|merchantibility=merchantability|favour=favor|whilst=while|per cent=percent|"
+    "copyright holder=copyright owner|analogue=analog|fulfil =fulfill |wilful=willful|acknowledgement=acknowledgment|https=http|initialise=initialize|recognise=recognize"
+)
+_BEGIN_SQL = "'(?im)^[ \\t*#/;.-]*(?:copyright\\b|\\(c\\)|©)'"
+_MARKED_SQL = "'(?im)^[ \\t*#/;.-]*(copyright[ \\t]*(\\(c\\)|©|[0-9]{4}|<year>|\\[year\\]|\\[yyyy\\])|\\(c\\)[ \\t]*(copyright|[0-9]{4})|©)[^\\n]*$'"
+_RESERVED_SQL = "'(?im)^[ \\t*#/;.-]*all[ \\t]+rights[ \\t]+reserved[ \\t.]*$'"
+
+
+def _words_sql(text: str) -> str:
     text = f"trim(regexp_replace(lower({text}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
-    for found, instead in licenses.SPELLINGS:
-        text = f"replace({text}, {_quoted(found)}, {_quoted(instead)})"
+    for pair in _SPELLED.split("|"):
+        text = "replace({}, {}, {})".format(text, *map(_quoted, pair.split("=")))
     return text
 
 
-def _known_sql(known: dict[str, str]) -> str:
-    rows = ", ".join(f"({_quoted(name)}, {_quoted(text)})" for name, text in known.items())
-    return f"SELECT license, sha256({_canonical_sql('known_text')}) AS digest FROM (VALUES {rows}) AS v(license, known_text)"
+def _unmarked_sql(text: str) -> str:
+    return f"regexp_replace(regexp_replace({text}, {_MARKED_SQL}, '', 'g'), {_RESERVED_SQL}, '', 'g')"
+
+
+def _digest_sql(text: str) -> str:
+    """SHA-256 of the canonical text; ``known`` is a table of one row with the words of all known texts."""
+    lines = f"list_filter(string_split({_unmarked_sql(text)}, chr(10)), lambda l: NOT (regexp_matches(l, {_BEGIN_SQL}) AND NOT contains(known.words, ' ' || {_words_sql('l')} || ' ')))"
+    return f"sha256({_words_sql(f'array_to_string({lines}, chr(10))')})"
+
 
+_NOTICE_ROWS = ", ".join(f"({_quoted(name)}, {_quoted(text)})" for name, text in licenses.NOTICES.items())
 
 OP4_SQL = f"""
-WITH texts AS ({_known_sql(licenses.TEXTS)}), notices AS ({_known_sql(licenses.NOTICES)}),
+WITH files AS (SELECT regexp_extract(filename, '([^/]*)[.]txt$', 1) AS license, content FROM read_text('{licenses.FOLDER}/*.txt')),
+one_line AS (SELECT * FROM (VALUES {_NOTICE_ROWS}) AS v(license, content)),
+known AS (SELECT ' | ' || string_agg({_words_sql(_unmarked_sql('content'))}, ' | ') || ' | ' AS words FROM (FROM files UNION ALL FROM one_line)),
+texts AS (SELECT license, {_digest_sql('content')} AS digest FROM files, known),
+notices AS (SELECT license, {_digest_sql('content')} AS digest FROM one_line, known),
 lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS part,
                  generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents),
 found AS (
   SELECT doc_id, license, CAST(NULL AS VARCHAR) AS notice, CAST(NULL AS BIGINT) AS line
-  FROM (SELECT doc_id, sha256({_canonical_sql('text')}) AS digest FROM documents) JOIN texts USING (digest)
+  FROM (SELECT doc_id, {_digest_sql('text')} AS digest FROM documents, known WHERE regexp_matches(text, '(?i)licen|software')) JOIN texts USING (digest)
   UNION ALL
   SELECT doc_id, NULL, license, line
-  FROM (SELECT doc_id, line, sha256({_canonical_sql('part')}) AS digest FROM lines) JOIN notices USING (digest))
+  FROM (SELECT doc_id, line, {_digest_sql('part')} AS digest FROM lines, known WHERE regexp_matches(part, '(?i)licen|software')) JOIN notices USING (digest))
 SELECT doc_id, max(license) AS license,
        coalesce(string_agg(DISTINCT notice, ',' ORDER BY notice), '') AS notices, count(DISTINCT line) AS n_notices
 FROM found GROUP BY doc_id
