@@ -135,8 +135,8 @@ def kept_by_quality(rows, measures, rules=fertility.Rules()):
     return kept
 
 
-def template(text):
-    """(kind, word or value) of each template word."""
+def template(text, reading):
+    """(kind, word or value) of each template word; reading 0: names within sentences, 1: all capitals, 2: none."""
     out, before = [], None
     for m in re.finditer(r"(?:(?![ -‿])[0-9A-Za-z\u0080-\U0010ffff])+", text or ""):
         gap = text[before.end() : m.start()] if before else ""
@@ -145,23 +145,25 @@ def template(text):
             kind = "number"
         elif last and last[0] == "number" and m[0].lower() in decontaminate.UNITS:
             kind = "unit"
-        elif before and re.match("[A-Z]", m[0]) and not re.search(r"[.!?\n]", gap):
+        elif reading < 2 and m[0][0].isupper() and ord(m[0][0]) < 0x800 and (reading == 1 or (before and not re.search(r"[.!?\n]", gap))):
             kind = "name"
         else:
             kind = "word"
-        if last and last[0] == kind == "number" and re.fullmatch("[.,:/-]", gap) or last and last[0] == kind == "name":
+        inner = before and not re.search(r"[.!?\n]", gap)
+        if last and last[0] == kind == "number" and re.fullmatch("[.,:/-]", gap) or last and last[0] == kind == "name" and inner and was_inner:
             out[-1] = (kind, last[1] + gap + m[0])
         else:
             out.append((kind, m[0]))
-        before = m
-    return [(k, re.sub("[A-Z]", lambda c: c[0].lower(), v)) for k, v in out]
+        before, was_inner = m, inner
+    small = lambda c: c.lower() if ord(c) < 0x800 and len(c.lower()) == 1 and (c.isascii() or 0x80 <= ord(c.lower()) < 0x800) else c
+    return [(k, "".join(map(small, v))) for k, v in out]
 
 
 def leaks(docs, items, size=5, share=0.8, run=25, literals=3):
     """Pairs (doc, item) for {key: text} of both."""
 
-    def windows(text):
-        t = template(text)
+    def windows(text, reading):
+        t = template(text, reading)
         found = []
         for i in range(len(t) - size + 1):
             part = t[i : i + size]
@@ -169,23 +171,34 @@ def leaks(docs, items, size=5, share=0.8, run=25, literals=3):
                 found.append((i, tuple((k, v if k == "word" else None) for k, v in part), [v if k != "word" else None for k, v in part]))
         return found
 
-    known = {k: windows(t) for k, t in items.items()}
-    at = collections.defaultdict(list)
-    for k, found in known.items():
-        for i, key, values in found:
-            at[key].append((k, i, values))
     out = set()
-    for d, text in docs.items():
-        hits = collections.defaultdict(lambda: (set(), set()))
-        for i, key, values in windows(text):
-            for k, j, theirs in at.get(key, ()):
-                places, pairs = hits[k, i - j]
-                places.add(j)
-                pairs.update((a, b) for a, b in zip(theirs, values) if a is not None)
-        for (k, _), (places, pairs) in hits.items():
-            even = len({a for a, _ in pairs}) == len(pairs) == len({b for _, b in pairs})
-            if even and (len(places) >= share * len(known[k]) or len(places) + size - 1 >= run):
-                out.add((d, k))
+    for reading in range(3):
+        known = {k: windows(t, reading) for k, t in items.items()}
+        at = collections.defaultdict(list)
+        for k, found in known.items():
+            for i, key, values in found:
+                at[key].append((k, i, values))
+        for d, text in docs.items():
+            hits = collections.defaultdict(lambda: collections.defaultdict(lambda: (set(), set())))
+            for i, key, values in windows(text, reading):
+                for k, j, theirs in at.get(key, ()):
+                    places, pairs = hits[k][i - j]
+                    places.add(j)
+                    pairs.update((a, b) for a, b in zip(theirs, values) if a is not None)
+            for k, shifts in hits.items():
+                groups = [[s] for s in shifts]
+                chain = []
+                for s in sorted(shifts):
+                    if chain and s - chain[-1] > 5:
+                        groups.append(chain)
+                        chain = []
+                    chain = [*chain, s]
+                groups.append(chain)
+                for group in groups:
+                    places, pairs = set().union(*(shifts[s][0] for s in group)), set().union(*(shifts[s][1] for s in group))
+                    even = len({a for a, _ in pairs}) == len(pairs) == len({b for _, b in pairs})
+                    if even and (len(places) >= share * len(known[k]) or len(places) + size - 1 >= run):
+                        out.add((d, k))
     return out
 
 

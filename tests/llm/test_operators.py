@@ -244,6 +244,28 @@ def test_leaks_with_other_values(spark, odd, empty):
     assert decontaminate.leaks(keyed(docs), items.filter("false")).count() == 0
 
 
+NATALIA = "Natalia sold clips to 48 of her friends in April. Natalia then sold half as many clips in May."
+STEPS = "A farmer has 12 red hens and 7 white ones, sells 5 of them at the market, and then buys 20 more for the winter. How many hens are there now?"
+GERMAN = "Der Bauer hat 12 Hühner und 7 Enten, verkauft davon 5 auf dem Markt und kauft im Herbst 20 neue Tiere. Wie viele Tiere hat er jetzt?"
+RUSSIAN = "Сегодня утром Анна купила 12 яблок и 7 груш, потом отдала Ивану 5 яблок и съела 2 груши. Сколько фруктов осталось?"
+
+
+def test_leaks_with_other_names_words_and_scripts(spark):
+    items = spark.createDataFrame([(1, NATALIA), (2, STEPS), (3, GERMAN), (4, RUSSIAN)], "item_id long, text string")
+    words = STEPS.split()
+    docs = {
+        1: NATALIA.replace("Natalia", "Maria").replace("48", "31"), 2: "Und nun: " + GERMAN.replace("12", "30").replace("20", "9"), 3: RUSSIAN.replace("Анна", "Ольга").replace("Ивану", "Петру").replace("12", "33"),
+        4: "Der Hund lief über die Wiese und der Bauer sah ihm nach, bis die Sonne hinter dem Wald verschwand und die Tiere im Stall waren.",
+        5: NATALIA.replace("Natalia then", "Maria then"),  # one name for two
+        **{100 + i: " ".join([*words[:i], "really", *words[i:]]) for i in range(1, len(words))}, **{200 + i: " ".join([*words[:i], *words[i + 1 :]]) for i in range(len(words)) if not words[i][0].isdigit()},
+    }
+    frame = spark.createDataFrame([*docs.items()], "doc_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.leaks(keyed(frame), items).collect()}
+    assert found == plain.leaks(docs, {r.item_id: r.text for r in items.collect()})
+    assert {(1, 1), (2, 3), (3, 4)} <= found and not {d for d, _ in found} & {4, 5}
+    assert {d for d, i in found if i == 2} == {d for d in docs if d >= 100}
+
+
 # 4: licences
 
 
