@@ -12,6 +12,7 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -22,7 +23,7 @@ from tests.conftest import SF_SMALL
 from tests.llm import plain
 from tests.llm.conftest import ODD
 from tools.check import compare, connect
-from wrenchlight.llm import decontaminate, fertility, html_crf, licenses, line_dedup, mixing, page_layouts, pii, quotations, simhash, substring_dedup
+from wrenchlight.llm import arrays, decontaminate, fertility, html_crf, licenses, line_dedup, mixing, page_layouts, pii, quotations, simhash, substring_dedup
 from wrenchlight.llm.common import components, keyed
 
 
@@ -66,6 +67,34 @@ def test_repeats_across_boundaries(spark):
     assert found == dict(enumerate(plain.without_windows(texts, 12)))
 
 
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+
+
+def test_words_that_trick_polynomial_hashes(spark):
+    """A Thue-Morse word and its complement have equal polynomial hashes modulo 2^64, whatever the base."""
+    for n in (64, 200, 1024, 4096):
+        one, other = thue_morse(n), thue_morse(n).translate(str.maketrans("ab", "ba"))
+        data, offsets = arrays.buffer_of(pa.array([one, other, one]))
+        a, b, c = arrays.word_hashes(data, offsets[:-1], offsets[1:])
+        assert a == c != b
+    rest = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, f"{thue_morse(1024)} {rest[:100]}"), (2, f"{other[:1024]} {rest[:100]}")], "doc_id long, text string")
+    texts = [r.text for r in docs.orderBy("doc_id").collect()]
+    found = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.remove_repeats(docs, 6, 2).collect()}
+    assert found == dict(zip((1, 2), plain.without_windows(texts, 6)))
+
+
+def test_word_hashes_differ_at_every_byte():
+    dice = np.random.default_rng(7)
+    words = [bytes(dice.integers(33, 127, n, dtype=np.uint8)) for n in (1, 3, 7, 8, 9, 15, 16, 17, 31, 255, 256, 257, 300) for _ in range(3)]
+    words += [w[:i] + bytes([w[i] ^ 1]) + w[i + 1 :] for w in words for i in range(len(w))]
+    words += [w + b"\0" for w in words[:39]]
+    data, offsets = arrays.buffer_of(pa.array(words, pa.binary()))
+    found = arrays.word_hashes(data, offsets[:-1], offsets[1:])
+    assert len(set(found.tolist())) == len(set(words))
+
+
 # 2: main text
 
 

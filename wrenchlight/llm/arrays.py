@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
-_BYTES = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64)
 _BASE, _WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
@@ -65,9 +65,32 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+LONG_WORD = 256
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges: eight bytes at a time, mixed after each step; ranges beyond ``LONG_WORD`` bytes by XXH3. Up to eight bytes, ranges of one length never collide."""
+    sizes = ends - starts
+    out = mixed(sizes.astype(np.uint64) * np.uint64(_BASE) + np.uint64(1))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eights = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    going = np.flatnonzero((sizes > 0) & (sizes <= LONG_WORD))
+    step = 0
+    while len(going):
+        lane = eights[starts[going] + step].view(np.uint64)[:, 0]
+        left = np.minimum(sizes[going] - step, 8).astype(np.uint64)
+        lane &= np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * left)
+        out[going] = mixed((out[going] ^ lane) * np.uint64(_WORD_BASE))
+        step += 8
+        going = going[sizes[going] > step]
+    for i in np.flatnonzero(sizes > LONG_WORD):
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
+    return out
+
+
 def word_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Ranges:
     """Hashes of word ranges, from hashes of words, from their bytes."""
-    return Ranges(Ranges(_BYTES[data], _BASE).hashes(starts, ends), _WORD_BASE)
+    return Ranges(word_hashes(data, starts, ends), _WORD_BASE)
 
 
 def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wrenchlight.llm.arrays import _BYTES, Ranges, buffer_of, mixed
+from wrenchlight.llm.arrays import Ranges, buffer_of, mixed, word_hashes
 from wrenchlight.llm.common import KEY, keyed, map_arrow, may_contain, same_key, stored, type_of
 
 WINDOW, SHARE, RUN, LITERALS, NEAR = 5, 0.8, 25, 3, 5
@@ -54,16 +54,12 @@ _STOP[list(b".!?\n")] = True
 _JOINT = np.zeros(256, bool)
 _JOINT[list(b".,:/-")] = True
 NUMBER, UNIT, NAME = (np.uint64(x) for x in (0xA1, 0xA2, 0xA3))
-_BASE, _TOKEN_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
-
-
-def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return Ranges(_BYTES[data], _BASE).hashes(starts, ends)
+_TOKEN_BASE = 0xC2B2AE3D27D4EB4F
 
 
 def _unit_hashes() -> np.ndarray:
     data, offsets = buffer_of(pa.array(UNITS))
-    return np.sort(_hashes(data, offsets[:-1], offsets[1:]))
+    return np.sort(word_hashes(data, offsets[:-1], offsets[1:]))
 
 
 def _lowered(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,7 +88,7 @@ def templates(column: pa.Array, readings: tuple[str, ...] = READINGS) -> list[tu
     if not len(starts):
         return [(np.zeros(0, np.uint64), np.zeros(0, np.uint64), owner)] * len(readings)
     lower, capitals = _lowered(data)
-    hashes = _hashes(lower, starts, ends)
+    hashes = word_hashes(lower, starts, ends)
     count = lambda table: np.concatenate([[0], np.cumsum(table[data], dtype=np.int64)])
     digits, stops = count(_DIGIT), count(_STOP)
     first = np.ones(len(starts), bool)
@@ -111,7 +107,7 @@ def templates(column: pa.Array, readings: tuple[str, ...] = READINGS) -> list[tu
         keep = np.flatnonzero(~joined)
         last = np.append(keep[1:] - 1, len(starts) - 1)  # the last part of a joined slot
         kind = np.select([number[keep], unit[keep], name[keep]], [NUMBER, UNIT, NAME], np.uint64(0))
-        values = np.where(kind > 0, _hashes(lower, starts[keep], ends[last]) | np.uint64(1), np.uint64(0))
+        values = np.where(kind > 0, word_hashes(lower, starts[keep], ends[last]) | np.uint64(1), np.uint64(0))
         out.append((np.where(kind > 0, mixed(kind), hashes[keep]), values, owner[keep]))
     return out
 
