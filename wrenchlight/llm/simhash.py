@@ -62,7 +62,10 @@ def links(prints: DataFrame, max_bits: int = 2) -> DataFrame:
         raise ValueError("max_bits must be even: both sides flip half of it")
     flips = [sum(1 << i for i in c) for n in range(max_bits // 2 + 1) for c in combinations(range(BITS), n)]
     masks = [F.lit(m - (1 << BITS) if m >> (BITS - 1) else m).cast("long") for m in flips]
-    balls = prints.select("fp").distinct().select("fp", F.explode(F.array(*(F.col("fp").bitwiseXOR(m) for m in masks))).alias("variant"))
+    # Few bytes that become many rows: dealt out by number, as AQE would put them into one or two tasks.
+    spark = prints.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    balls = prints.select("fp").distinct().repartition(tasks, "fp").select("fp", F.explode(F.array(*(F.col("fp").bitwiseXOR(m) for m in masks))).alias("variant"))
     by_variant = Window.partitionBy("variant").orderBy("fp")
     pairs = balls.select(F.col("fp").alias("a"), F.lead("fp").over(by_variant).alias("b")).filter("b is not null").distinct()
     return pairs.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
