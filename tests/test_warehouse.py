@@ -11,6 +11,7 @@ from tests.frames import as_text, dicts, one
 from tests.test_landing import JOB, land
 from wrenchlight.plans.context import Context
 from wrenchlight.plans.freshness import freshness, load_facts
+from wrenchlight.sources.landing import PagesMissing
 from wrenchlight.sources.load import load_all
 from wrenchlight.operators.joins import spread_join
 from wrenchlight.schemas import TABLES, conform
@@ -178,6 +179,40 @@ def test_stream_equals_batch(spark, tmp_path):
     assert as_text(run().tables()["jobs"]) == before
 
 
+def test_only_changes_are_written(spark, tmp_path, monkeypatch):
+    """Records sent again leave the tables' files alone; newer ones, late older ones and nameless ones are told apart."""
+    landing, root, batches = tmp_path / "landing", str(tmp_path / "w"), []
+    written = Warehouse.upsert
+    monkeypatch.setattr(Warehouse, "upsert", lambda self, name, rows, *more: batches.append((name, written(self, name, rows, *more))) or batches[-1][1])
+
+    def run(*found):
+        batches.clear()
+        for page in found:
+            land(landing, "customers", {"customers": page})
+        start_feed(spark, str(landing), root, "customers", str(tmp_path / "checkpoint"), 10, only_changes=True).awaitTermination()
+        return sum(n for _, n in batches)
+
+    person = lambda key, name, day="2026-02-01": {"id": key, "first_name": name, "updated_at": f"{day}T00:00:00Z"}
+    assert run([person("a", "Ann"), person("b", "Bob")], [person("a", "Ann")]) == 2
+    assert run([person("a", "Ann"), person("b", "Bob")]) == 0
+    assert run([person("a", "Anna", "2026-02-02")], [person("b", "Old", "2026-01-01")], [{"first_name": "Nobody"}]) == 2
+    assert {(r["customer_id"], r["first_name"]) for r in dicts(Warehouse(spark, root).tables()["customers"])} == {("a", "Anna"), ("b", "Bob"), (None, "Nobody")}
+
+
+def test_a_load_asks_for_all_pages(spark, tmp_path):
+    landing = tmp_path / "landing"
+    page = lambda n, total, k: {"jobs": [job(k)], "page": n, "total_pages": total}
+    day(landing, "2026-02-20", jobs=page(1, 3, 1))
+    day(landing, "2026-02-20", jobs=page(3, 3, 3))
+    day(landing, "2026-02-21", jobs=page(1, 1, 4))
+    with pytest.raises(PagesMissing, match="'page': 2"):
+        load_all(spark, str(landing), str(tmp_path / "w"), AT, all_pages=True)
+    assert not Warehouse(spark, str(tmp_path / "w")).tables().exists("jobs")
+    day(landing, "2026-02-20", jobs=page(2, 3, 2))
+    assert load_all(spark, str(landing), str(tmp_path / "w"), AT, all_pages=True)
+    assert Warehouse(spark, str(tmp_path / "w")).tables()["jobs"].count() == 4
+
+
 def day(landing, name, **pages):
     for entity, found in pages.items():
         land(landing, f"{entity}/load_date={name}", found)

@@ -15,11 +15,13 @@ from pyspark.sql import functions as F
 from wrenchlight.operators import flatten
 from wrenchlight.operators.upsert import latest_per_key, upsert
 from wrenchlight.plans.audit import table_counts
+from wrenchlight.schemas import ARRIVED
 from wrenchlight.session import prepare, shared_folder
-from wrenchlight.sources.landing import missing_pages, page_envelope, page_items, page_schema, parse_pages
+from wrenchlight.sources.landing import missing_pages, page_envelope, page_items, page_schema, parse_pages, with_file_arrival
 from wrenchlight.sources.load import load_all
 from wrenchlight.sources.tables import Tables
 from wrenchlight.sources.warehouse import Warehouse
+from wrenchlight.streaming.changes import as_items, as_records, changes
 from wrenchlight.streaming.feed import start_feed
 from workload.bridge import AS_OF, given, spread
 
@@ -438,6 +440,22 @@ def upsert_stream(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def stream_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """Every customer record lands three times, and every third one a fourth time with another name: (customer_id, times written, last name written)."""
+    base = shared_folder(spark, "changes")
+    pages = people_pages(spark, folder, "customers")
+    digit = F.regexp_extract("page", "\"id\":([0-9]+)", 1).cast("bigint")
+    changed = pages.filter(digit % 3 == 0).select(F.replace("page", F.lit("Customer"), F.lit("Client")).alias("page"))
+    for texts in (pages, pages, pages, changed):
+        _land(texts, f"{base}/landing", "customers")
+        stream = with_file_arrival(spark.readStream.schema(page_schema("customers")).json(f"{base}/landing/customers"))
+        found = changes(as_records(page_items(stream, "customers"), "customers"))
+        query = found.writeStream.format("parquet").option("path", f"{base}/written").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
+    written = as_items(spark.read.schema("key string, version string, arrived string, record string").parquet(f"{base}/written"), "customers")
+    return written.groupBy(F.col("id").alias("customer_id")).agg(F.count("*").alias("times_written"), F.max_by("first_name", ARRIVED).alias("last_name_written"))
+
+
 def load_twice(spark: SparkSession, folder: str) -> DataFrame:
     """A full load, then an incremental one of the same files: (table, rows) afterwards."""
     return table_counts(_loaded_twice(spark, folder), LOADED)
@@ -528,7 +546,7 @@ QUERIES = {
         flatten_estimates, flatten_estimate_options, flatten_estimate_employees, flatten_customers,
         flatten_employees, pricebook_services, pricebook_envelope, dedupe_latest, upsert_plain_key,
         upsert_null_safe_key, upsert_null_key_kept, upsert_keep_newest, upsert_replace_children,
-        upsert_stream, load_twice, load_twice_values, load_resent, details_missing, column_added_later, paged_items, pages_missing,
+        upsert_stream, load_twice, load_twice_values, load_resent, details_missing, column_added_later, paged_items, pages_missing, stream_changes,
     )
 }
 
@@ -665,6 +683,8 @@ SQL["load_twice_values"] = reduce(
 )
 _PAGES = """WITH pages AS (SELECT o_orderkey % 3 AS pull, o_orderkey // 100 + 1 AS page, o_orderkey, o_orderpriority FROM orders),
     lasts AS (SELECT pull, max(page) AS total_pages FROM pages GROUP BY pull)"""
+SQL["stream_changes"] = """SELECT c_custkey::VARCHAR AS customer_id, CASE WHEN c_custkey % 3 = 0 THEN 2 ELSE 1 END::BIGINT AS times_written,
+    CASE WHEN c_custkey % 3 = 0 THEN replace(split_part(c_name, '#', 1), 'Customer', 'Client') ELSE split_part(c_name, '#', 1) END AS last_name_written FROM customer"""
 SQL["paged_items"] = f"""{_PAGES} SELECT page::INTEGER AS page, total_pages::INTEGER AS total_pages, 'job_' || o_orderkey AS job_id,
     o_orderpriority AS description FROM pages JOIN lasts USING (pull)"""
 SQL["pages_missing"] = f"""{_PAGES}, every AS (SELECT pull, total_pages, unnest(generate_series(1, total_pages)) AS page FROM lasts)

@@ -14,11 +14,12 @@ from wrenchlight.operators.flatten import FLATTENERS
 from wrenchlight.session import prepare
 from wrenchlight.sources.landing import page_items, page_schema, with_file_arrival
 from wrenchlight.sources.warehouse import Warehouse
+from wrenchlight.streaming.changes import as_items, as_records, changes
 
 
-def apply_pages(warehouse: Warehouse, entity: str, pages: DataFrame) -> None:
-    """Upsert the items of some pages into all tables of the entity."""
-    items = warehouse.staged_items(entity, page_items(pages, entity))
+def apply_items(warehouse: Warehouse, entity: str, found: DataFrame) -> None:
+    """Upsert items into all tables of the entity."""
+    items = warehouse.staged_items(entity, found)
     for name, flatten in FLATTENERS[entity].items():
         warehouse.upsert(name, flatten(items))
 
@@ -31,8 +32,12 @@ def start_feed(
     checkpoint: str,
     files_per_batch: int = 1000,
     one_per_line: bool = False,
+    only_changes: bool = False,
 ) -> StreamingQuery:
-    """Load everything that has landed for ``entity`` and stop; run it again for what lands later."""
+    """Load everything that has landed for ``entity`` and stop; run it again for what lands later.
+
+    only_changes: keep the newest version of each record as state, and write only records that are newer and differ (see ``changes``).
+    """
     prepare(spark)
     warehouse = Warehouse(spark, warehouse_root)
     pages = with_file_arrival(
@@ -41,8 +46,12 @@ def start_feed(
         .option("maxFilesPerTrigger", files_per_batch)
         .json(f"{landing}/{entity}")
     )
+    if only_changes:
+        rows, items_of = changes(as_records(page_items(pages, entity), entity)), lambda batch: as_items(batch, entity)
+    else:
+        rows, items_of = pages, lambda batch: page_items(batch, entity)
     return (
-        pages.writeStream.foreachBatch(lambda batch, _: apply_pages(warehouse, entity, batch))
+        rows.writeStream.foreachBatch(lambda batch, _: apply_items(warehouse, entity, items_of(batch)))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
