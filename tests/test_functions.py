@@ -164,3 +164,10 @@ def test_names(spark):
     assert values(spark, text.employee_name("f", "l"), rows, ddl) == ["Unknown", "Ann Lee", "Lee", "Ann", "Unknown"]
     ids = ["pro_" + "0a" * 16, "pro_" + "0a" * 15, "pro_" + "0A" * 16, "x pro_" + "0a" * 16, None]
     assert values(spark, text.looks_like_raw_id("x"), ids) == [True, False, False, False, False]
+
+
+def test_given_minutes_come_first(spark):
+    rows = [("2026-01-01 10:00:00", "2026-01-01 11:30:00", m) for m in (None, 0.0, -5.0, 20.0, 0.5)] + [(None, "2026-01-01 11:30:00", 7.0), (None, None, None)]
+    frame = spark.createDataFrame(rows, "s string, e string, m double")
+    micros = times.worked_micros(times.parse_time("s"), times.parse_time("e"), "m")
+    assert [r[0] / 60_000_000 for r in frame.select(micros).collect()] == [90, 90, 90, 20, 0.5, 7, 0]

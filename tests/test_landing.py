@@ -10,7 +10,7 @@ from tests.frames import dicts, table
 from wrenchlight.functions.times import instant
 from wrenchlight.operators import flatten
 from wrenchlight.schemas import schema_listing
-from wrenchlight.sources.landing import page_envelope, page_items, read_items, read_pages, updated_within
+from wrenchlight.sources.landing import missing_pages, page_envelope, page_items, read_items, read_pages, updated_within
 
 
 def land(folder, entity, *pages):
@@ -200,3 +200,22 @@ def test_price_book_materials_and_schema_listing(spark, tmp_path):
     listed = dicts(schema_listing(spark, {"pricebook_materials": materials}))
     assert listed[0] == {"table": "pricebook_materials", "position": 0, "column": "material_uuid", "type": "string"}
     assert len(listed) == 8
+
+
+def test_missing_pages(spark, tmp_path):
+    """Announced by either counter, in either shape, told apart by pull; without counters a pull is one page."""
+    listed = lambda number, total: {"checklists": [{"data": [], "page": number, "total_pages": total}]}
+    land(tmp_path, "jobs/load_date=2026-01-01", {"jobs": [], "page": 1, "total_pages": 2}, {"data": [], "page": 4, "total_pages_count": 4}, {"jobs": [], "page": 4, "total_pages": 4})
+    land(tmp_path, "jobs/load_date=2026-01-02", listed(2, 3), {"jobs": [JOB]})
+    land(tmp_path, "jobs/load_date=2026-01-03", {"jobs": [JOB]})
+    pages = read_pages(spark, str(tmp_path / "jobs"), "jobs")
+    found = {(str(r["load_date"]), r["page"], r["total_pages"]) for r in dicts(missing_pages(pages, ["load_date"]))}
+    assert found == {("2026-01-01", 2, 4), ("2026-01-01", 3, 4), ("2026-01-02", 3, 3)}
+    assert {r["page"] for r in dicts(missing_pages(pages))} == {3}
+    assert dicts(missing_pages(read_pages(spark, str(tmp_path / "none"), "jobs"))) == []
+
+
+def test_minutes_of_visits_are_kept(spark, tmp_path):
+    path = land(tmp_path, "job_details", {"id": "j1", "schedule": {"appointments": [{"id": "a", "duration_minutes": 45.5}, {"id": "b"}]}})
+    rows = dicts(flatten.job_appointments(read_items(spark, path, "job_details")))
+    assert {r["appointment_id"]: r["duration_minutes"] for r in rows} == {"a": 45.5, "b": None}

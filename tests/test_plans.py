@@ -276,3 +276,14 @@ def test_a_table_with_a_hot_job_is_not_bucketed(spark, tmp_path):
     found = bucketed.write_by_job(tables, str(tmp_path / "hot"), 8)
     assert "Bucketed: true" not in plan_of(found["job_employees"]) and found["job_employees"].count() == 9000
     bucketed.forget(spark, str(tmp_path / "hot"))
+
+
+def test_year_and_months_of_the_club_come_from_one_aggregation(spark, stored, tmp_path):
+    kept = Context(stored.tables, bridge.AS_OF)
+    kept.keep("club_months", club.club_months(stored), str(tmp_path))
+    for plan in (club.club_summary, club.club_monthly):
+        text = plan_of(plan(kept))
+        assert text.count("FileScan") == 1 and "Join" not in text
+        assert as_text(plan(kept)) == as_text(plan(stored))
+    assert kept.__dict__["club_months"].count() <= 12
+    assert as_text(club.club_summary(kept, strict=True)) == as_text(club.club_summary(stored, strict=True))

@@ -58,15 +58,28 @@ def _service_calls(ctx: Context, strict: bool) -> DataFrame:
     return sourced.withColumn("is_club", is_club)
 
 
+def club_months(ctx: Context, strict: bool = False) -> DataFrame:
+    """(month, calls, club_calls, from_...): the counts that both the year's and the months' figures are added up from, a dozen rows."""
+    kept = ctx.__dict__.get("club_months")
+    if kept is not None and not strict:
+        return kept
+    return _service_calls(ctx, strict).groupBy(month_of("completed_at").alias("month")).agg(
+        F.count(F.lit(1)).alias("calls"),
+        F.count_if("is_club").alias("club_calls"),
+        *[F.count_if(f"from_{source}").alias(f"from_{source}") for source in SOURCES],
+    )
+
+
 def club_summary(ctx: Context, strict: bool = False) -> DataFrame:
     """One row: share of club calls, and how many each source finds (calls may count for several).
 
     strict: leave the invoice items out, as the published dashboard in effect does.
     """
-    totals = _service_calls(ctx, strict).agg(
-        F.count(F.lit(1)).alias("eligible_service_calls_ytd"),
-        F.count_if("is_club").alias("club_calls_ytd"),
-        *[F.count_if(f"from_{source}").alias(f"club_calls_from_{source}") for source in SOURCES],
+    total = lambda name: F.coalesce(F.sum(name), F.lit(0))
+    totals = club_months(ctx, strict).agg(
+        total("calls").alias("eligible_service_calls_ytd"),
+        total("club_calls").alias("club_calls_ytd"),
+        *[total(f"from_{source}").alias(f"club_calls_from_{source}") for source in SOURCES],
     )
     share = percent("club_calls_ytd", "eligible_service_calls_ytd")
     return totals.select(
@@ -87,11 +100,7 @@ def club_summary(ctx: Context, strict: bool = False) -> DataFrame:
 
 
 def club_monthly(ctx: Context, strict: bool = False) -> DataFrame:
-    months = (
-        _service_calls(ctx, strict)
-        .groupBy(month_of("completed_at").alias("month"))
-        .agg(F.count(F.lit(1)).alias("service_calls"), F.count_if("is_club").alias("club_calls"))
-    )
+    months = club_months(ctx, strict).withColumnRenamed("calls", "service_calls")
     share = percent("club_calls", "service_calls")
     return months.orderBy("month").select(
         "month",

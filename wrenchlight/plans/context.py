@@ -171,14 +171,17 @@ class Context:
         """
         copy = Context(self.tables, self.as_of, self.zone, self.filter_from)
         for name in MATERIALIZED:
-            frame = getattr(self, name)
-            frame.write.parquet(f"{folder}/{name}")
-            copy.__dict__[name] = self.tables.spark.read.schema(frame.schema).parquet(f"{folder}/{name}")
+            copy.keep(name, getattr(self, name), folder)
         # The same jobs; nothing but the visits looks at the number of appointments.
         copy.__dict__["completed"] = copy.completed_visits
         copy.__dict__["crew"] = copy.year_crew
         return copy
 
+    def keep(self, name: str, frame: DataFrame, folder: str) -> None:
+        """Write a frame below ``folder`` and use what is read back under this name from now on."""
+        frame.write.parquet(f"{folder}/{name}")
+        self.__dict__[name] = self.tables.spark.read.schema(frame.schema).parquet(f"{folder}/{name}")
+
 
 def _counted_visits(visits: DataFrame) -> DataFrame:
     """(job_id, counted). Spark counts distinct appointments in two steps, so no job is too large."""

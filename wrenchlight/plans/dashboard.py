@@ -65,6 +65,8 @@ def write_dashboard(ctx: Context, folder: str) -> dict[str, str]:
     The shared populations are written first and read back for all KPIs.
     """
     shared = ctx.materialized(f"{folder}/_populations")
+    # The club's figures of the year and of its months come from one aggregation.
+    shared.keep("club_months", club.club_months(shared), f"{folder}/_populations")
     paths = {}
     for name, frame in dashboard(shared).items():
         paths[name] = f"{folder}/{name}"
