@@ -258,3 +258,58 @@ def listed(spans):
     return ",".join(f"{k}:{a}:{b}" for k in PII for a, b in sorted(spans[k]))
 
 
+
+
+def mail_threads(messages):
+    """{turn: (parent, thread, depth, {(level, original)})} of one conversation, {turn: text}, by comparing passages as texts."""
+
+    def normal(text):
+        return " ".join(re.findall(r"[^\W_]+", text.lower()))
+
+    def cut(text):
+        """{level: passages, paragraphs and lines, normalised}; level 0 without introductions."""
+        runs = []
+        for line in text.split("\n"):
+            level, rest = 0, line.lstrip(" \t")
+            while rest.startswith(">"):
+                level, rest = level + 1, rest[1:].lstrip(" \t") if rest[1:2] in (" ", "\t") else rest[1:]
+            if runs and runs[-1][0] == level:
+                runs[-1][1].append(rest if level else line)
+            else:
+                runs.append((level, [rest if level else line]))
+        own, found = [], collections.defaultdict(set)
+        for i, (level, lines) in enumerate(runs):
+            lines = list(lines)
+            if level == 0 and i + 1 < len(runs):
+                while lines and not lines[-1].strip():
+                    lines.pop()
+                if lines and re.search(r"(wrote|writes|said)\s*:\s*$", lines[-1]):
+                    lines.pop()
+            if level == 0:
+                own += lines
+            else:
+                for unit in [" ".join(lines), *lines, *(" ".join(p.split("\n")) for p in re.split(r"\n\s*\n", "\n".join(lines)))]:
+                    found[level].add(normal(unit))
+        text = "\n".join(own).strip()
+        found[0] = {normal(u) for u in [text.replace("\n", " "), *text.split("\n"), *(p.replace("\n", " ") for p in re.split(r"\n\s*\n", text))]}
+        return {k: v - {""} for k, v in found.items()}
+
+    parts = {t: cut(text) for t, text in messages.items()}
+    first = {}
+    for t in sorted(parts):
+        for unit in parts[t][0]:
+            first.setdefault(unit, t)
+    out = {}
+    for t in sorted(parts):
+        found = collections.defaultdict(list)
+        for level, units in parts[t].items():
+            for unit in units if level else ():
+                if first.get(unit, t) < t:
+                    found[level, first[unit]].append(len(unit.split()))
+        if found:
+            nearest = min(level for level, _ in found)
+            parent = max((max(n), len(n), o) for (level, o), n in found.items() if level == nearest)[2]
+            out[t] = (parent, out[parent][1], out[parent][2] + 1, set(found))
+        else:
+            out[t] = (None, t, 0, set())
+    return out

@@ -447,6 +447,40 @@ def test_conversations(spark):
     assert quotations.conversations(frame.filter("false")).count() == 0
 
 
+def test_generated_mail_threads(spark):
+    """Replies that quote any depth of what went before, whole or trimmed to a line, against comparing texts."""
+    dice = random.Random(21)
+    sentence = lambda: " ".join(dice.choice("rain sun wind snow hill river stone tree bird road".split()) for _ in range(dice.randrange(3, 7))) + dice.choice(".!?")
+    rows, wanted = [], {}
+    for conv in range(25):
+        messages = {}
+        for turn in range(dice.randrange(2, 14)):
+            own = "\n".join(sentence() if dice.random() < 0.9 else "" for _ in range(dice.randrange(1, 5)))
+            if messages and dice.random() < 0.8:
+                quoted = messages[dice.choice([*messages])].split("\n")
+                if dice.random() < 0.4:  # trimmed: only some lines, often only nested ones
+                    nested = [x for x in quoted if x.startswith(">")]
+                    quoted = dice.sample(nested or quoted, 1)
+                lead = dice.choice(["On Monday somebody wrote:\n", ""])
+                own = lead + "\n".join((">" if x.startswith(">") else "> ") + x for x in quoted) + "\n" + own
+            messages[turn] = own
+            rows.append((conv, turn, "user", own))
+        wanted.update({(conv, t): v for t, v in plain.mail_threads(messages).items()})
+    dice.shuffle(rows)
+    found = quotations.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert {(r.conv_id, r.turn): (r.parent_turn, r.thread_turn, r.depth, {(x.level, x.original) for x in r.links}) for r in found} == wanted
+    assert sum(v[0] is not None for v in wanted.values()) > 60 and any(min(level for level, _ in v[3]) > 1 for v in wanted.values() if v[3])
+    assert not any(line.startswith(">") for r in found for line in r.text.split("\n"))
+
+
+def test_trimmed_quotes_and_long_messages(spark):
+    rows = [(1, 0, "user", "The river is high today."), (1, 1, "user", "> The river is high today.\nTake the road."), (1, 2, "user", ">> The river is high today.\n> [trimmed]\nFine then.")]
+    rows += [(2, 0, "user", "\n".join(f"line number {i}" for i in range(20_000))), (2, 1, "user", "\n".join(f"> line number {i}" for i in range(20_000)) + "\nok"), (2, 2, "user", ">" * 5000 + " deep")]
+    found = {(r.conv_id, r.turn): r for r in quotations.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert found[1, 2].parent_turn == 0 and found[1, 2].thread_turn == 0 and [(x.level, x.original) for x in found[1, 2].links] == [(2, 0)]
+    assert found[2, 1].parent_turn == 0 and found[2, 1].text == "ok" and found[2, 2].parent_turn is None
+
+
 def test_long_reply_chain(spark):
     rows = [(1, i, "user", (f"> this is message number {i - 1}\n" if i else "") + f"this is message number {i}") for i in range(40)]
     found = quotations.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()

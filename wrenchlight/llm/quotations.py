@@ -3,7 +3,8 @@
 A message's lines have a quote level (the number of leading '>' marks). Neighbouring lines of a level are a passage. Quoted
 passages and their lines are normalised (lower case, letters and digits, one space) and hashed, and joined with the hashes of
 what messages say themselves: the earliest message of the conversation that says it is the original. A message
-replies to the original of which it quotes most words at level 1 (the later one of equals). The result has the
+replies to the original of which it quotes most words at the lowest level that has one known (the later one of equals); where level 1 was trimmed or wrapped anew,
+that is the original of a nested quote. All links, nested ones too, are a column. The result has the
 messages without quotes and the lines that introduce them, in reply order: threads by their first message, then by turn, so
 that each message follows what it replies to.
 
@@ -12,7 +13,7 @@ A conversation of any length is spread over tasks: originals are pre-aggregated
 
 Defined results: one row for each message. NULL texts are empty. Messages that quote nothing known have no parent and are
 threads of their own. Turns that repeat in a conversation are one original; both rows stay, the place of equal ones being by role and text. NULL
-conv_id is a conversation of its own; a NULL turn comes first and is no original. Extra columns are ignored. An empty table gives an empty result.
+conv_id is a conversation of its own; a NULL turn comes first and is no original. Texts of any length and any depth of quotes are read whole. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -117,8 +118,8 @@ def links(rows: DataFrame) -> DataFrame:
 
 def threads(found: DataFrame) -> DataFrame:
     """conv, turn, parent, thread, depth of the messages that reply to another one; found: from links()."""
-    best = F.max(F.struct("words", "passages", "original")).alias("best")
-    replies = stored(found.filter("level = 1").groupBy("conv", "turn").agg(best).select("conv", "turn", F.col("best.original").alias("parent")), "replies")
+    best = F.max(F.struct((-F.col("level")).alias("nearest"), "words", "passages", "original")).alias("best")
+    replies = stored(found.groupBy("conv", "turn").agg(best).select("conv", "turn", F.col("best.original").alias("parent")), "replies")
     now = stored(replies.select("*", F.col("parent").alias("thread"), F.lit(1).alias("depth")), "threads")
     while True:
         ahead = now.select("conv", F.col("turn").alias("thread"), F.col("thread").alias("further"), F.col("depth").alias("more"))
@@ -129,10 +130,12 @@ def threads(found: DataFrame) -> DataFrame:
 
 
 def conversations(messages: DataFrame) -> DataFrame:
-    """conv_id, place, turn, role, text, parent_turn, thread_turn, depth, quoted_passages of each message, in reply order within a conversation."""
+    """conv_id, place, turn, role, text, parent_turn, thread_turn, depth, quoted_passages, links (level, original turn, words) of each message, in reply order within a conversation."""
     rows = stored(parsed(messages), "messages")
     found = stored(links(rows), "links")
-    linked = threads(found).select("conv", "turn", "parent", "thread", "depth")
+    # As many links as a message has quotes of different originals and levels.
+    every = found.groupBy("conv", "turn").agg(F.array_sort(F.collect_list(F.struct("level", "original", "words"))).alias("links"))
+    linked = threads(found).select("conv", "turn", "parent", "thread", "depth").join(every, ["conv", "turn"])
     rows = rows.select("conv", "conv_id", "turn", "role", "text", F.size("quoted").alias("quoted_passages")).join(linked, ["conv", "turn"], "left")
     rows = rows.withColumn("thread", F.coalesce("thread", "turn")).withColumn("depth", F.coalesce("depth", F.lit(0)))
     order = ("conv", "thread", "turn", "role", "text")
@@ -143,4 +146,4 @@ def conversations(messages: DataFrame) -> DataFrame:
     before = F.coalesce(F.sum("n").over(Window.partitionBy("conv").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     shares = stored(shares.select("conv", "part", (before - F.col("first")).alias("shift")), "shares")
     placed = ordered.withColumn("part", part).join(shares, ["conv", "part"]).withColumn("place", row + F.col("shift"))
-    return placed.select("conv_id", "place", "turn", "role", "text", F.col("parent").alias("parent_turn"), F.col("thread").alias("thread_turn"), "depth", "quoted_passages")
+    return placed.select("conv_id", "place", "turn", "role", "text", F.col("parent").alias("parent_turn"), F.col("thread").alias("thread_turn"), "depth", "quoted_passages", F.coalesce("links", F.array().cast("array<struct<level:int,original:bigint,words:int>>")).alias("links"))
