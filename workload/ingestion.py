@@ -419,9 +419,16 @@ def _customer_pages(spark: SparkSession, folder: str, first: bool) -> DataFrame:
     return _page(rows, "customers", item, F.col("event_id") % 2 == 0)
 
 
+# Pages in one landed file at most; a compressed file is read by one task.
+PAGES_PER_FILE = 500_000
+
+
 def _land(pages: DataFrame, landing: str, entity: str, files: int = 1) -> None:
-    spread = pages.repartition(files) if files > 1 else pages
-    spread.write.mode("append").text(f"{landing}/{entity}")
+    """Write pages one per line: as so many plain files where the number matters, else compressed, as most of a page is names."""
+    if files > 1:
+        pages.repartition(files).write.mode("append").text(f"{landing}/{entity}")
+    else:
+        pages.write.mode("append").option("compression", "gzip").option("maxRecordsPerFile", PAGES_PER_FILE).text(f"{landing}/{entity}")
 
 
 def upsert_stream(spark: SparkSession, folder: str) -> DataFrame:

@@ -84,4 +84,5 @@ def load_all(
         log = load_log_rows(spark, as_of, window, as_of)
         list(pool.map(lambda name: warehouse.upsert(name, batches[name], replace_children), batches))
     warehouse.append("load_log", log)
+    warehouse.drop_staged()
     return True

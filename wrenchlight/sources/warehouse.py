@@ -52,6 +52,7 @@ class Warehouse:
         self.spark = spark
         self.root = root.rstrip("/")
         self.bucket_bytes = bucket_bytes
+        self._staged: list[str] = []
 
     # ---- reading -----------------------------------------------------------
 
@@ -80,11 +81,16 @@ class Warehouse:
     # ---- writing -----------------------------------------------------------
 
     def staged_items(self, entity: str, items: DataFrame) -> DataFrame:
-        """The items read back from Parquet, so that JSON is parsed once for all tables of the entity."""
+        """The items read back from Parquet, so that JSON is parsed once for all tables of the entity; until ``drop_staged``."""
         path = shared_folder(self.spark, f"items-{entity}")
+        self._staged.append(path)
         items.write.parquet(path)
         return self.spark.read.schema(items.schema).parquet(path)
 
+    def drop_staged(self) -> None:
+        while self._staged:
+            self._delete(self._staged.pop())
+
     def _buckets_of(self, name: str, first_batch: str) -> int:
         """The table's number of buckets; of a new one by the size of its first batch, a power of two."""
         known = self.buckets(name)
@@ -102,8 +108,15 @@ class Warehouse:
 
     def upsert(self, name: str, incoming: DataFrame, replace_children: bool = False) -> int:
         """Put a batch into the table, the newer row of each key stays; the number of different rows of the batch."""
-        spec = TABLES[name]
         path = shared_folder(self.spark, f"batch-{name}")
+        try:
+            return self._upsert(TABLES[name], incoming, replace_children, path)
+        finally:
+            self._delete(path)
+
+    def _upsert(self, spec: TableSpec, incoming: DataFrame, replace_children: bool, path: str) -> int:
+        """``upsert`` by way of a batch that is written to ``path``."""
+        name = spec.name
         reduce_batch(spec, incoming).write.parquet(path)
         batch = self.spark.read.schema(spec.stored_schema).parquet(path)
         rows = batch.count()

@@ -22,6 +22,7 @@ def apply_items(warehouse: Warehouse, entity: str, found: DataFrame) -> None:
     items = warehouse.staged_items(entity, found)
     for name, flatten in FLATTENERS[entity].items():
         warehouse.upsert(name, flatten(items))
+    warehouse.drop_staged()
 
 
 def start_feed(
