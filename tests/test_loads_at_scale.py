@@ -5,11 +5,14 @@ from __future__ import annotations
 import os
 import uuid
 
+import pandas as pd
+
 from tests.conftest import SF_SMALL
 from tests.test_landing import JOB, land
 from tests.test_warehouse import AT
 from wrenchlight.sources import warehouse
 from wrenchlight.sources.load import load_all
+from wrenchlight.streaming import changes
 from workload import ingestion
 
 
@@ -34,3 +37,26 @@ def test_a_load_leaves_no_scratch_data(spark, tmp_path, monkeypatch):
     land(tmp_path / "landing", "jobs", {"jobs": [{**JOB, "id": "j1"}]})
     assert load_all(spark, str(tmp_path / "landing"), str(tmp_path / "w"), AT, backfill=True)
     assert scratch.exists() and os.listdir(scratch) == []
+
+
+class KeptState:
+    """A group's state as the function under test sees it."""
+
+    exists, get = False, None
+
+    def update(self, value):
+        self.exists, self.get = True, value
+
+
+def test_one_call_settles_all_keys_of_a_group():
+    state = KeptState()
+
+    def run(*frames):
+        made = [pd.DataFrame(f, columns=["key", "version", "arrived", "digest", "record"]) for f in frames]
+        return {tuple(r) for out in changes._newest((0,), iter(made), state) for r in out.itertuples(index=False)}
+
+    assert run([("a", "1", "x", "A", "ra"), ("b", "", "x", "B", "rb")], [("a", "2", "w", "A2", "ra2")]) == {("a", "2", "w", "ra2"), ("b", "", "x", "rb")}
+    # Sent again with a later arrival, and an older version; then another text, and a new key.
+    assert run([("b", "", "y", "B", "rb"), ("a", "1", "z", "A", "ra")]) == set()
+    assert run([("b", "", "y", "B3", "late")], [("b", "", "z", "B4", "rb4"), ("c", None, None, "C", "rc")]) == {("b", "", "z", "rb4"), ("c", "", "", "rc")}
+    assert dict(zip(state.get[0], zip(*state.get[1:]))) == {"a": ("2", "w", "A2"), "b": ("", "z", "B4"), "c": ("", "", "C")}

@@ -1,12 +1,12 @@
-"""What is new in a stream of records: a state per key holds the newest version, so records sent again are dropped before they are written.
+"""What is new in a stream of records: a state holds the newest version of each key, so records sent again are dropped before they are written.
 
-The one place of the library with Python on rows: Spark's own stateful operators keep the first row of a key, not the newest one. A group's rows
-come in Arrow batches and only the newest of each batch is looked at; the state of a key is a few words.
+The one place of the library with Python on rows: Spark's own stateful operators keep the first row of a key, not the newest one. Keys are dealt into
+groups by hash, as a call for each key costs milliseconds; a group's state lists a few words for each of its keys. A group's rows
+come in Arrow batches and only the newest of each key is kept.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,7 +18,10 @@ from wrenchlight.schemas import ARRIVED
 from wrenchlight.sources.landing import item_schema
 
 _RECORD = "key string, version string, arrived string, record string"
-_STATE = "version string, arrived string, digest string"
+_STATE = "keys array<string>, versions array<string>, arrivals array<string>, digests array<string>"
+
+# Groups of keys: with ten million keys some thousand in each. A stream keeps the number it began with.
+KEY_GROUPS = 1 << 12
 
 
 def record_key(entity: str) -> Column:
@@ -40,20 +43,25 @@ def as_items(records: DataFrame, entity: str) -> DataFrame:
     return parsed.select("item.*", ARRIVED)
 
 
-def _newest(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    known = state.get if state.exists else ("", "", "")
-    newest, record = (known[0] or "", known[1] or ""), None
+def _newest(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    known = {key: rest for key, *rest in zip(*state.get)} if state.exists else {}
+    found: dict[str, tuple[str, str, str, str]] = {}
     for frame in frames:
-        row = frame.sort_values(["version", "arrived"]).iloc[-1]
-        found = (row["version"] or "", row["arrived"] or "")
-        if found > newest or not state.exists and record is None:
-            newest, record = found, row["record"]
-    if record is None:
-        return
-    digest = hashlib.sha256(record.encode()).hexdigest()
-    state.update((*newest, digest))
-    if digest != known[2]:
-        yield pd.DataFrame({"key": [key[0]], "version": [newest[0]], "arrived": [newest[1]], "record": [record]})
+        for key, version, arrived, digest, record in zip(*[frame[c].tolist() for c in ("key", "version", "arrived", "digest", "record")]):
+            row = (version or "", arrived or "", digest, record)
+            if key not in found or row > found[key]:
+                found[key] = row
+    changed = []
+    for key, (version, arrived, digest, record) in found.items():
+        before = known.get(key)
+        if before and (version, arrived) <= (before[0], before[1]):
+            continue
+        known[key] = (version, arrived, digest)
+        if before is None or digest != before[2]:
+            changed.append((key, version, arrived, record))
+    state.update((list(known), *[[rest[i] for rest in known.values()] for i in range(3)]))
+    if changed:
+        yield pd.DataFrame(changed, columns=["key", "version", "arrived", "record"])
 
 
 def changes(records: DataFrame) -> DataFrame:
@@ -61,5 +69,7 @@ def changes(records: DataFrame) -> DataFrame:
 
     Which of two is newer: the later version, then the later arrival. Records without a key have no state and pass.
     """
-    keyed = records.filter(F.col("key").isNotNull()).groupBy("key").applyInPandasWithState(_newest, _RECORD, _STATE, "append", GroupStateTimeout.NoTimeout)
-    return keyed.unionByName(records.filter(F.col("key").isNull()))
+    group = F.pmod(F.xxhash64("key"), F.lit(KEY_GROUPS)).cast("int")
+    keyed = records.filter(F.col("key").isNotNull()).withColumns({"digest": F.sha2("record", 256), "key_group": group})
+    newest = keyed.groupBy("key_group").applyInPandasWithState(_newest, _RECORD, _STATE, "append", GroupStateTimeout.NoTimeout)
+    return newest.unionByName(records.filter(F.col("key").isNull()))
