@@ -6,12 +6,14 @@ import os
 import uuid
 
 import pandas as pd
+from pyspark.sql import functions as F
 
 from tests.conftest import SF_SMALL
 from tests.test_landing import JOB, land
 from tests.test_warehouse import AT
 from wrenchlight.sources import warehouse
 from wrenchlight.sources.load import load_all
+from wrenchlight.sources.warehouse import Warehouse
 from wrenchlight.streaming import changes
 from workload import ingestion
 
@@ -60,3 +62,22 @@ def test_one_call_settles_all_keys_of_a_group():
     assert run([("b", "", "y", "B", "rb"), ("a", "1", "z", "A", "ra")]) == set()
     assert run([("b", "", "y", "B3", "late")], [("b", "", "z", "B4", "rb4"), ("c", None, None, "C", "rc")]) == {("b", "", "z", "rb4"), ("c", "", "", "rc")}
     assert dict(zip(state.get[0], zip(*state.get[1:]))) == {"a": ("2", "w", "A2"), "b": ("", "z", "B4"), "c": ("", "", "C")}
+
+
+def test_records_sent_again_rewrite_nothing(spark, tmp_path):
+    """A second load of the same files leaves all files of a table; other words under the same arrival still get in."""
+    root = Warehouse(spark, str(tmp_path))
+    rows = spark.range(300).selectExpr("concat('j', id % 90) AS job_id", "concat('a', id) AS appointment_id", "CASE WHEN id % 3 = 0 THEN 'e' END AS dispatched_employee_id", "1 AS arrival_window_minutes", "'a' AS _arrived")
+
+    def files():
+        return {r[0] for r in spark.read.parquet(root.path("job_appointments")).select("_metadata.file_path").distinct().collect()}
+
+    assert root.upsert("job_appointments", rows.unionAll(rows)) == 300
+    before = files()
+    assert root.upsert("job_appointments", rows.repartition(3)) == 0 and files() == before
+    changed = rows.withColumn("arrival_window_minutes", F.expr("CASE WHEN appointment_id IN ('a7', 'a9') THEN 2 ELSE 1 END"))
+    older = rows.withColumn("arrival_window_minutes", F.lit(3)).withColumn("_arrived", F.lit("0"))
+    new = spark.createDataFrame([("j0", "a300", "b"), ("j0", "a300", "c")], "job_id string, appointment_id string, _arrived string")
+    assert root.upsert("job_appointments", changed.unionAll(older).unionByName(new, allowMissingColumns=True)) == 3 and files() != before
+    found = root.tables()["job_appointments"].groupBy("arrival_window_minutes").count().collect()
+    assert {tuple(r) for r in found} == {(1, 298), (2, 2), (None, 1)}

@@ -99,7 +99,7 @@ def upsert(
     return kept.unionByName(batch)
 
 
-def _keyless(spec: TableSpec) -> Column:
+def keyless(spec: TableSpec) -> Column:
     """Rows with NULL in a plain key, which no key can match."""
     return reduce(Column.__or__, [F.col(k).isNull() for k in spec.keys])
 
@@ -114,11 +114,42 @@ def _newest_keyless(spec: TableSpec, rows: DataFrame, known: DataFrame) -> DataF
     return rows.groupBy(*declared).agg(F.max(ARRIVED).alias(ARRIVED)).select(*declared, ARRIVED)
 
 
-def reduce_batch(spec: TableSpec, incoming: DataFrame) -> DataFrame:
-    """The newest row of each key, and the rows without a key that ``_newest_keyless`` leaves."""
+def reduce_batch(spec: TableSpec, incoming: DataFrame, all_keyed: bool = False) -> DataFrame:
+    """The newest row of each key, and the rows without a key that ``_newest_keyless`` leaves.
+
+    all_keyed: the caller has checked that no row is without a key, so they are not looked for.
+    """
     rows = with_arrival(conform(incoming, spec))
-    keyed = latest_per_key(rows.filter(~_keyless(spec)), spec.keys, spec.nullable_keys, spec.newest)
-    return keyed.unionByName(_newest_keyless(spec, rows.filter(_keyless(spec)), rows))
+    if all_keyed:
+        return latest_per_key(rows, spec.keys, spec.nullable_keys, spec.newest)
+    keyed = latest_per_key(rows.filter(~keyless(spec)), spec.keys, spec.nullable_keys, spec.newest)
+    return keyed.unionByName(_newest_keyless(spec, rows.filter(keyless(spec)), rows))
+
+
+def changed_rows(spec: TableSpec, target: DataFrame, incoming: DataFrame) -> DataFrame:
+    """The newest incoming row of each key, where the target has an older one, one as new that says something else, or none.
+
+    All rows have a key. The incoming rows are shuffled once, by key; of the target only keys, what tells its age, and a hash of each row are.
+    """
+    columns = _key_columns(spec.keys, spec.nullable_keys)
+    said = F.xxhash64(*spec.schema.fieldNames())
+    rows = with_arrival(conform(incoming, spec))
+    named = [f"_key{i}" for i in range(len(columns))]
+    newest = latest_per_key(rows.select("*", *_named_keys(rows, columns)), named, newest=spec.newest)
+    target = with_arrival(conform(target, spec))
+    had = target.select(*[c.alias(f"_had{i}") for i, c in enumerate(columns)], F.struct(*spec.newest).alias("_had"), said.alias("_said"))
+    joined = newest.join(had, [F.col(n) == F.col(f"_had{i}") for i, n in enumerate(named)], "left")
+    age = F.struct(*spec.newest)
+    other = F.col("_had").isNull() | (age > F.col("_had")) | ((age >= F.col("_had")) & (said != F.col("_said")))
+    return joined.filter(other).select(*rows.columns)
+
+
+def put_rows(spec: TableSpec, target: DataFrame, rows: DataFrame, small_batch: bool = False) -> DataFrame:
+    """``target`` with ``rows`` from ``changed_rows`` in place of those of the same keys."""
+    columns = _key_columns(spec.keys, spec.nullable_keys)
+    target = with_arrival(conform(target, spec))
+    keys = rows.select(*_named_keys(rows, columns))
+    return _by_keys(target, F.broadcast(keys) if small_batch else keys, columns, "left_anti").unionByName(rows)
 
 
 def upsert_table(
@@ -134,10 +165,10 @@ def upsert_table(
     stay. Sending the same records again thus changes nothing.
     """
     target, batch = with_arrival(conform(target, spec)), reduce_batch(spec, incoming)
-    keyless = _keyless(spec)
+    nameless = keyless(spec)
     merged = upsert(
-        target.filter(~keyless),
-        batch.filter(~keyless),
+        target.filter(~nameless),
+        batch.filter(~nameless),
         spec.keys,
         spec.nullable_keys,
         newest=spec.newest,
@@ -145,7 +176,7 @@ def upsert_table(
         small_batch=small_batch,
         replace_children_of=spec.parent if replace_children else (),
     )
-    old, new = target.filter(keyless), batch.filter(keyless)
+    old, new = target.filter(nameless), batch.filter(nameless)
     if not spec.parent:
         return merged.unionByName(_newest_keyless(spec, old.unionByName(new), batch))
     parents = batch.select(*[F.col(p).alias(f"_of{i}") for i, p in enumerate(spec.parent)]).distinct()

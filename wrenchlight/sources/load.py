@@ -70,9 +70,7 @@ def load_all(
 
     def landed(entity: str) -> DataFrame:
         since = since_of(entity)
-        items = read_items(spark, landing, entity, one_per_line, since)
-        several = len(FLATTENERS[entity]) > 1 or entity == "job_details"
-        return warehouse.staged_items(entity, items) if several else items
+        return warehouse.staged_items(entity, read_items(spark, landing, entity, one_per_line, since))
 
     # Entities do not depend on each other; side by side, small tables fill the gaps of large ones.
     with ThreadPoolExecutor(PARALLEL_TABLES) as pool:

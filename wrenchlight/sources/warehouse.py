@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from wrenchlight.operators.joins import key_sketches
-from wrenchlight.operators.upsert import BROADCAST_KEY_ROWS, reduce_batch, upsert_table
+from wrenchlight.operators.upsert import BROADCAST_KEY_ROWS, changed_rows, keyless, put_rows, reduce_batch, upsert_table
 from wrenchlight.schemas import TABLES, TableSpec, conform, with_arrival
 from wrenchlight.session import folder_bytes, shared_folder
 from wrenchlight.sources.tables import Tables, read_parquet_if_present
@@ -107,7 +107,10 @@ class Warehouse:
         dealt.write.partitionBy(BUCKET).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
     def upsert(self, name: str, incoming: DataFrame, replace_children: bool = False) -> int:
-        """Put a batch into the table, the newer row of each key stays; the number of different rows of the batch."""
+        """Put a batch into the table, the newer row of each key stays; the number of different rows of the batch.
+
+        Where all rows have a key, rows that the table has already are left out, also of that number, and buckets without others are not rewritten.
+        """
         path = shared_folder(self.spark, f"batch-{name}")
         try:
             return self._upsert(TABLES[name], incoming, replace_children, path)
@@ -117,7 +120,16 @@ class Warehouse:
     def _upsert(self, spec: TableSpec, incoming: DataFrame, replace_children: bool, path: str) -> int:
         """``upsert`` by way of a batch that is written to ``path``."""
         name = spec.name
-        reduce_batch(spec, incoming).write.parquet(path)
+        incoming, stored = with_arrival(conform(incoming, spec)), self._read(spec.name)
+        known = None if stored is None else self.buckets(name)
+        all_keyed, theirs = self._looked_over(spec, incoming, known)
+        only_changes = stored is not None and not replace_children and all_keyed
+        if only_changes:
+            old = stored.filter(F.col(BUCKET).isin(theirs)).drop(BUCKET)
+            # Where stored rows go by their parent, a batch of that parent decides about them too.
+            only_changes = not spec.parent or old.filter(keyless(spec)).isEmpty()
+        reduced = changed_rows(spec, old, incoming) if only_changes else reduce_batch(spec, incoming, all_keyed)
+        reduced.write.parquet(path)
         batch = self.spark.read.schema(spec.stored_schema).parquet(path)
         rows = batch.count()
         if not rows:
@@ -125,13 +137,17 @@ class Warehouse:
         buckets = self._buckets_of(name, path)
         own = bucket_of(spec, buckets)
         batch = batch.withColumn(BUCKET, own)
-        stored = self._read(name)
+        small = rows <= BROADCAST_KEY_ROWS
         if stored is None:
             merged, touched = batch, None
+        elif only_changes:
+            touched = sorted(r[0] for r in batch.select(BUCKET).distinct().collect())
+            old = stored.filter(F.col(BUCKET).isin(touched)).drop(BUCKET)
+            merged = put_rows(spec, old, batch.drop(BUCKET), small).withColumn(BUCKET, own)
         else:
             touched = self._touched(spec, batch, buckets, replace_children)
             old = stored if touched is None else stored.filter(F.col(BUCKET).isin(touched))
-            merged = upsert_table(spec, old.drop(BUCKET), batch.drop(BUCKET), small_batch=rows <= BROADCAST_KEY_ROWS, replace_children=replace_children)
+            merged = upsert_table(spec, old.drop(BUCKET), batch.drop(BUCKET), small_batch=small, replace_children=replace_children)
             merged = merged.withColumn(BUCKET, own)
         # A bucket that is left without rows is not overwritten, so its folder goes.
         gone = []
@@ -147,6 +163,15 @@ class Warehouse:
             sketches.write.partitionBy(BUCKET).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{self.root}/_sketches/{name}")
         return rows
 
+    def _looked_over(self, spec: TableSpec, incoming: DataFrame, buckets: int | None) -> tuple[bool, list[int]]:
+        """Whether all rows have a key; of a table with buckets also those that the rows, or rows of their parents, are in."""
+        nameless = F.coalesce(F.bool_or(keyless(spec)), F.lit(False)).alias("nameless")
+        theirs = [] if buckets is None else [bucket_of(spec, buckets)]
+        if theirs and spec.parent and not _whole_parent(spec):
+            theirs.append(_hashed(spec.parent, buckets))
+        row = incoming.agg(nameless, *[F.collect_set(c) for c in theirs]).first()
+        return not row.nameless, sorted({b for found in row[1:] for b in found})
+
     def _touched(self, spec: TableSpec, batch: DataFrame, buckets: int, replace_children: bool) -> list[int] | None:
         """Buckets with rows that the batch decides about, at most ``MOST_BUCKETS`` numbers; None for all."""
         if replace_children and not _whole_parent(spec):
